@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_chunks
+from .block_mix import mix
 from .common import table
 from .piece_codec import digests, encode_decode
 from .ring_shards import ring_shards
 from .token_counts import token_counts
+from .toxicity import fit, toxicity
 from .word_ids import read_ids, write_ids
 
 TOKEN_LIMIT = 4096
@@ -20,6 +22,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.digest(line_chunks.line_dedup(table(spark, sf_dir, "documents")))
 
@@ -28,6 +35,10 @@ def op6_word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
+def op7_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(table(spark, sf_dir, "documents"))
 
@@ -36,5 +47,5 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_line_chunks, op6_word_ids, op9_ring_shards, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_toxicity, op5_line_chunks, op6_word_ids, op7_block_mix, op9_ring_shards, op10_piece_codec)}
 ORACLES: dict[str, str] = {"op5_line_chunks": line_chunks.ORACLE}
