@@ -24,7 +24,7 @@ from .common import arrow_rows, slices
 from .pieces import MARK, keys, model
 
 #: Symbols of a unit beyond which the queue replaces the rounds; units that a worker's cache holds.
-LONG, CACHE_ROWS = 192, 300_000
+LONG, CACHE_ROWS = 192, 150_000
 _NONE = np.int64(1) << np.int64(40)
 _CODECS: dict[str, PieceCodec] = {}
 
