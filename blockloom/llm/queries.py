@@ -10,6 +10,7 @@ from .block_mix import mix
 from .common import table
 from .piece_codec import digests, encode_decode
 from .ring_shards import ring_shards
+from .shingle_join import jaccard_components
 from .token_counts import token_counts
 from .toxicity import fit, toxicity
 from .word_ids import read_ids, write_ids
@@ -18,6 +19,10 @@ TOKEN_LIMIT = 4096
 END_ID = 1
 
 
+def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
@@ -47,5 +52,5 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_toxicity, op5_line_chunks, op6_word_ids, op7_block_mix, op9_ring_shards, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op5_line_chunks, op6_word_ids, op7_block_mix, op9_ring_shards, op10_piece_codec)}
 ORACLES: dict[str, str] = {"op5_line_chunks": line_chunks.ORACLE}
