@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, slices, written
 
-GRAMS, BUCKETS, MOST_LABELS, DEVIATIONS, PENALTY, CACHE_ROWS, THRESHOLD = (5, 6), 1 << 20, 100_000, 2.5, 1e-3, 200_000, 0.7
+GRAMS, BUCKETS, MOST_LABELS, DEVIATIONS, PENALTY, CACHE_ROWS, THRESHOLD = (5, 6), 1 << 20, 20_000, 2.5, 1e-3, 200_000, 0.7
 _CACHE: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     per = found.select("y", F.explode("g").alias("b")).groupBy("b").agg(F.count("*").alias("c"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p"))
     share = pos / n
     spread = F.sqrt(F.col("c") * share * (1 - share) * (1 - F.col("c") / (n + 1)) + 0.25)
-    kept = per.filter(F.abs(F.col("p") - F.col("c") * share) >= DEVIATIONS * spread).toPandas().sort_values("b")
+    kept = per.filter(F.abs(F.col("p") - F.col("c") * share) >= DEVIATIONS * spread).toArrow().to_pandas().sort_values("b")
     if not len(kept):
         return {"bias": float(np.log(share / (1 - share))), "weights": {}}
     p, q = kept["p"].to_numpy(float), (kept["c"] - kept["p"]).to_numpy(float)
@@ -97,10 +97,11 @@ def _regression(found: DataFrame, at: dict[int, int], r: np.ndarray) -> dict:
             sets = [[own[b] for b in g if b in own] for g in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["y", "g"])
 
-    data = found.mapInArrow(narrow, "y int, g array<int>").toPandas()
-    y = (data["y"].to_numpy() > 0).astype(float)
-    lens = np.array([len(g) for g in data["g"]])
-    cols = np.concatenate([np.asarray(g, np.int64) for g in data["g"]]) if lens.sum() else np.zeros(0, np.int64)
+    data = found.mapInArrow(narrow, "y int, g array<int>").toArrow().combine_chunks()
+    y = (data.column("y").to_numpy() > 0).astype(float)
+    lists = data.column("g").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    lens, cols = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(y)), lens)
     order = np.lexsort((cols, row))
     b, w = solve(y, row[order], cols[order], r)
