@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_chunks
+from . import line_chunks, media
 from .block_mix import mix
 from .common import table
 from .piece_codec import digests, encode_decode
@@ -32,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.write_media(table(spark, sf_dir, "documents")))
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.digest(line_chunks.line_dedup(table(spark, sf_dir, "documents")))
 
@@ -52,5 +56,5 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op5_line_chunks, op6_word_ids, op7_block_mix, op9_ring_shards, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op9_ring_shards, op10_piece_codec)}
 ORACLES: dict[str, str] = {"op5_line_chunks": line_chunks.ORACLE}
