@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import line_chunks, media
 from .block_mix import mix
 from .common import table
+from .nn_descent import near_duplicates
 from .piece_codec import digests, encode_decode
 from .ring_shards import ring_shards
 from .shingle_join import jaccard_components
@@ -48,6 +49,10 @@ def op7_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op9_ring_shards, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op8_nn_descent, op9_ring_shards, op10_piece_codec)}
 ORACLES: dict[str, str] = {"op5_line_chunks": line_chunks.ORACLE}
