@@ -17,6 +17,7 @@ whole files when executors are lost. A bucket is a range of doc_ids; segments fo
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from .common import arrow_rows, partitions, slices, written
 #: (ids, bits) of each selector; fixed by the published format.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30)]
 _U64 = np.uint64
-ESCAPE, BLOCK_WORDS, SEGMENT_IDS, CACHE_ROWS = 15, 4096, 1 << 19, 300_000
+ESCAPE, BLOCK_WORDS, SEGMENT_IDS, CACHE_ROWS = 15, 4096, 1 << 19, 800_000
 _WIDTHS = np.array(sorted({b for _, b in SELECTORS}), np.uint64)
 _NEED = np.searchsorted(_U64(1) << _WIDTHS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.int8)
 _HEAD = struct.Struct("<4sHHQQIQI")
@@ -158,14 +159,43 @@ def tokenizer(path: str) -> Tokenizer:
     return _TOKENIZERS[path]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it prints in Latin-1, else the next from U+0100 on."""
+    out, more = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or (161 <= b and b != 173):
+            out[b] = chr(b)
+        else:
+            out[b], more = chr(more), more + 1
+    return out
+
+
+_LETTERS = _byte_letters()
+#: A full stop or comma between a Latin letter and a gap is always a token of its own; words of such letters are one pre-token.
+_STOP = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?= |\n|$)")
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_CACHES: dict[str, dict[str, bytes]] = {}
+
+
 def encode_texts(tok: Tokenizer, texts: list[str | None], cache: dict[str, bytes]) -> list[bytes]:
-    """Ids of each text as little-endian uint32, by words between spaces and line feeds, over which no token reaches."""
-    parts = [list(filter(None, x.replace("\n", " ").split(" "))) if x else [] for x in texts]
-    if len(cache) > CACHE_ROWS:
-        cache.clear()
-    missing = list(set().union(*parts).difference(cache))
-    coded = tok.encode_batch(missing, add_special_tokens=False) if missing else []
-    cache.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(missing, coded, strict=True))
+    """Ids of each text as little-endian uint32, by words between spaces and line feeds, over which no token reaches.
+
+    A plain word goes to the model itself, as all that stands before it leaves such a word whole; all others to the library.
+    """
+    parts = [list(filter(None, _STOP.sub(r" \g<0>", x).replace("\n", " ").split(" "))) if x else [] for x in texts]
+    if len(cache) > CACHE_ROWS:  # what came first is what comes often
+        for w in list(cache)[CACHE_ROWS // 2 :]:
+            del cache[w]
+    missing = set().union(*parts).difference(cache)
+    model, odd = tok.model.tokenize, []
+    for w in missing:
+        if _PLAIN.fullmatch(w):
+            ids = [t.id for t in model(w.lower().encode().decode("latin-1").translate(_LETTERS))]
+            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            odd.append(w)
+    if odd:
+        cache.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(odd, tok.encode_batch(odd, add_special_tokens=False), strict=True))
     return [b"".join(map(cache.__getitem__, p)) for p in parts]
 
 
@@ -185,7 +215,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok, cache = tokenizer(tokenizer_path), {}
+        tok, cache = tokenizer(tokenizer_path), _CACHES.setdefault(tokenizer_path, {})
         last = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, text):
             coded = encode_texts(tok, batch.column(text).to_pylist(), cache)
