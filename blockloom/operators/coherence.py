@@ -100,12 +100,16 @@ def unmatched_labels(entries: DataFrame, transactions: DataFrame, tolerate_gaps:
     return gaps.limit(0) if tolerate_gaps else gaps
 
 
+def _ranked(order: int, reason: str) -> Column:
+    return F.struct(F.lit(order).alias("o"), F.lit(reason).alias("r"))
+
+
 def replay_issues(transactions: DataFrame, replays: DataFrame) -> DataFrame:
     """Per block: replays that are missing, come twice, or belong to another block's transaction, in this order."""
     a = transactions.select(*KEYS, F.lower("tx_hash").alias("_h"), F.lit(1).alias("_t"))
     b = replays.groupBy(*KEYS, F.lower("tx_hash").alias("_h")).agg(F.count("*").alias("_n"))
     full = a.join(b, [*KEYS, "_h"], "full_outer")
-    issue = F.when(F.col("_n").isNull(), F.struct(F.lit(1).alias("o"), F.lit("missing replay").alias("r"))).when(F.col("_t").isNull(), F.struct(F.lit(3), F.lit("foreign replay"))).when(F.col("_n") > 1, F.struct(F.lit(2), F.lit("duplicate replay")))
+    issue = F.when(F.col("_n").isNull(), _ranked(1, "missing replay")).when(F.col("_t").isNull(), _ranked(3, "foreign replay")).when(F.col("_n") > 1, _ranked(2, "duplicate replay"))
     bad = full.withColumn("_i", issue).filter("_i IS NOT NULL").groupBy(*KEYS).agg(F.min("_i").alias("_i"))
     return _found(bad, "invalid", 30, F.col("_i.r"))
 
