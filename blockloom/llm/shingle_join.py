@@ -265,9 +265,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "tokens"])
 
-    texts = source.join(placed.select("id").distinct(), "id").mapInArrow(sets_of, "id long, n long, tokens binary")
+    # merge joins whatever the sizes: ids grow with the input, and one plan serves a small corpus and a large one
+    texts = source.join(placed.select("id").distinct().hint("merge"), "id").mapInArrow(sets_of, "id long, n long, tokens binary")
     # ids may repeat with other texts: the set whose size and id match the class's is its own
-    texts = texts.join(placed, ["id", "n"]).dropDuplicates(["id", "f1", "f2"])
+    texts = texts.join(placed.hint("merge"), ["id", "n"]).dropDuplicates(["id", "f1", "f2"])
     dealt = texts.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("bundle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "id", "tokens")
     dealt = dealt.repartition(n_parts, "bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "side", "id")
