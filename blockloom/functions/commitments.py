@@ -121,7 +121,15 @@ def _json_udf(kind: T.DataType, run):
     return one
 
 
-block_hash_udf = _json_udf(T.StringType(), block_hash)
+@F.pandas_udf(T.StringType())
+def block_hash_udf(column: pd.Series) -> pd.Series:
+    """Header hashes of a batch of blocks, hashed at once."""
+    held = column.notna()
+    out = pd.Series([None] * len(column), dtype=object, index=column.index)
+    out[held] = [_hex(h) for h in keccak256_many([rlp.encode(wire.header_fields(json.loads(x))) for x in column[held]])]
+    return out
+
+
 transactions_root_udf = _json_udf(T.StringType(), transactions_root)
 receipts_root_udf = _json_udf(T.StringType(), receipts_root)
 withdrawals_root_udf = _json_udf(T.StringType(), withdrawals_root)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-RATE = 136
+RATE, _MASK = 136, 2**64 - 1
 
 
 def _constants() -> tuple[list[int], list[list[int]]]:
@@ -79,4 +79,27 @@ def keccak256_many(messages: list[bytes]) -> list[bytes]:
 
 
 def keccak256(message: bytes) -> bytes:
-    return keccak256_many([message])[0]
+    """The hash of one message, in plain integers: for one, array calls cost more than they save."""
+    size = len(message) // RATE + 1
+    data = bytearray(size * RATE)
+    data[: len(message)] = message
+    data[len(message)] ^= 0x01
+    data[-1] ^= 0x80
+    s = [[0] * 5 for _ in range(5)]
+    for at in range(0, len(data), RATE):
+        for j in range(RATE // 8):
+            s[j % 5][j // 5] ^= int.from_bytes(data[at + 8 * j : at + 8 * j + 8], "little")
+        for c in _ROUNDS:
+            p = [x[0] ^ x[1] ^ x[2] ^ x[3] ^ x[4] for x in s]
+            d = [p[x - 1] ^ _turned(p[(x + 1) % 5], 1) for x in range(5)]
+            b = [[0] * 5 for _ in range(5)]
+            for x in range(5):
+                for y in range(5):
+                    b[y][(2 * x + 3 * y) % 5] = _turned(s[x][y] ^ d[x], _TURNS[x][y])
+            s = [[b[x][y] ^ (~b[(x + 1) % 5][y] & _MASK & b[(x + 2) % 5][y]) for y in range(5)] for x in range(5)]
+            s[0][0] ^= c
+    return b"".join(s[x][0].to_bytes(8, "little") for x in range(4))
+
+
+def _turned(a: int, n: int) -> int:
+    return (a << n | a >> (64 - n)) & _MASK

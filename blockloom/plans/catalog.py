@@ -13,7 +13,7 @@ from blockloom.operators import coherence as co
 from blockloom.operators import linkage as li
 from blockloom.plans import metrics as me
 from blockloom.plans import queries as qu
-from blockloom.plans.views import blocks, events, oracle, transactions
+from blockloom.plans.views import blocks, bundles, events, oracle, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,3 +383,62 @@ def readiness(s, d):
 def exposition_text(s, d):
     m = events(s, d).groupBy("event_type").agg(F.count("*").alias("value"))
     return me.exposition(m.select(F.lit("events_total").alias("name"), F.lit("events").alias("help"), F.lit("counter").alias("type"), F.create_map(F.lit("type"), "event_type").alias("labels"), "value"))
+
+
+# -- operators that SQL can't express: tests hold these against independent models ------------------------------------
+
+
+@_register()
+def canonical_records(s, d):
+    """Bundles normalised with traces; each record as its hash and size."""
+    from blockloom.operators.normalize import normalize, parse_bundles
+
+    r = normalize(parse_bundles(bundles(s, d)), with_traces=True)
+    return r.select("number", "hash", "parent_number", "timestamp", F.md5("json_line").alias("record_md5"), F.length("json_line").cast("long").alias("record_chars"))
+
+
+@_register()
+def compressed_records(s, d):
+    """Records as zstd frames, and the records read back from their gzip members' source."""
+    from blockloom.operators.normalize import normalize, parse_bundles
+    from blockloom.sources.encode import encoded, record_of
+
+    r = encoded(normalize(parse_bundles(bundles(s, d))))
+    return r.select("number", F.octet_length("frame").alias("frame_bytes"), F.md5(record_of("frame")).alias("record_md5"))
+
+
+@_register()
+def flattened_frames(s, d):
+    """Call trees as frames, with the violations of their structure counted by block."""
+    from blockloom.operators.frames import frames_of
+    from blockloom.operators.normalize import parse_bundles
+
+    return frames_of(parse_bundles(bundles(s, d))).select("number", "tx", "place", "parent", F.size("path").alias("depth"), "subtraces", "type")
+
+
+@_register()
+def header_hashes(s, d):
+    from blockloom.functions.commitments import block_hash_udf
+
+    return bundles(s, d).select(F.get_json_object("value", "$.number").cast("long").alias("number"), block_hash_udf(F.get_json_object("value", "$.block")).alias("header_hash"))
+
+
+@_register()
+def log_blooms(s, d):
+    from blockloom.functions.commitments import bloom_of_logs
+
+    t = transactions(s, d)
+    logs = t.select("block_hash", F.concat(F.lit("0x"), F.substring(F.md5(F.col("part").cast("string")), 1, 32), F.lit("00000000")).alias("address"), F.array(F.concat(F.lit("0x"), F.sha2(F.col("supp").cast("string"), 256))).alias("topics"))
+    return bloom_of_logs(logs)
+
+
+@_register()
+def chain_windows(s, d):
+    """Outcomes of the stateful window over blocks that come in batches of ten, chain by chain, with finality twenty behind."""
+    from blockloom.streaming.buffer import window_stream
+
+    b = blocks(s, d).selectExpr(
+        "cast(chain_id AS string) AS chain_id", "cast(number DIV 10 AS bigint) AS batch", "key AS pos", "number", "hash", "parent_number", "md5(concat('b', key - 1)) AS parent_hash", "cast(null AS bigint) AS timestamp", "cast(null AS string) AS payload",
+        "cast(null AS bigint) AS report_number", "cast(null AS string) AS report_hash", "cast(null AS string) AS fork_prev",
+    )
+    return window_stream(b, most=100, force=True)

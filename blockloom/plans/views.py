@@ -59,3 +59,35 @@ ev AS (SELECT user_id AS chain_id, event_id AS pos, event_id, user_id, event_typ
 
 def oracle(body: str) -> str:
     return f"WITH {SQL} {body}"
+
+
+def bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Raw bundles (JSON lines) of block shape: orders as headers, their lines as transactions with receipts, logs and call trees."""
+    from pyspark.sql import functions as F
+
+    def word(*parts: str):
+        return F.concat(F.lit("0x"), F.sha2(F.concat_ws("/", *[F.col(p) if p in ("o_orderkey", "l_orderkey", "tx", "l_partkey", "l_suppkey") else F.lit(p) for p in parts]), 256))
+
+    def account(*parts: str):
+        return F.substring(word(*parts), 1, 42)
+
+    def qty(c: str):
+        return F.concat(F.lit("0x"), F.lower(F.hex(F.expr(c).cast("long"))))
+
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("tx", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1"))
+    tx = F.struct(
+        "tx",
+        F.struct(qty("tx").alias("transactionIndex"), word("t", "l_orderkey", "tx").alias("hash"), qty("l_suppkey").alias("nonce"), F.upper(account("s", "l_suppkey")).alias("from"), account("p", "l_partkey").alias("to"), F.lit("0x").alias("input"), qty("l_extendedprice").alias("value"), F.lit("0x0").alias("type"), F.lit("0x5208").alias("gas"), qty("l_quantity").alias("gasPrice"), F.lit("0x1b").alias("v"), word("r", "tx").alias("r"), word("s", "tx").alias("s")).alias("t"),
+        F.struct(
+            word("t", "l_orderkey", "tx").alias("transactionHash"), qty("l_quantity").alias("gasUsed"), qty("l_quantity * (tx + 1)").alias("cumulativeGasUsed"), F.lit("0x1").alias("status"), F.lit("0x00").alias("logsBloom"),
+            F.array(F.struct(account("p", "l_partkey").alias("address"), qty("tx").alias("logIndex"), qty("tx").alias("transactionIndex"), word("t", "l_orderkey", "tx").alias("transactionHash"), F.lit("0x").alias("data"), F.array(word("l_partkey")).alias("topics"))).alias("logs"),
+        ).alias("r"),
+        F.struct(F.struct(F.lit("CALL").alias("type"), account("s", "l_suppkey").alias("from"), account("p", "l_partkey").alias("to"), F.lit("0x5208").alias("gas"), qty("l_quantity").alias("gasUsed"), F.lit("0x").alias("input"), F.array(F.struct(F.lit("DELEGATECALL").alias("type"), account("p", "l_partkey").alias("from"), account("q", "tx").alias("to"), F.lit("0x1").alias("gas"), F.lit("0x1").alias("gasUsed"), F.lit("0x").alias("input"))).alias("calls")).alias("result")).alias("f"),
+    )
+    per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(tx)).alias("x"))  # a block's transactions are a record
+    rows = spark.read.parquet(f"{d}/orders.parquet").join(per, "o_orderkey", "left").withColumn("x", F.coalesce("x", F.array()))
+    head = F.struct(
+        qty("o_orderkey").alias("number"), word("b", "o_orderkey").alias("hash"), F.concat(F.lit("0x"), F.sha2(F.concat_ws("/", F.lit("b"), F.col("o_orderkey") - 1), 256)).alias("parentHash"), qty("unix_seconds(cast(o_orderdate AS timestamp))").alias("timestamp"), *[word(n, "o_orderkey").alias(n) for n in ("transactionsRoot", "receiptsRoot", "stateRoot", "sha3Uncles", "mixHash")],
+        F.lit("0x" + "00" * 256).alias("logsBloom"), F.lit("0x").alias("extraData"), account("m", "o_orderkey").alias("miner"), F.lit("0x0000000000000000").alias("nonce"), qty("o_custkey").alias("size"), F.lit("0x1c9c380").alias("gasLimit"), qty("o_totalprice").alias("gasUsed"), F.lit("0x0").alias("difficulty"), F.transform("x", lambda e: e["t"]).alias("transactions"),
+    )
+    return rows.select(F.to_json(F.struct(F.col("o_orderkey").alias("number"), word("b", "o_orderkey").alias("hash"), head.alias("block"), F.transform("x", lambda e: e["r"]).alias("receipts"), F.transform("x", lambda e: e["f"]).alias("debugFrames"))).alias("value"))

@@ -227,4 +227,7 @@ class WindowProcessor(StatefulProcessor):
 
 def window_stream(events: DataFrame, most: int = 1000, force: bool = False, mode: str = "Append") -> DataFrame:
     """Outcomes of a stream (or table) of batches, columns ``INPUT``, chains independent of each other."""
+    # the operator's state variables need this store; it spills to disk and checkpoints to shared storage
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _ = events.sparkSession.streams.active  # starts the coordinator of state stores, which tables need as streams do
     return events.groupBy("chain_id").transformWithStateInPandas(WindowProcessor(most, force), OUTPUT, mode, "None")
