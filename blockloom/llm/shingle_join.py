@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, components, mix64, partitions, slices, written
 
-#: Bytes of text worked on at once, tokens of a block, dimensions of the count vectors, entries of an R-tree's node.
-SLICE, BLOCK_TOKENS, DIMS, FAN = 1 << 20, 1 << 18, 64, 16
+#: Bytes of text worked on at once, tokens of a block, dimensions of its count vectors, entries of an R-tree's node, ids of a cell
+#: that are compared within it.
+SLICE, BLOCK_TOKENS, DIMS, FAN, CELL = 1 << 20, 1 << 18, 64, 16, 8192
 _U64 = np.uint64
 _BYTE = mix64(np.arange(1, 257, dtype=_U64))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], _U64)
@@ -172,20 +173,61 @@ class RTree:
         return self.order[at[good]]
 
 
-def count_vector(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens % _U64(DIMS)).astype(np.int64), minlength=DIMS).astype(np.int32)
+def count_vector(tokens: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    return np.bincount((tokens % _U64(dims)).astype(np.int64), minlength=dims).astype(np.int32)
 
 
-def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of side 0 and side 1, or among all if there is but one side."""
-    parent = np.arange(len(ids))
+def width_for(n: int) -> int:
+    """Dimensions of a set's vector: more for larger sets, whose counts differ less from chance."""
+    return 64 if n < 512 else 256 if n < 4096 else 1024
+
+
+def folded(vector: np.ndarray, dims: int) -> np.ndarray:
+    """A vector of fewer dimensions over the same tokens."""
+    return vector.reshape(-1, dims).sum(axis=0)
+
+
+class Forest:
+    """Which of some items are known to be connected."""
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        p = self.parent
+        while p[i] != i:
+            p[i] = p[p[i]]
+            i = p[i]
         return i
 
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[b] = a
+        return a != b
+
+
+def reachable(ids: list[int], sizes: np.ndarray, vectors: list[np.ndarray], plan: Plan) -> list[tuple[int, int]]:
+    """Pairs that connect the ids of a cell as all pairs within the bound would: a spanning forest of what may link.
+
+    A cell of more than ``CELL`` ids is taken as connected, which makes bundles coarser and loses no link.
+    """
+    n = len(ids)
+    if n > CELL:
+        return [(ids[0], x) for x in ids[1:]]
+    dims = min(len(v) for v in vectors)
+    points = np.array([folded(v, dims) for v in vectors])
+    forest, found = Forest(n), []
+    tree = RTree(points, sizes)
+    for a in range(n):
+        for b in tree.query(points[a], int(sizes[a]), plan):
+            if b > a and forest.join(a, int(b)):
+                found.append((ids[a], ids[b]))
+    return found
+
+
+def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of side 0 and side 1, or among all if there is but one side."""
+    forest = Forest(len(ids))
     vectors, sizes = np.array([count_vector(s) for s in sets]), np.array([len(s) for s in sets], np.int64)
     two = side.any() and not side.all()
     own = np.flatnonzero(side) if two else np.arange(len(ids))
@@ -196,14 +238,13 @@ def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan:
         if not two:
             near = near[near > a]
         for b in near:
-            ra, rb = root(a), root(b)
-            if ra == rb:
+            if forest.root(a) == forest.root(b):
                 continue
             x, y = (sets[a], sets[b]) if sizes[a] < sizes[b] else (sets[b], sets[a])
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             if int((y[at] == x).sum()) >= plan.overlap(int(sizes[a] + sizes[b])):
-                parent[rb] = ra
+                forest.join(a, b)
                 found.append((ids[a], ids[b]))
     return found
 
@@ -220,41 +261,68 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     n_parts = partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            cells = [plan.cells(s) for s in sets]
             with np.errstate(over="ignore"):
                 fp = np.array([[mix64(s).sum(dtype=_U64), mix64(s ^ _ODD[2]).sum(dtype=_U64)] for s in sets], _U64).reshape(-1, 2)
-            ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(cells)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(np.ascontiguousarray(fp[:, 0])), _signed(np.ascontiguousarray(fp[:, 1])), lists], ["id", "n", "f1", "f2", "cells"])
+            vectors = [count_vector(s, width_for(len(s))).astype("<u2" if len(s) < 1 << 16 else "<u4").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(np.ascontiguousarray(fp[:, 0])), _signed(np.ascontiguousarray(fp[:, 1])), pa.array(vectors, pa.binary())], ["id", "n", "f1", "f2", "vec"])
+
+    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            cells = [plan.cells(s) for s in shingle_sets(batch.column(1).to_pylist(), width)]
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(c) for c in cells])
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(cells)), pa.array(ids.astype(np.int64))], ["cell", "id"])
 
-    signed = written(source.mapInArrow(signatures, "id long, n long, f1 long, f2 long, cells array<long>"), "signed")
+    signed = written(source.mapInArrow(described, "id long, n long, f1 long, f2 long, vec binary"), "signed")
     members = signed.select("id", "n", "f1", "f2")
     known = members.filter("n > 0 AND id IS NOT NULL")
-    classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    # a representative's cells; an id that is no representative of its set leaves here
+    classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     reps = written(classes.select("f1", "f2", "n", "rep"), "classes")
-    own = signed.filter("size(cells) > 0").select("id", "f1", "f2", "cells").join(reps.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"])
-    rows = own.select(F.explode("cells").alias("cell"), "id").repartition(n_parts, "cell").sortWithinPartitions("cell", "id")
+    rows = source.filter("id IS NOT NULL").mapInArrow(in_cells, "cell long, id long").repartition(n_parts, "cell").sortWithinPartitions("cell", "id")
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(least id of the cell, id) of each cell that several ids share."""
-        cell, hub = None, None
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of cells that several ids share; of a run of rows, what came last waits for the next batch."""
+        last: tuple[int, int] | None = None
+        told = False  # whether the waiting row is known to share its cell
         for batch in batches:
             if not batch.num_rows:
                 continue
             c, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.r_[cell is None or c[0] != cell, c[1:] != c[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(c)), -1))
-            hubs = np.where(at < 0, hub if hub is not None else 0, i[at])
-            cell, hub = c[-1], hubs[-1]
-            good = hubs != i
-            pairs = np.unique(np.stack([hubs[good], i[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    bundles = components(rows.mapInArrow(stars, "a long, b long"), "bundles")
+            if last is not None:
+                c, i = np.r_[last[0], c], np.r_[last[1], i]
+            same = c[1:] == c[:-1]
+            keep = np.r_[told, same] | np.r_[same, False]
+            last, told = (int(c[-1]), int(i[-1])), bool(keep[-1])
+            keep[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array(i[keep])], ["cell", "id"])
+        if last is not None and told:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["cell", "id"])
+
+    meet = written(rows.mapInArrow(shared, "cell long, id long"), "cells")
+    own = signed.join(reps.select(F.col("rep").alias("id"), "f1", "f2").hint("merge"), ["id", "f1", "f2"]).select("id", "n", "vec")
+    meet = meet.join(own.hint("merge"), "id").repartition(n_parts, "cell").sortWithinPartitions("cell", "id")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, sizes, vectors = None, [], [], []
+
+        def out():
+            found = reachable(ids, np.array(sizes, np.int64), vectors, plan) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for c, i, n, raw in zip(*(batch.column(k).to_pylist() for k in ("cell", "id", "n", "vec")), strict=True):
+                if c != cell:
+                    if len(ids) > 1:
+                        yield out()
+                    cell, ids, sizes, vectors = c, [], [], []
+                ids.append(i), sizes.append(n)
+                vectors.append(np.frombuffer(raw, "<u2" if n < 1 << 16 else "<u4").astype(np.int32))
+        if len(ids) > 1:
+            yield out()
+
+    bundles = components(meet.mapInArrow(near, "a long, b long"), "bundles")
     held = bundles.select(F.col("node").alias("id"), F.col("component").alias("bundle")).join(reps.select(F.col("rep").alias("id"), "f1", "f2", "n"), "id")
     held = written(held, "held")
     weights = held.groupBy("bundle").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
