@@ -158,8 +158,9 @@ def replay_diffs(diff: Column, tx: Column) -> Column:
     accounts = F.coalesce(F.from_json(diff, _ACCOUNT), F.expr(f"cast(map() AS {_ACCOUNT})"))
 
     def row(address: Column, key: Column, x: Column) -> Column:
-        plus, minus = F.get_json_object(x, "$.+"), F.get_json_object(x, "$.-")
-        before, after = F.get_json_object(x, "$.*.from"), F.get_json_object(x, "$.*.to")
+        parts = F.from_json(x, "map<string, string>")
+        plus, minus, change = (F.try_element_at(parts, F.lit(k)) for k in ("+", "-", "*"))
+        before, after = F.get_json_object(change, "$.from"), F.get_json_object(change, "$.to")
         return F.when(plus.isNotNull(), diff_row(tx, address, key, F.lit(None).cast("string"), plus)).when(before.isNotNull() & after.isNotNull(), diff_row(tx, address, key, before, after)).when(minus.isNotNull(), diff_row(tx, address, key, minus, F.lit(None).cast("string")))
 
     def one(e: Column) -> Column:
