@@ -154,8 +154,13 @@ def read_segment(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a file, one for each worker process; refuses one under which texts don't fall apart into words."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        tok = Tokenizer.from_file(path)
+        for text in ("Heath. \u00c9tre, Ab\ncd", "a", "x.\ny"):
+            if np.frombuffer(encode_texts(tok, [text], {})[0], "<u4").tolist() != tok.encode(text, add_special_tokens=False).ids:
+                raise ValueError("the tokenizer's words aren't those between spaces")
+        _TOKENIZERS[path] = tok
     return _TOKENIZERS[path]
 
 
