@@ -42,7 +42,7 @@ def frequent_keys(docs: DataFrame, text: str = "text", rows: int = TABLE_ROWS) -
                 top = seen.most_common(4 * SUMMARY_ROWS + 1)
                 less = top[-1][1]
                 seen = Counter({k: v - less for k, v in top if v > less})
-        top = [(k, v) for k, v in seen.most_common(SUMMARY_ROWS) if len(k) <= KEY_CHARS]
+        top = [(k, v) for k, v in seen.most_common(SUMMARY_ROWS) if len(k) <= KEY_CHARS and "\0" not in k]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["k", "n"])
 
     found = docs.select(text).mapInArrow(summary, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(rows)

@@ -7,7 +7,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import same_rows
 from tokenizers import Tokenizer
 
 from blockloom.llm import line_chunks, media, queries, webp, word_ids
@@ -127,7 +126,7 @@ def test_media(odd, none):
     assert media.digest(media.write_media(none)).count() == 0
 
 
-def test_line_chunks_equal_their_sql(spark, sf, duck):
+def test_line_chunks_equal_their_sql(spark, sf, duck, same_rows):
     assert same_rows(queries.QUERIES["op5_line_chunks"](spark, sf), duck, line_chunks.ORACLE)
 
 
