@@ -33,7 +33,13 @@ def duck(sf):
     return con
 
 
-def same_rows(df, con, sql):
+@pytest.fixture(scope="session")
+def same_rows():
+    """Checks that a DataFrame has the rows of a DuckDB query; returns how many."""
+    return _same_rows
+
+
+def _same_rows(df, con, sql):
     cols = sorted(df.columns)
     got = con.sql(sql)
     assert sorted(got.columns) == cols

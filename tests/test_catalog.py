@@ -1,11 +1,10 @@
 import pytest
-from conftest import same_rows
 
 from blockloom.plans import catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_query_equals_its_sql(spark, sf, duck, name):
+def test_query_equals_its_sql(spark, sf, duck, same_rows, name):
     same_rows(catalog.QUERIES[name](spark, sf), duck, catalog.ORACLES[name])
 
 
