@@ -117,22 +117,84 @@ class Client:
         return out
 
 
-def read_bundles(client: Client, numbers: list[int], receipts: bool = True) -> Iterator[tuple]:
-    """(number, hash, bundle JSON, issue) of each height: missing, invalid or wrong number, or with its receipts."""
+def read_bundles(client: Client, numbers: list[int], receipts: bool = True, logs: bool = False, traces: str | None = None, diffs: bool = False) -> Iterator[tuple]:
+    """(number, hash, bundle JSON, issue) of each height: missing, invalid, wrong number or not ready, or with all that is asked for.
+
+    ``traces`` is one of ``trace_method``'s answers. Genesis has no traces. Debug answers may be bare frames or wrapped ones.
+    """
     blocks = client.batch_call([("eth_getBlockByNumber", [hex(n), True]) for n in numbers])
-    good = [(n, b) for n, b in zip(numbers, blocks, strict=True) if isinstance(b, dict) and b.get("hash") and int(b["number"], 16) == n]
-    by = dict(zip([n for n, _ in good], client.batch_call([("eth_getBlockReceipts", [hex(n)]) for n, _ in good]) if receipts else [None] * len(good), strict=True))
-    known = dict(good)
+    good = {n: b for n, b in zip(numbers, blocks, strict=True) if isinstance(b, dict) and b.get("hash") and int(b["number"], 16) == n}
+    parts: dict[int, dict] = {n: {"number": n, "hash": b["hash"], "block": b} for n, b in good.items()}
+    late: set[int] = set()
+
+    def ask(key: str, wanted: list[int], method: str, params, shape=lambda x: x) -> None:
+        for n, x in zip(wanted, client.batch_call([(method, params(n)) for n in wanted]), strict=True):
+            if isinstance(x, list):
+                parts[n][key] = shape(x)
+            else:
+                late.add(n)
+
+    if receipts:
+        ask("receipts", list(good), "eth_getBlockReceipts", lambda n: [hex(n)])
+    if logs and good:
+        ends = [hex(min(good)), hex(max(good))]
+        try:
+            rows = client.call("eth_getLogs", [{"fromBlock": ends[0], "toBlock": ends[1]}]) or []
+        except RpcError as e:  # a range behind the last accepted block has none yet
+            if "after last accepted block" not in str(e):
+                raise
+            rows = []
+        for n, b in good.items():
+            parts[n]["logs"] = [x for x in rows if x.get("blockHash") == b["hash"]]
+            if not parts[n]["logs"] and set((b.get("logsBloom") or "").removeprefix("0x")) - {"0"}:
+                late.add(n)
+    traced = [n for n in good if n]
+    if traces == "debug_traceBlockByHash":
+        def wrapped(xs):
+            return [None if x is None else {"result": x.get("result", x), **({"txHash": x["txHash"]} if x.get("txHash") else {})} for x in xs]
+
+        ask("debugFrames", traced, traces, lambda n: [good[n]["hash"], {"tracer": "callTracer", "tracerConfig": {"onlyTopCall": False, "withLog": True}}], wrapped)
+        if diffs:
+            ask("debugStateDiffs", traced, traces, lambda n: [good[n]["hash"], {"tracer": "prestateTracer", "tracerConfig": {"diffMode": True}}], wrapped)
+    elif traces == "trace_replayBlockTransactions":
+        ask("traceReplays", traced, traces, lambda n: [good[n]["hash"], ["trace", "stateDiff"] if diffs else ["trace"]])
+    elif traces == "trace_block":
+        def by_tx(frames):
+            groups: dict[str, list] = {}
+            for f in frames:
+                if f.get("transactionHash"):
+                    groups.setdefault(f["transactionHash"], []).append(f)
+            return [{"transactionHash": h, "trace": fs} for h, fs in groups.items()]
+
+        ask("traceReplays", traced, traces, lambda n: [hex(n)], by_tx)
     for n, b in zip(numbers, blocks, strict=True):
-        if n in known:
-            own = by[n] if isinstance(by[n], list) else None
-            yield n, b["hash"], json.dumps({"number": n, "hash": b["hash"], "block": b, **({"receipts": own} if own is not None else {})}), None if own is not None or not receipts else "not ready"
+        if n in good:
+            yield n, b["hash"], json.dumps(parts[n]), "not ready" if n in late else None
         elif b is None:
             yield n, None, None, "missing"
         else:
             yield n, "", None, "invalid" if isinstance(b, RpcError) or not isinstance(b, dict) or not b.get("hash") else "wrong number"
 
 
+def acquire(client: Client, numbers: list[int], attempts: int = 10, delay: float = 0.05, budget: float = 30.0, **selection) -> list[tuple]:
+    """A stride's rows, asking again for those that aren't whole; ends before the first that stays so, or that breaks the chain."""
+    rows = {r[0]: r for r in read_bundles(client, numbers, **selection)}
+    end = time.monotonic() + budget
+    for k in range(attempts):
+        bad = [n for n in numbers if rows[n][3] in ("invalid", "wrong number", "not ready")]
+        if not bad or time.monotonic() > end:
+            break
+        if k:
+            client.sleep(delay)
+        rows |= {r[0]: r for r in read_bundles(client, bad, **selection)}
+    out: list[tuple] = []
+    for n in numbers:
+        if rows[n][3] or (out and json.loads(rows[n][2])["block"]["parentHash"].lower() != out[-1][1].lower()):
+            break
+        out.append(rows[n])
+    return out
+
+
 class _Stride(InputPartition):
     def __init__(self, start: int, end: int):
         super().__init__((start, end))
@@ -163,7 +225,12 @@ class _Ranges:
         return [_Stride(n, min(n + self.stride, end)) for n in range(start, end, self.stride)]
 
     def read(self, part: _Stride) -> Iterator[tuple]:
-        yield from read_bundles(_client(self.options), list(range(part.start, part.end)), self.options.get("receipts", "true") == "true")
+        def on(name: str, default: str = "false") -> bool:
+            return self.options.get(name, default) == "true"
+
+        selection = {"receipts": on("receipts", "true"), "logs": on("logs"), "diffs": on("statediffs")}
+        selection["traces"] = trace_method(on("traces"), selection["diffs"], on("debug"))
+        yield from read_bundles(_client(self.options), list(range(part.start, part.end)), **selection)
 
 
 class BlockReader(_Ranges, DataSourceReader):
@@ -195,7 +262,8 @@ class BlockStreamReader(_Ranges, DataSourceStreamReader):
 
 
 class BlockSource(DataSource):
-    """``spark.read.format("evm_blocks")`` and ``readStream``: options url or cassette, from, to, stride, receipts."""
+    """``spark.read.format("evm_blocks")`` and ``readStream``: options url or cassette, from, to, stride, receipts, logs, traces,
+    statediffs, debug."""
 
     @classmethod
     def name(cls) -> str:
