@@ -88,7 +88,6 @@ def components(edges: DataFrame, what: str, rounds: int = 40) -> DataFrame:
     Large-star and small-star rounds over written tables; each row moves to the smallest neighbour of its node, so no
     node's list of neighbours is ever gathered in one place. Nothing but a count reaches the driver.
     """
-    spark = edges.sparkSession
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{what}-edges")
     for _ in range(rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -105,5 +104,4 @@ def components(edges: DataFrame, what: str, rounds: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    del spark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -206,7 +206,6 @@ def _kept(edges: DataFrame, lists: DataFrame, n_parts: int) -> DataFrame:
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_valid, "id long, label string, vec binary")
     rows = written(rows, "unit")
     able = rows.filter("vec IS NOT NULL AND label IS NOT NULL")
@@ -216,7 +215,6 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
     out = able.join(classes, ["label", "vec"]).join(found, "u", "left")
     out = out.select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", F.when(F.col("copies") > 1, F.col("u")), F.col("id")).alias("component_id"))
     rest = rows.filter("vec IS NULL OR label IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    del spark
     return out.unionAll(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
