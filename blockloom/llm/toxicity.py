@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, slices, written
 
-GRAMS, BUCKETS, MOST_LABELS, DEVIATIONS, PENALTY, CACHE_ROWS, THRESHOLD = (5, 6), 1 << 20, 20_000, 2.5, 1e-3, 200_000, 0.7
+GRAMS, BUCKETS, MOST_LABELS, DEVIATIONS, PENALTY, CACHE_ROWS, THRESHOLD = (5, 6), 1 << 20, 8_000, 2.5, 1e-3, 200_000, 0.7
 _CACHE: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
@@ -94,17 +94,16 @@ def _regression(found: DataFrame, at: dict[int, int], r: np.ndarray) -> dict:
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = keep.value[1]
         for batch in batches:
-            sets = [[own[b] for b in g if b in own] for g in batch.column(1).to_pylist()]
+            sets = [sorted(own[b] for b in g if b in own) for g in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["y", "g"])
 
     data = found.mapInArrow(narrow, "y int, g array<int>").toArrow().combine_chunks()
     y = (data.column("y").to_numpy() > 0).astype(float)
     lists = data.column("g").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    lens, cols = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(y)), lens)
-    order = np.lexsort((cols, row))
-    b, w = solve(y, row[order], cols[order], r)
+    lens, cols = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lens)
+    b, w = solve(y, row, cols, r)
     names = sorted(at, key=at.get)
     return {"bias": float(b), "weights": {n: float(v) for n, v in zip(names, w * r, strict=True)}}
 
