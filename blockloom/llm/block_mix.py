@@ -156,7 +156,8 @@ def _slots(spark: SparkSession, sources: list[dict]) -> DataFrame:
 def taken_spans(rows: DataFrame, slots: DataFrame) -> DataFrame:
     """Rows' stretches of words that a slot takes: the rows' columns, repeat, lo, hi (word numbers within the text)."""
     cut = rows.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(since DIV {BLOCK}, (since + size - 1) DIV {BLOCK})")))
-    met = cut.join(slots.select("s", "repeat", "block", "words"), ["s", "block"])
+    # slots are made from a short range, by whose size the planner would think them small enough to broadcast
+    met = cut.join(slots.select("s", "repeat", "block", "words").hint("merge"), ["s", "block"])
     met = met.withColumn("lo", F.expr(f"greatest(since, block * {BLOCK}) - since")).withColumn("hi", F.expr(f"least(since + size, block * {BLOCK} + words) - since"))
     return met.filter("hi > lo")
 
