@@ -188,22 +188,16 @@ def folded(vector: np.ndarray, dims: int) -> np.ndarray:
 
 
 class Forest:
-    """Which of some items are known to be connected."""
+    """Labels of what is known to be connected, so that a whole array of candidates is sifted at once."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
+        self.labels = np.arange(n)
 
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
+    def apart(self, a: int, near: np.ndarray) -> np.ndarray:
+        return near[self.labels[near] != self.labels[a]]
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.parent[b] = a
-        return a != b
+    def join(self, a: int, b: int) -> None:
+        self.labels[self.labels == self.labels[b]] = self.labels[a]
 
 
 def reachable(ids: list[int], sizes: np.ndarray, vectors: list[np.ndarray], plan: Plan) -> list[tuple[int, int]]:
@@ -219,9 +213,11 @@ def reachable(ids: list[int], sizes: np.ndarray, vectors: list[np.ndarray], plan
     forest, found = Forest(n), []
     tree = RTree(points, sizes)
     for a in range(n):
-        for b in tree.query(points[a], int(sizes[a]), plan):
-            if b > a and forest.join(a, int(b)):
-                found.append((ids[a], ids[b]))
+        near = forest.apart(a, tree.query(points[a], int(sizes[a]), plan))
+        while len(near):
+            found.append((ids[a], ids[near[0]]))
+            forest.join(a, near[0])
+            near = forest.apart(a, near)
     return found
 
 
@@ -237,8 +233,9 @@ def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan:
         near = own[tree.query(vectors[a], int(sizes[a]), plan)]
         if not two:
             near = near[near > a]
+        near = forest.apart(a, near)
         for b in near:
-            if forest.root(a) == forest.root(b):
+            if forest.labels[a] == forest.labels[b]:
                 continue
             x, y = (sets[a], sets[b]) if sizes[a] < sizes[b] else (sets[b], sets[a])
             at = np.searchsorted(y, x)
