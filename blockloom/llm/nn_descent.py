@@ -7,9 +7,11 @@ its best ``K``. Vectors whose whole list is at the threshold or above are satura
 sample of vectors with all others of their label and asks for further rounds until ``RECALL`` of their links lie in the
 components found.
 
-The edges at the threshold give components. A vector's links all lie in its component, so they are counted there, exactly, by
-blocks of the component's vectors against each other: that is the exact way for what lists of ``K_MOST`` can't hold, and no
-pair is written. Nothing below the threshold links.
+The edges at the threshold give components. Lists of ``K_MOST`` can't hold all links of dense families, so lists may join two
+families nowhere although they link. But a vector that met a link at all has one in its list (it gives one up for better ones
+only), hence the linked vectors of a label are compared, in blocks and exactly, across components, and components that link
+are joined. A vector's links to linked vectors then lie in its component and are counted there, exactly, by blocks of the
+component's vectors against each other; no pair is written. Nothing below the threshold links.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without a label, link with nothing. Vectors of
 other lengths than their label's have no cosine and do not link with them. Repeated ids are rows of their own; a null id is
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import components, partitions, written
 
 K, K_MOST, ROUNDS, GATHER, WINDOW, AUDIT, RECALL, SETTLED = 10, 40, 8, 64, 256, 200, 0.98, 0.002
+#: Rows of a block of vectors compared at once with another block.
+TILE = 256
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -173,6 +177,57 @@ def _counted(threshold: float):
     return run
 
 
+def _across(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by (label, size, i, j, side): pairs that connect the components as all links across them would."""
+
+        def compare(rows):
+            side, of = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+            names, of = np.unique(of, return_inverse=True)
+            vec, now, found = _unit([r[2] for r in rows]), np.arange(len(names)), []
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+            for at in range(0, len(a) if len(names) > 1 else 0, TILE):
+                own = a[at : at + TILE]
+                p, q = now[of[own]], now[of[b]]
+                x, y = np.nonzero((vec[own] @ vec[b].T >= threshold) & (p[:, None] != q[None, :]))
+                for pair in np.unique(p[x] * len(names) + q[y]):
+                    one, two = divmod(int(pair), len(names))
+                    if now[one] != now[two]:
+                        now[now == now[two]] = now[one]
+                        found.append((names[one], names[two]))
+            return pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in found], pa.int64()) for c in range(2)], ["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            for label, size, i, j, side, component, vec in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if key != (label, size, i, j):
+                    if held and (key[2] == key[3] or held[0][0] != held[-1][0]):
+                        yield compare(held)
+                    key, held = (label, size, i, j), []
+                held.append((side, component, vec))
+        if held and (key[2] == key[3] or held[0][0] != held[-1][0]):
+            yield compare(held)
+
+    return run
+
+
+def bridged(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(u, component) of vectors (u, label, vec, component) after components of a label that link are joined: every pair of a
+    label's vectors here is compared, in blocks against each other."""
+    n_parts, kind = partitions(vectors.sparkSession), ["label", "size"]
+    vectors = vectors.withColumn("size", F.octet_length("vec"))
+    several = vectors.groupBy(*kind).agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    several = several.select(*kind, F.expr("cast(least(ceil(m / 8192), 16 + ceil(m / 65536)) AS int)").alias("blocks"))
+    dealt = vectors.join(several, kind).withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select(*kind, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "component", "vec")
+    dealt = dealt.repartition(n_parts, *kind, "i", "j").sortWithinPartitions(*kind, "i", "j", "side")
+    met = written(dealt.mapInArrow(_across(threshold), "a long, b long"), "across")
+    if met.isEmpty():
+        return vectors.select("u", "component")
+    moved = components(met, "across").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return vectors.join(moved, "component", "left").select("u", F.coalesce("to", "component").alias("component"))
+
+
 def descend(vectors: DataFrame, threshold: float, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """(u, v, sim): the refined graph over vectors (u, label, vec)."""
     n_parts, n = partitions(vectors.sparkSession), vectors.count()
@@ -226,6 +281,7 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
         graph = descend(classes, threshold, k)
         joined = components(graph.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")), "near")
         joined = written(joined.select(F.col("node").alias("u"), "component"), "near")
+        joined = written(bridged(classes.join(joined, "u").select("u", "label", "vec", "component"), threshold), "bridged")
         if k >= 4 * K or _audit(classes, joined, threshold) >= RECALL:
             break
         k *= 2

@@ -165,6 +165,23 @@ def test_embeddings(spark):
     assert near_duplicates(df.filter("false")).count() == 0
 
 
+def test_families_beyond_the_lists_are_joined(spark):
+    rng, m, within, across = np.random.default_rng(7), 60, 0.988, 0.955
+    axes = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    c = across / within
+    rows = []
+    for centre in (axes[0], c * axes[0] + np.sqrt(1 - c * c) * axes[1]):
+        noise = rng.standard_normal((m, 64))
+        noise -= noise @ axes.T @ axes
+        rows += list(centre + noise / np.linalg.norm(noise, axis=1)[:, None] * np.sqrt(1 / within - 1))
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    sims = unit @ unit.T
+    assert (sims >= 0.93).all() and sims[:m, m:].max() < min(np.sort(s)[-41] for s in (*sims[:m, :m], *sims[m:, m:]))  # 40 best: no one of the other family
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    assert got == {i: (2 * m - 1, 0, i == 0) for i in range(2 * m)}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
