@@ -62,6 +62,41 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     )
 
 
+def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents' rows without runs of lines that came before, and ``cut``: how many lines went.
+
+    Chunks are fused with unlike lines at a repeat's ends. Here every pair of neighbouring lines (with the blank ones between
+    them) counts by itself: pairs that came before (smaller id, then place) make runs, and runs of more than ``LONG_WORDS``
+    words go. A line that goes has come before in such a pair, so a line's first occurrence always stays. Pairs are equal by SHA-256.
+    """
+    ls = f"split(`{text}`, '\\n', -1)"
+    # 1-based numbers of the lines that are not blank; a pair's number is its first line's index among them
+    full = "filter(sequence(1, size(ls)), i -> ls[i - 1] RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
+    pairs = f"transform(array({ls}), ls -> transform(array({full}), f -> transform(slice(f, 1, greatest(size(f) - 1, 0)), (i, k) -> named_struct('pos', k, 'h', unhex(sha2(array_join(slice(ls, i, f[k + 1] - i + 1), '\\n'), 256)))))[0])[0]"
+    key = F.struct(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("m"))
+    keyed = docs.withColumn("_key", key)
+    places = keyed.filter(F.col(text).isNotNull()).select("_key", F.explode(F.expr(pairs)).alias("p")).select("_key", "p.pos", "p.h").withColumn("short", F.xxhash64("h"))
+    repeated = places.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short")
+    # rows alike in id and text are one document
+    suspects = places.join(repeated, "short").select("_key", "pos", "h")
+    first = suspects.groupBy("h").agg(F.min(F.struct("_key", "pos")).alias("first"))
+    gone = suspects.join(first, "h").filter(F.struct("_key", "pos") != F.col("first")).groupBy("_key").agg(F.sort_array(F.collect_set("pos")).alias("_pairs"))
+    out = keyed.join(gone, keyed["_key"].eqNullSafe(gone["_key"]), "left").drop(gone["_key"])
+    # runs of pairs as first and last lines, then the lines between runs
+    runs = f"""
+        transform(array({full}), f -> filter(
+          zip_with(filter(_pairs, (k, i) -> i = 0 OR get(_pairs, i - 1) <> k - 1), filter(_pairs, (k, i) -> i = size(_pairs) - 1 OR get(_pairs, i + 1) <> k + 1),
+            (a, b) -> named_struct('a', f[a], 'b', f[b + 1])),
+          r -> size(filter(split(array_join(slice(ls, r.a, r.b - r.a + 1), ' '), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')) > {LONG_WORDS}))[0]"""
+    out = out.withColumn("_runs", F.when(F.col("_pairs").isNotNull(), F.expr(f"transform(array({ls}), ls -> {runs})[0]")))
+    stay = f"""
+        transform(array({ls}), ls -> array_join(flatten(transform(sequence(0, size(_runs)), j ->
+          transform(array(if(j = 0, 1, get(_runs, j - 1).b + 1)), a -> slice(ls, a, if(j = size(_runs), size(ls) + 1, get(_runs, j).a) - a))[0])), '\\n'))[0]"""
+    cut = F.coalesce(F.expr("aggregate(_runs, 0, (n, r) -> n + r.b - r.a + 1)"), F.lit(0))
+    out = out.withColumn("cut", cut).withColumn(text, F.when(F.col("cut") > 0, F.expr(stay)).otherwise(F.col(text)))
+    return out.drop("_key", "_pairs", "_runs")
+
+
 def digest(out: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_lines, n_chunks, n_removed, kept_chars, kept_md5) of ``line_dedup``'s rows."""
     return out.select(id_col, "n_lines", "n_chunks", F.size("removed").cast("long").alias("n_removed"), F.coalesce(F.length("kept"), F.lit(0)).cast("long").alias("kept_chars"), F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.block_mix import mixed_documents
 from blockloom.llm.common import table, written
-from blockloom.llm.line_chunks import line_dedup
+from blockloom.llm.line_chunks import line_dedup, without_repeated_runs
 from blockloom.llm.piece_codec import encode_decode
 from blockloom.llm.shingle_join import jaccard_components
 from blockloom.llm.toxicity import fit, without_toxic
@@ -26,7 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without chunks of lines that came before; a document of which nothing is left goes."""
+    """Texts without runs and chunks of lines that came before; a document of which nothing is left goes."""
+    docs = written(without_repeated_runs(docs).filter((F.col("cut") == 0) | (F.col("text") != "")).drop("cut"), "runs")
     out = line_dedup(docs).filter((F.size("removed") == 0) | (F.col("kept") != ""))
     return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

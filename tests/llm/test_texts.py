@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from blockloom.llm import line_chunks, media, queries, webp, word_ids
 from blockloom.llm.piece_codec import PieceCodec, digests, encode_decode
 from blockloom.llm.pieces import encode_keys, keys, model
@@ -141,6 +142,27 @@ def test_line_chunks_keep_first_and_all_that_is_single(spark, odd, none):
     assert line_chunks.line_dedup(own).count() == odd.count() and line_chunks.line_dedup(none.drop("_key", "kept", "removed")).count() == 0
 
 
+def test_pipeline_takes_whole_runs_out(spark, odd, none):
+    line = lambda name, n: " ".join(f"{name}.{i}" for i in range(n))
+    rows, want = [], {}
+    for k in range(24):
+        passage = "\n".join([line(f"p{k}a", 28), *(["", " "] if k % 3 == 0 else []), line(f"p{k}b", 30), *(line(f"p{k}c{j}", 9) for j in range(k % 4))])
+        short = f"{line(f's{k}', 20)}\n{line(f't{k}', 30)}"
+        ends = [[line(f"{w}{k}{e}", 5) for w in "xyz"] for e in "gh"]
+        for i, (head, mid, tail) in enumerate(ends):
+            rows.append((2 * k + i, f"{head}\n{passage}\n{mid}\n{short}\n{tail}", "en", "a", 0))
+        want[2 * k], want[2 * k + 1] = rows[-2][1], "\n".join([ends[1][0], ends[1][1], short, ends[1][2]])
+    rows += [(None, rows[0][1], "en", "a", 0), (100, None, "en", "a", 0), (101, "", "en", "a", 0), (102, rows[0][1], "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    cut = {r.doc_id: r for r in line_chunks.without_repeated_runs(docs).collect()}
+    # the null id sorts first: all of document 0 has come before
+    assert cut[None].cut == 0 and cut[None].text == rows[0][1] and cut[0].text == cut[102].text == "" and cut[100].text is None and cut[101].text == ""
+    assert {i: cut[i].text for i in want if i > 1} == {i: t for i, t in want.items() if i > 1}
+    out = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs.filter("doc_id IS NOT NULL"), "").collect()}
+    assert 102 not in out and all(f"p{k}a.0" not in out[2 * k + 1] and f"p{k}b.29" not in out[2 * k + 1] for k in range(24)) and all(out[2 * k] == want[2 * k] for k in range(24))
+    assert line_chunks.without_repeated_runs(odd.drop("_key")).count() == odd.count() and line_chunks.without_repeated_runs(none.drop("_key")).count() == 0
+
+
 def test_ring_shards(spark, odd, none, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = ring_shards(docs).toPandas()
