@@ -3,9 +3,10 @@
 Equal vectors of a label collapse first. A neighbour graph of ``K`` neighbours a vector starts from windows of two orders by
 random hyperplanes' signs and is refined by joins of neighbours with their neighbours: of all vectors around a centre (its neighbours and
 those that have it as one; large gatherings are split), pairs with a new one among them are compared, and each vector keeps
-its best ``K``. Vectors whose whole list is at the threshold or above are saturated: their lists double, up to ``K_MOST``. An audit compares a
-sample of vectors with all others of their label and asks for further rounds until ``RECALL`` of their links lie in the
-components found.
+its best ``K``. Vectors whose whole list is at the threshold or above are saturated: their lists double, up to ``K_MOST``. An audit compares
+vectors of the components found, and of those that no component holds, with all others of their label and asks for further
+rounds until ``RECALL`` of their links, averaged over vectors, lie in the components found. Where the last audit saw any link
+lost, all vectors of a label are compared exactly, in blocks; a loss that no probe meets stays.
 
 The edges at the threshold give components. Lists of ``K_MOST`` can't hold all links of dense families, so lists may join two
 families nowhere although they link. But a vector that met a link at all has one in its list (it gives one up for better ones
@@ -20,6 +21,7 @@ linked like others and is never the smallest. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import components, partitions, written
 
 K, K_MOST, ROUNDS, GATHER, WINDOW, AUDIT, RECALL, SETTLED = 10, 40, 8, 64, 256, 200, 0.98, 0.002
-#: Rows of a block of vectors compared at once with another block.
-TILE = 256
+#: Rows of a block of vectors compared at once with another block; probes of the audit among vectors without links, times AUDIT.
+TILE, LONE = 256, 10
+LOG = logging.getLogger(__name__)
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -274,7 +277,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
 
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(u, n, component) of vectors (u, label, vec, copies) that link with others; rounds go on until the audit passes."""
+    """(u, n, component) of vectors (u, label, vec, copies) that link with others; rounds go on until the audit passes.
+
+    Whatever the round, a loss that the last audit saw sends all vectors through the exact comparison within their labels.
+    """
     n_parts = partitions(classes.sparkSession)
     k = K
     while True:
@@ -282,9 +288,16 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
         joined = components(graph.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")), "near")
         joined = written(joined.select(F.col("node").alias("u"), "component"), "near")
         joined = written(bridged(classes.join(joined, "u").select("u", "label", "vec", "component"), threshold), "bridged")
-        if k >= 4 * K or _audit(classes, joined, threshold) >= RECALL:
+        share = _audit(classes, joined, threshold)
+        LOG.info("audit with %d neighbours: %.4f of the linked vectors' links found", k, share)
+        if k >= 4 * K or share >= RECALL:
             break
         k *= 2
+    if share < 1:
+        every = classes.join(joined, "u", "left").select("u", "label", "vec", F.coalesce("component", "u").alias("component"))
+        joined = bridged(every, threshold)
+        several = joined.groupBy("component").agg(F.count("*").alias("m")).filter("m > 1").select("component")
+        joined = written(joined.join(several, "component").select("u", "component"), "exact")
     size = joined.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.expr("cast(least(ceil(m / 64), 32 + ceil(m / 4096)) AS int)"))
     dealt = joined.join(size, "component").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.join(classes.select("u", "copies", "vec"), "u").select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "u", "copies", "vec")
@@ -294,21 +307,41 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _audit(classes: DataFrame, joined: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of a bounded sample's links, by comparison with every vector of their labels, that lie within a component."""
-    probes = classes.join(joined, "u", "left").select("u", "label", "vec", "component").orderBy(F.xxhash64("u"), "u").limit(sample).collect()
-    own = [(p.u, p.label, p.vec, p.component) for p in probes]
+    """Estimated mean, over vectors that have links, of the share of their links that lie within a component.
+
+    Probes are compared with every vector of their labels. They come in two strata, so that neither large components nor the
+    many vectors without links hide a loss: one vector of each of at most ``sample`` components, and at most ``sample * LONE``
+    of the vectors that no component holds. A lone vector with a link has lost all of it, and counts for its share of the stratum.
+    """
+    rows = classes.select("u", "label", "vec").join(joined, "u", "left")
+    grouped, lone = rows.filter("component IS NOT NULL"), rows.filter("component IS NULL")
+    one = grouped.groupBy("component").agg(F.min(F.struct(F.xxhash64("u"), "u")).alias("p")).select(F.col("p.u").alias("u")).orderBy(F.xxhash64("u"), "u").limit(sample)
+    probes = rows.join(F.broadcast(one), "u", "left_semi").unionAll(lone.orderBy(F.xxhash64("u"), "u").limit(sample * LONE)).collect()
+    own: dict[tuple, list] = {}
+    for p in probes:
+        own.setdefault((p.label, len(p.vec)), []).append((p.u, p.component, p.vec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, labels, vecs, comps = (batch.column(c).to_pylist() for c in range(4))
-            hit = whole = 0
-            for u, lab, vec, comp in own:
-                at = [i for i, x in enumerate(labels) if x == lab and len(vecs[i]) == len(vec) and names[i] != u]
-                if at:
-                    near = np.flatnonzero(_unit([vecs[i] for i in at]) @ np.frombuffer(vec) >= threshold)
-                    whole += len(near)
-                    hit += sum(comp is not None and comps[at[i]] == comp for i in near)
-            yield pa.RecordBatch.from_arrays([pa.array([hit], pa.int64()), pa.array([whole], pa.int64())], ["hit", "whole"])
-
-    got = classes.join(joined, "u", "left").select("u", "label", "vec", "component").mapInArrow(run, "hit long, whole long").groupBy().agg(F.sum("hit").alias("hit"), F.sum("whole").alias("whole")).first()
-    return got.hit / got.whole if got.whole else 1.0
+            at: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(labels, map(len, vecs), strict=True)):
+                if key in own:
+                    at.setdefault(key, []).append(i)
+            out = []
+            for key, rows in at.items():
+                near = (_unit([x[2] for x in own[key]]) @ _unit([vecs[i] for i in rows]).T) >= threshold
+                near &= np.array([x[0] for x in own[key]])[:, None] != np.array([names[i] for i in rows])[None, :]
+                there = np.array([comps[i] is not None for i in rows])
+                of = np.array([comps[i] or 0 for i in rows])
+                for (u, comp, _), links in zip(own[key], near, strict=True):
+                    if links.any():
+                        out.append((u, comp is not None, int((links & there & (of == comp)).sum()) if comp is not None else 0, int(links.sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["u", "held", "hit", "whole"])
+
+    met = rows.select("u", "label", "vec", "component").mapInArrow(run, "u long, held boolean, hit long, whole long").groupBy("u", "held").agg((F.sum("hit") / F.sum("whole")).alias("hit"))
+    got = {r.held: (r.n, r.hit) for r in met.groupBy("held").agg(F.count("*").alias("n"), F.avg("hit").alias("hit")).collect()}
+    n_grouped, n_lone = rows.agg(F.count("component"), F.count_if(F.col("component").isNull())).first()
+    tried = sum(p.component is None for p in probes)
+    lost = n_lone * got[False][0] / tried if False in got else 0
+    return n_grouped * got.get(True, (0, 1.0))[1] / (n_grouped + lost) if n_grouped + lost else 1.0

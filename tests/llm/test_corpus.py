@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from blockloom.llm import block_mix, shingle_join, toxicity
+from blockloom.llm import block_mix, nn_descent, shingle_join, toxicity
 from blockloom.llm.common import components
 from blockloom.llm.nn_descent import near_duplicates
 
@@ -182,6 +182,29 @@ def test_families_beyond_the_lists_are_joined(spark):
     assert got == {i: (2 * m - 1, 0, i == 0) for i in range(2 * m)}
 
 
+def test_links_lost_by_the_search_are_found_by_the_exact_way(spark, monkeypatch):
+    rng, rows = np.random.default_rng(9), []
+    for k in range(30):
+        b = rng.standard_normal(16)
+        rows += [(len(rows) + x, [float(v) for v in b + rng.standard_normal(16) * 0.01], k % 2) for x in range(2 if k < 10 else 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    links = {i: [j for j, _, m in rows if j != i and m == n and unit[i] @ unit[j] >= 0.93] for i, _, n in rows}
+    assert sum(map(len, links.values())) == 20
+    lone = spark.createDataFrame([], "u long, v long, sim double")
+    monkeypatch.setattr(nn_descent, "descend", lambda *_: lone)
+    classes = df.selectExpr("vec_id AS u", "cast(label AS string) AS label", "embedding").drop("embedding").join(near_vectors(df), "u")
+    part = spark.createDataFrame([(2 * k + x, 2 * k) for k in range(5) for x in range(2)], "u long, component long")
+    assert nn_descent._audit(classes, part.filter("false"), 0.93) == 0 and nn_descent._audit(classes, part, 0.93) == 0.5
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df).collect()}
+    assert got == {i: (len(to), min([i, *to])) for i, to in links.items()}
+
+
+def near_vectors(df):
+    """(u, vec) of a table's unit vectors, as the operator packs them."""
+    return df.selectExpr("vec_id AS id", "'x' AS label", "embedding AS v").mapInArrow(nn_descent._valid, "id long, label string, vec binary").selectExpr("id AS u", "vec")
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
