@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,8 +71,8 @@ def test_words_pack_and_unpack(top):
         words, _ = word_ids.pack(ids)
         assert (word_ids.unpack(words, n) == ids).all()
     big = rng.integers(0, top, 15_000).astype(np.uint64)
-    first, docs, counts, ids = word_ids.read_segment(word_ids.write_segment(5, [3, 9], [big[:7], big[7:]]))
-    assert first == 5 and docs.tolist() == [3, 9] and counts.tolist() == [7, 14_993] and (ids == big).all()
+    first, docs, none, counts, ids = word_ids.read_segment(word_ids.write_segment(5, [None, 9], [big[:7], big[7:]]))
+    assert first == 5 and docs.tolist() == [0, 9] and none == 1 and counts.tolist() == [7, 14_993] and (ids == big).all()
 
 
 def test_word_ids(odd, none):
@@ -86,9 +87,22 @@ def test_word_ids(odd, none):
 
 
 def test_words_between_gaps_equal_the_library():
-    tok, texts = Tokenizer.from_file(WORDS), noise(1500, 9)
-    for text, raw in zip(texts, word_ids.encode_texts(tok, texts, {}), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    tok, texts = word_ids.tokenizer(WORDS), [*noise(1500, 9), None, "Heath. \u00c9tre, Ab\ncd 12.5% x<|endoftext|>y a<|b don't''s \u0301x e\u0301 \u01c5"]
+    ids, counts = word_ids.encode_texts(tok, pa.array(texts), {}, [1])
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_one_id_with_most_rows_is_dealt_over_buckets(spark):
+    tok, at, want = word_ids.tokenizer(WORDS), 0, []
+    docs = spark.createDataFrame([(5 if k < 300 else None if k < 400 else -(2**63) if k == 400 else k, f"text {k % 150}") for k in range(500)], "doc_id long, text string")
+    files = word_ids.write_ids(docs, WORDS, 1)
+    got = word_ids.read_ids(files).orderBy("start").collect()
+    assert files.filter("bucket > 0").count() > 12 and [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(500)]
+    ids = [r.doc_id for r in got]
+    assert ids[:100] == [None] * 100 and ids[100] == -(2**63) and ids[100:] == sorted(ids[100:]) and ids.count(5) == 300
+    want = sorted(zlib.crc32(np.array([*tok.encode(f"text {k % 150}").ids, 1], "<u4").tobytes()) for k in range(500))
+    assert sorted(r.ids_crc32 for r in got) == want
 
 
 @pytest.mark.parametrize("size", [(1, 1), (3, 5), (17, 33), (24, 50)])
