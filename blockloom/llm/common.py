@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 #: Most text bytes that a worker works on at once; one longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
 _U64 = np.uint64
+_TABLES: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a fresh one if all runs in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="blockloom-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,7 +35,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/blockloom/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        ref, path = _TABLES.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
@@ -86,19 +101,21 @@ def components(edges: DataFrame, what: str, rounds: int = 40) -> DataFrame:
     """(node, component) of an undirected edge table (a, b), component being the smallest node reachable.
 
     Large-star and small-star rounds over written tables; each row moves to the smallest neighbour of its node, so no
-    node's list of neighbours is ever gathered in one place. Nothing but a count reaches the driver.
+    node's list of neighbours is ever gathered in one place. Nodes' smallest neighbours are a table of their own, so that Spark
+    can split the rows of a node with many neighbours in the join. Nothing but a count reaches the driver.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{what}-edges")
     for _ in range(rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        near = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m")), f"{what}-least")
+        large = both.filter("v > u").join(near, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(least, F.col("u") == F.col("k"))
         small = small.select("u", F.col("m").alias("v")).unionAll(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         after = written(small.filter("u <> v").distinct(), f"{what}-star")
         stable = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        discard(now, near)
         now = after
         if stable:
             break

@@ -1,7 +1,8 @@
 """Embedding near-duplicates by NN-descent.
 
 Equal vectors of a label collapse first. A neighbour graph of ``K`` neighbours a vector starts from windows of two orders by
-random hyperplanes' signs and is refined by joins of neighbours with their neighbours: of all vectors around a centre (its neighbours and
+random hyperplanes' signs (the rows are numbered over all partitions, so a window never ends at a partition's cut, and any
+``WINDOW / 2`` rows in a row, such as a small label, stand whole in one) and is refined by joins of neighbours with their neighbours: of all vectors around a centre (its neighbours and
 those that have it as one; large gatherings are split), pairs with a new one among them are compared, and each vector keeps
 its best ``K``. Vectors whose whole list is at the threshold or above are saturated: their lists double, up to ``K_MOST``. An audit compares
 vectors of the components found, and of those that no component holds, with all others of their label and asks for further
@@ -16,7 +17,8 @@ component's vectors against each other; no pair is written. Nothing below the th
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without a label, link with nothing. Vectors of
 other lengths than their label's have no cosine and do not link with them. Repeated ids are rows of their own; a null id is
-linked like others and is never the smallest. An empty table gives an empty result.
+linked like others and is never the smallest: vectors are numbered for the search, and a component takes the smallest id that
+any of its rows has, null only where none has one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, partitions, written
+from .common import components, discard, partitions, written
 
 K, K_MOST, ROUNDS, GATHER, WINDOW, AUDIT, RECALL, SETTLED = 10, 40, 8, 64, 256, 200, 0.98, 0.002
 #: Rows of a block of vectors compared at once with another block; probes of the audit among vectors without links, times AUDIT.
@@ -66,11 +68,19 @@ def _edges(u, v, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "sim"])
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition with their place in it."""
+    at = 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], [*batch.schema.names, "place"])
+        at += batch.num_rows
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Best neighbours within windows of sorted rows (u, label, vec), overlapping by half."""
+    """Best neighbours within windows: of rows sorted by (w, label, size), those of one label and length."""
 
     def compare(rows):
-        u, vec = np.array([r[0] for r in rows]), _unit([r[2] for r in rows])
+        u, vec = np.array([r[0] for r in rows]), _unit([r[1] for r in rows])
         sims = vec @ vec.T
         np.fill_diagonal(sims, -2)
         near = _top(sims, K)
@@ -78,21 +88,29 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = rest > -2
         return _edges(np.repeat(u, good.sum(1)), u[near][good], rest[good])
 
-    held: list[tuple] = []
+    key, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            if held and (row[1] != held[-1][1] or len(row[2]) != len(held[-1][2])):
+        for w, label, size, u, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (w, label, size):
                 if len(held) > 1:
                     yield compare(held)
-                held = []
-            held.append(row)
-            if len(held) == WINDOW:
-                yield compare(held)
-                held = held[WINDOW // 2 :]
+                key, held = (w, label, size), []
+            held.append((u, vec))
     if len(held) > 1:
         yield compare(held)
 
 
+def _in_windows(coded: DataFrame, n_parts: int) -> DataFrame:
+    """(w, label, size, u, vec): the rows in order, each in the two windows of ``WINDOW`` rows that hold it."""
+    order = ["label", "size", "code", "u"]
+    rows = coded.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    rows = written(rows.mapInArrow(_numbered, "u long, label string, vec binary, size int, code long, part int, place long"), "order")
+    before = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    # a row for each partition
+    rows = rows.join(F.broadcast(before), "part").withColumn("w", F.expr(f"(base + place) DIV {WINDOW // 2}"))
+    return rows.withColumn("w", F.explode(F.array(F.col("w") - 1, F.col("w")))).select("w", "label", "size", "u", "vec").repartition(n_parts, "w").sortWithinPartitions("w", "label", "size")
+
+
 def _coded(dim_seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +255,10 @@ def descend(vectors: DataFrame, threshold: float, k: int = K, rounds: int = ROUN
     first = None
     for seed in (1, 2):
         coded = vectors.select("u", "label", "vec").mapInArrow(_coded(seed), "u long, label string, vec binary, size int, code long")
-        near = coded.repartitionByRange(n_parts, "label", "size", "code", "u").sortWithinPartitions("label", "size", "code", "u").select("u", "label", "vec").mapInArrow(_windows, "u long, v long, sim double")
+        near = _in_windows(coded, n_parts).mapInArrow(_windows, "u long, v long, sim double")
         first = near if first is None else first.unionAll(near)
     lists = vectors.select("u", F.lit(k).alias("room"))
-    graph = _kept(first.withColumn("old", F.lit(False)), lists, n_parts)
+    graph, before = _kept(first.withColumn("old", F.lit(False)), lists, n_parts), []
     for turn in range(rounds):
         stats = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("held"))
         lists = written(vectors.join(stats, "u", "left").join(lists, "u").select("u", "vec", F.when((F.col("held") >= F.col("room")) & (F.col("worst") >= threshold), F.least(F.col("room") * 2, F.lit(K_MOST))).otherwise(F.col("room")).alias("room"), F.when(F.col("held") >= F.col("room"), F.col("worst")).otherwise(-2.0).alias("worst")), "lists")
@@ -250,8 +268,9 @@ def descend(vectors: DataFrame, threshold: float, k: int = K, rounds: int = ROUN
         met = spread.join(lists, spread["w"] == lists["u"]).select("c", "s", "w", "fresh", "worst", "room", "vec")
         met = met.repartition(n_parts, "c", "s").sortWithinPartitions("c", "s")
         better = met.mapInArrow(_joined, "u long, v long, sim double")
-        graph = _kept(graph.select("u", "v", "sim", F.lit(True).alias("old")).unionAll(better.withColumn("old", F.lit(False))), lists.select("u", "room"), n_parts)
-        lists = lists.select("u", "room")
+        after = _kept(graph.select("u", "v", "sim", F.lit(True).alias("old")).unionAll(better.withColumn("old", F.lit(False))), lists.select("u", "room"), n_parts)
+        discard(graph, *before)
+        graph, before, lists = after, [lists], lists.select("u", "room")
         if graph.filter(~F.col("old")).count() <= SETTLED * k * n:
             break
     return graph.select("u", "v", "sim")
@@ -268,12 +287,15 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
     rows = written(rows, "unit")
     able = rows.filter("vec IS NOT NULL AND label IS NOT NULL")
     classes = able.groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("u", F.coalesce("least", F.xxhash64("label", "vec").bitwiseOR(F.lit(-(1 << 63))))), "vectors")
+    classes = written(classes.withColumn("u", F.monotonically_increasing_id()), "vectors")
     found = links(classes, threshold)
-    out = able.join(classes, ["label", "vec"]).join(found, "u", "left")
-    out = out.select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", F.when(F.col("copies") > 1, F.col("u")), F.col("id")).alias("component_id"))
+    # the smallest id of each component; a vector without links is one of its own
+    found = written(classes.select("u", "label", "vec", "least", "copies").join(found, "u", "left").withColumn("component", F.coalesce("component", "u")), "linked")
+    names = written(found.groupBy("component").agg(F.min("least").alias("name")), "names")
+    found = found.join(names, "component").select("label", "vec", "copies", "n", "name")
+    out = able.join(found, ["label", "vec"]).select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("name").alias("component_id"))
     rest = rows.filter("vec IS NULL OR label IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.unionAll(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.unionAll(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
@@ -345,3 +367,18 @@ def _audit(classes: DataFrame, joined: DataFrame, threshold: float, sample: int
     tried = sum(p.component is None for p in probes)
     lost = n_lone * got[False][0] / tried if False in got else 0
     return n_grouped * got.get(True, (0, 1.0))[1] / (n_grouped + lost) if n_grouped + lost else 1.0
+
+
+#: The same rows in DuckDB's SQL: every pair of a label, then the nodes reachable from each.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v
+       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(least(a, b)) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, v.vec_id) AS component_id, coalesce(c.component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
+"""

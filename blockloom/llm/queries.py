@@ -5,13 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_chunks, media
+from . import line_chunks, media, nn_descent, shingle_join
 from .block_mix import mix
 from .common import table
-from .nn_descent import near_duplicates
 from .piece_codec import digests, encode_decode
 from .ring_shards import ring_shards
-from .shingle_join import jaccard_components
 from .token_counts import token_counts
 from .toxicity import fit, toxicity
 from .word_ids import read_ids, write_ids
@@ -21,7 +19,7 @@ END_ID = 1
 
 
 def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return shingle_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ def op7_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +60,4 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op8_nn_descent, op9_ring_shards, op10_piece_codec)}
-ORACLES: dict[str, str] = {"op5_line_chunks": line_chunks.ORACLE}
+ORACLES: dict[str, str] = {"op1_shingle_join": shingle_join.ORACLE, "op5_line_chunks": line_chunks.ORACLE, "op8_nn_descent": nn_descent.ORACLE}

@@ -3,11 +3,17 @@
 A text's set holds the hashes of its distinct ``width``-word shingles. Texts of one set collapse first, so that exact copies
 never meet each other. Two sets with Jaccard t or more differ in at most D = (|A| + |B|)(1 - t)/(1 + t) tokens. Tokens are
 hashed into G > D groups (ranges of the hash space; G by class of size), so of two linked sets some group is the same: a cell is one
-group's content, and only sets that share a cell can link. Sets reachable from each other over cells form a bundle, which is
-dealt into blocks of bounded weight; each pair of a bundle's blocks is a task that indexes one block's vectors of group
-counts in an R-tree, descends where the sum of coordinate minima can still reach the overlap asked for, skips what is
-already known to be connected, and verifies the surviving pairs on the sets. A task returns a spanning forest of the links it found, never
-all pairs.
+group's content, and only sets that share a cell can link. A set with D full groups or fewer might share only empty ones
+with a partner (whose full groups would then be as few), so such sets are grouped again by another hash, ``LEVELS`` times; only sets
+that stay so in all of them, some in 10**8, meet in cells of empty groups.
+
+In a cell, an R-tree over vectors of group counts is descended where the sum of coordinate minima can still reach the overlap
+asked for. Cells of more than ``CELL`` sets are dealt into blocks, each pair of blocks being a task. Sets reachable from each
+other over such candidate pairs form a bundle, which is dealt into blocks of bounded weight and verified in three passes, a
+pass skipping what is connected already: each block by itself; one set of each block's largest group with those of the
+other blocks; and then all sets outside the bundle's largest group with all sets. So a bundle of near copies costs its size
+and not its square, and no pair that could link two groups is left out. A task returns a spanning forest of the links it
+found, never all pairs; it too bounds pairs by an R-tree before it verifies them on the sets.
 
 (A single R-tree over all vectors prunes next to nothing: at 0.9 the radius is n/9.5, and boxes after as many splits as a
 corpus gives lie closer than that. The cells keep it exact and make it shardable.)
@@ -29,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, components, mix64, partitions, slices, written
 
-#: Bytes of text worked on at once, tokens of a block, dimensions of its count vectors, entries of an R-tree's node, ids of a cell
-#: that are compared within it.
-SLICE, BLOCK_TOKENS, DIMS, FAN, CELL = 1 << 20, 1 << 18, 64, 16, 8192
+#: Bytes of text worked on at once, tokens of a block, dimensions of its count vectors, entries of an R-tree's node, ids of a block
+#: of a cell, groupings of sets that fill few groups.
+SLICE, BLOCK_TOKENS, DIMS, FAN, CELL, LEVELS = 1 << 20, 1 << 16, 64, 16, 4096, 8
 _U64 = np.uint64
 _BYTE = mix64(np.arange(1, 257, dtype=_U64))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], _U64)
@@ -120,14 +126,17 @@ class Plan:
                 if not g:
                     continue  # linked sets of this size are equal
                 cuts = (np.arange(1, g, dtype=_U64) * _U64((1 << 64) // g)).astype(_U64)
-                starts = np.r_[0, np.searchsorted(tokens, cuts)]
-                sizes = np.diff(np.r_[starts, len(tokens)])
-                held = np.flatnonzero(sizes)
-                mixed = mix64(tokens ^ _ODD[1])
-                sums = np.add.reduceat(mixed, starts[held]) + sizes[held].astype(_U64)
-                salt = mix64(np.arange(g, dtype=_U64) + _U64(k << 32))
-                out.append(mix64(sums ^ salt[held]))
-                if g - len(held) > spare:  # only then can all the same groups of a pair be empty ones
+                for level in range(LEVELS):
+                    placed = np.sort(mix64(tokens + _U64(level) * _ODD[0])) if level else tokens
+                    starts = np.r_[0, np.searchsorted(placed, cuts)]
+                    sizes = np.diff(np.r_[starts, len(placed)])
+                    held = np.flatnonzero(sizes)
+                    sums = np.add.reduceat(mix64(placed ^ _ODD[1]), starts[held]) + sizes[held].astype(_U64)
+                    salt = mix64(np.arange(g, dtype=_U64) + _U64((k << 32) + (level << 48)))
+                    out.append(mix64(sums ^ salt[held]))
+                    if g - len(held) <= spare:  # else all the same groups of a pair can be empty ones
+                        break
+                else:
                     out.append(salt[np.flatnonzero(sizes == 0)])
         return np.concatenate(out) if out else np.zeros(0, _U64)
 
@@ -190,30 +199,30 @@ def folded(vector: np.ndarray, dims: int) -> np.ndarray:
 class Forest:
     """Labels of what is known to be connected, so that a whole array of candidates is sifted at once."""
 
-    def __init__(self, n: int):
-        self.labels = np.arange(n)
+    def __init__(self, labels: np.ndarray):
+        self.labels, self.parts = labels, len(np.unique(labels))
 
     def apart(self, a: int, near: np.ndarray) -> np.ndarray:
         return near[self.labels[near] != self.labels[a]]
 
     def join(self, a: int, b: int) -> None:
         self.labels[self.labels == self.labels[b]] = self.labels[a]
+        self.parts -= 1
 
 
-def reachable(ids: list[int], sizes: np.ndarray, vectors: list[np.ndarray], plan: Plan) -> list[tuple[int, int]]:
-    """Pairs that connect the ids of a cell as all pairs within the bound would: a spanning forest of what may link.
-
-    A cell of more than ``CELL`` ids is taken as connected, which makes bundles coarser and loses no link.
-    """
-    n = len(ids)
-    if n > CELL:
-        return [(ids[0], x) for x in ids[1:]]
+def reachable(ids: list[int], sizes: np.ndarray, vectors: list[np.ndarray], side: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
+    """Pairs that connect the ids of a cell (or side 0 with side 1 of two blocks of it) as all pairs within the bound would: a
+    spanning forest of what may link."""
+    n, two = len(ids), bool(side.any() and not side.all())
     dims = min(len(v) for v in vectors)
     points = np.array([folded(v, dims) for v in vectors])
-    forest, found = Forest(n), []
-    tree = RTree(points, sizes)
-    for a in range(n):
-        near = forest.apart(a, tree.query(points[a], int(sizes[a]), plan))
+    forest, found = Forest(np.arange(n)), []
+    own = np.flatnonzero(side) if two else np.arange(n)
+    tree = RTree(points[own], sizes[own])
+    for a in np.flatnonzero(side == 0) if two else own:
+        if forest.parts == 1:
+            break
+        near = forest.apart(a, own[tree.query(points[a], int(sizes[a]), plan)])
         while len(near):
             found.append((ids[a], ids[near[0]]))
             forest.join(a, near[0])
@@ -221,15 +230,18 @@ def reachable(ids: list[int], sizes: np.ndarray, vectors: list[np.ndarray], plan
     return found
 
 
-def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of side 0 and side 1, or among all if there is but one side."""
-    forest = Forest(len(ids))
+def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan: Plan, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of side 0 and side 1, or among all if there is but one side; sets of one label
+    are connected already."""
+    forest = Forest(np.arange(len(ids)) if labels is None else np.unique(labels, return_inverse=True)[1])
     vectors, sizes = np.array([count_vector(s) for s in sets]), np.array([len(s) for s in sets], np.int64)
     two = side.any() and not side.all()
     own = np.flatnonzero(side) if two else np.arange(len(ids))
     tree = RTree(vectors[own], sizes[own])
     found = []
     for a in np.flatnonzero(side == 0) if two else own:
+        if forest.parts == 1:
+            break
         near = own[tree.query(vectors[a], int(sizes[a]), plan)]
         if not two:
             near = near[near > a]
@@ -261,10 +273,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            with np.errstate(over="ignore"):
-                fp = np.array([[mix64(s).sum(dtype=_U64), mix64(s ^ _ODD[2]).sum(dtype=_U64)] for s in sets], _U64).reshape(-1, 2)
+            f1, f2 = _prints(sets)
             vectors = [count_vector(s, width_for(len(s))).astype("<u2" if len(s) < 1 << 16 else "<u4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(np.ascontiguousarray(fp[:, 0])), _signed(np.ascontiguousarray(fp[:, 1])), pa.array(vectors, pa.binary())], ["id", "n", "f1", "f2", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), f1, f2, pa.array(vectors, pa.binary())], ["id", "n", "f1", "f2", "vec"])
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -298,69 +309,125 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
             yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["cell", "id"])
 
     meet = written(rows.mapInArrow(shared, "cell long, id long"), "cells")
+    large = written(meet.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).filter("blocks > 1"), "large-cells")
     own = signed.join(reps.select(F.col("rep").alias("id"), "f1", "f2").hint("merge"), ["id", "f1", "f2"]).select("id", "n", "vec")
-    meet = meet.join(own.hint("merge"), "id").repartition(n_parts, "cell").sortWithinPartitions("cell", "id")
+    meet = meet.join(large.hint("merge"), "cell", "left") if not large.isEmpty() else meet.withColumn("blocks", F.lit(None).cast("int"))
+    meet = _in_pairs(meet.withColumn("blocks", F.coalesce("blocks", F.lit(1))), ["cell"])
+    meet = meet.join(own.hint("merge"), "id").select("cell", "i", "j", "side", "id", "n", "vec").repartition(n_parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "id")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, sizes, vectors = None, [], [], []
-
-        def out():
-            found = reachable(ids, np.array(sizes, np.int64), vectors, plan) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for c, i, n, raw in zip(*(batch.column(k).to_pylist() for k in ("cell", "id", "n", "vec")), strict=True):
-                if c != cell:
-                    if len(ids) > 1:
-                        yield out()
-                    cell, ids, sizes, vectors = c, [], [], []
-                ids.append(i), sizes.append(n)
-                vectors.append(np.frombuffer(raw, "<u2" if n < 1 << 16 else "<u4").astype(np.int32))
-        if len(ids) > 1:
-            yield out()
+        for (_, i, j), rows in _runs(batches, 3):
+            side, ids, sizes, vecs = zip(*rows, strict=True)
+            if len(ids) > 1 and (i == j or side[0] != side[-1]):
+                yield _pairs(reachable(ids, np.array(sizes, np.int64), [np.frombuffer(v, "<u2" if n < 1 << 16 else "<u4").astype(np.int32) for v, n in zip(vecs, sizes, strict=True)], np.array(side), plan))
 
     bundles = components(meet.mapInArrow(near, "a long, b long"), "bundles")
     held = bundles.select(F.col("node").alias("id"), F.col("component").alias("bundle")).join(reps.select(F.col("rep").alias("id"), "f1", "f2", "n"), "id")
     held = written(held, "held")
     weights = held.groupBy("bundle").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    placed = held.join(weights, "bundle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = written(held.join(weights, "bundle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "placed")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "tokens"])
-
-    # merge joins whatever the sizes: ids grow with the input, and one plan serves a small corpus and a large one
-    texts = source.join(placed.select("id").distinct().hint("merge"), "id").mapInArrow(sets_of, "id long, n long, tokens binary")
-    # ids may repeat with other texts: the set whose size and id match the class's is its own
-    texts = texts.join(placed.hint("merge"), ["id", "n"]).dropDuplicates(["id", "f1", "f2"])
-    dealt = texts.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("bundle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "id", "tokens")
-    dealt = dealt.repartition(n_parts, "bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "side", "id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, side = None, [], [], []
-
-        def out():
-            found = links_within(ids, sets, np.array(side), plan) if len(ids) > 1 and (key[1] == key[2] or (any(side) and not all(side))) else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for b, i, j, s, name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (b, i, j):
-                    if key:
-                        yield out()
-                    key, ids, sets, side = (b, i, j), [], [], []
-                ids.append(name), sets.append(np.frombuffer(raw, _U64)), side.append(s)
-        if key:
-            yield out()
-
-    links = dealt.mapInArrow(verify, "a long, b long")
+            f1, f2 = _prints(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), f1, f2, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "f2", "tokens"])
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """Rows (id, f1, f2, ...) with the tokens of the class's own set, however many texts the id has."""
+        # merge joins whatever the sizes: ids grow with the input, and one plan serves a small corpus and a large one
+        texts = source.join(rows.select("id").distinct().hint("merge"), "id").mapInArrow(sets_of, "id long, f1 long, f2 long, tokens binary")
+        return texts.join(rows.hint("merge"), ["id", "f1", "f2"]).dropDuplicates(["id", "f1", "f2"])
+
+    def verified(dealt: DataFrame, what: str) -> DataFrame:
+        """Links of rows (bundle, i, j, side, id, label, tokens)."""
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (_, i, j), rows in _runs(batches, 3):
+                side, ids, labels, raw = zip(*rows, strict=True)
+                if len(ids) > 1 and (i == j or side[0] != side[-1]):
+                    yield _pairs(links_within(ids, [np.frombuffer(x, _U64) for x in raw], np.array(side), plan, np.array(labels)))
+
+        dealt = dealt.select("bundle", "i", "j", "side", "id", "label", "tokens").repartition(n_parts, "bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "side", "id")
+        return written(dealt.mapInArrow(verify, "a long, b long"), what)
+
+    alone = placed.select("bundle", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "id", "f1", "f2", F.col("id").alias("label"))
+    links = verified(with_sets(alone), "links-within")
+    several = written(placed.filter("blocks > 1"), "several")
+    if not several.isEmpty():
+        ids = several.select("id")
+        labels = components(links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi"), "blocks").select(F.col("node").alias("id"), F.col("component").alias("label"))
+        several = written(several.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+        # one set of each block's largest group
+        groups = several.groupBy("bundle", "block", "label").agg(F.count("*").alias("m"), F.min(F.struct("id", "f1", "f2")).alias("one"))
+        chosen = groups.groupBy("bundle", "block").agg(F.max_by(F.struct("one", "label"), F.struct("m", "label")).alias("x"))
+        chosen = written(chosen.select("bundle", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "x.one.id", "x.one.f1", "x.one.f2", "x.label"), "chosen")
+        across = verified(with_sets(chosen), "links-of-blocks")
+        # all that is outside the bundle's largest group with all of the bundle
+        merged = components(across.join(chosen.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(chosen.select(F.col("id").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
+        several = written(several.join(merged.select(F.col("node").alias("label"), F.col("component").alias("to")).hint("merge"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "merged")
+        groups = several.groupBy("bundle", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+        main = groups.groupBy("bundle").agg(F.max_by(F.struct("label", "n"), F.struct("m", "label")).alias("x"), F.sum("n").alias("all")).filter("all > x.n")
+        main = written(main.select("bundle", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.n")) / BLOCK_TOKENS).cast("int").alias("rest"), F.ceil(F.col("x.n") / BLOCK_TOKENS).cast("int").alias("own")), "main")
+        spread = several.join(main.hint("merge"), "bundle").withColumn("inside", F.col("label") == F.col("main"))
+        # blocks 0 to rest - 1 hold what is outside, the others the largest group, whose own pairs are connected
+        spread = spread.withColumn("block", F.expr("cast(if(inside, rest + pmod(xxhash64(id, 1), own), pmod(xxhash64(id, 1), rest)) AS int)")).withColumn("others", F.expr("if(inside, rest, rest + own)"))
+        left = verified(_in_pairs(with_sets(spread.select("bundle", "block", "others", "id", "f1", "f2", "label")), ["bundle"], "others"), "links-of-rest")
+        links = links.unionAll(across).unionAll(left)
     # rows of one id with several sets tie these sets together
-    ties = members.filter("n > 0 AND id IS NOT NULL").join(reps, ["f1", "f2", "n"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    ties = known.join(reps, ["f1", "f2", "n"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     again = known.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
-    ties = ties.join(again, F.col("b") == again["id"], "left_semi")
+    ties = ties.join(again, F.col("b") == again["id"], "left_semi").select("a", "b")
     linked = components(links.unionAll(ties), "links")
     out = members.join(reps, ["f1", "f2", "n"], "left").withColumn("node", F.coalesce("rep", "id"))
     out = out.join(linked, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _in_pairs(rows: DataFrame, key: list[str], others: str = "blocks") -> DataFrame:
+    """Rows once for each pair of blocks (i <= j) that they are in: with every block below ``others``; ``block`` by hash where not given."""
+    if "block" not in rows.columns:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col(others)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr(f"sequence(0, {others} - 1)")))
+    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
+    return rows.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), *[c for c in rows.columns if c not in (*key, "block", "other", others)])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of each run of rows with the same first ``n`` columns; rows without these columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n] != key:
+                if held:
+                    yield key, held
+                key, held = row[:n], []
+            held.append(row[n:])
+    if held:
+        yield key, held
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def _prints(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Two hashes of each set."""
+    with np.errstate(over="ignore"):
+        fp = np.array([[mix64(s).sum(dtype=_U64), mix64(s ^ _ODD[2]).sum(dtype=_U64)] for s in sets], _U64).reshape(-1, 2)
+    return _signed(np.ascontiguousarray(fp[:, 0])), _signed(np.ascontiguousarray(fp[:, 1]))
+
+
+#: The query's rows (three words, 90 of 100) in DuckDB's SQL: pairs that share a shingle, then the nodes reachable from each.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+t AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(least(a, b)) AS component_id FROM reach GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.component_id, n.doc_id) AS component_id FROM n LEFT JOIN c ON n.doc_id = c.a
+"""

@@ -64,6 +64,35 @@ def test_jaccard_odd_rows(odd, none):
     assert by[2] == 1 and by[12] == 1 and by[3] == 3 and by[None] is None and by[10] == 10
 
 
+def test_jaccard_equals_its_sql(spark, sf, duck, same_rows):
+    assert same_rows(shingle_join.jaccard_components(spark.read.parquet(f"{sf}/documents.parquet"), 3, 90, 100), duck, shingle_join.ORACLE) == 200
+
+
+def test_bundles_of_many_blocks_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(shingle_join, "CELL", 8)
+    rng, rows = np.random.default_rng(8), []
+    for family in range(3):
+        words = [f"f{family if family < 2 else 0}.{x}" for x in range(60)]  # the third starts near the first
+        for step in range(40):
+            for at in rng.integers(0, 60, 1 if family < 2 else step % 3):
+                words[at] = f"n{family}.{step}.{at}"  # a walk: neighbours link, far ones do not
+            rows.append((1000 - len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    comp, sizes = brute(rows, 3, 80, 100)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in shingle_join.jaccard_components(df, 3, 80, 100).collect()}
+    assert got == {i: (comp[i], sizes[i]) for i in comp} and 1 < len(set(comp.values())) < len(rows) - 20
+
+
+def test_strangers_do_not_share_cells():
+    rng = np.random.default_rng(5)
+    for num, den in ((90, 100), (8, 10)):
+        plan = shingle_join.Plan(num, den)
+        for n in (12, 20, 40, 100):
+            seen = Counter(c for _ in range(2000) for c in plan.cells(np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))).tolist())
+            assert max(seen.values()) <= 3
+
+
 def test_rtree_finds_all_within_the_bound():
     rng, plan = np.random.default_rng(2), shingle_join.Plan(90, 100)
     sets = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(150)]
@@ -200,6 +229,37 @@ def test_links_lost_by_the_search_are_found_by_the_exact_way(spark, monkeypatch)
     assert got == {i: (len(to), min([i, *to])) for i, to in links.items()}
 
 
+@pytest.mark.parametrize("parts", [1, 8, 200])
+def test_few_vectors_over_any_partitions(spark, parts):
+    rng, before = np.random.default_rng(3), spark.conf.get("spark.sql.shuffle.partitions")
+    base = rng.standard_normal(16)
+    near = [[float(x) for x in base + rng.standard_normal(16) * 0.02] for _ in range(6)]
+    rows = [(10 + k, v, 1) for k, v in enumerate(near)] + [(None, near[0], 1), (7, near[1], 1), (7, near[1], 1), (None, [float(x) for x in rng.standard_normal(16)], 1), (3, [1.0] * 16, 2), (None, near[0], 3), (None, near[0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = [(str(10 + k), 8, 7, False) for k in range(6)] + [("None", 8, 7, False), ("7", 8, 7, True), ("7", 8, 7, True), ("None", 0, None, True), ("3", 0, 3, True)] + [("None", 1, None, True)] * 2
+    assert got == sorted(want, key=str)
+
+
+def test_embeddings_equal_their_sql(spark, same_rows):
+    import duckdb
+
+    rng, rows = np.random.default_rng(5), []
+    for label in range(3):
+        for size in (1,) * 40 + (2, 3, 9, 30):
+            b = rng.standard_normal(12)
+            rows += [(len(rows) + k, [float(np.float32(x)) for x in b + rng.standard_normal(12) * 0.15], label) for k in range(size)]
+    rows += [(len(rows), None, 0), (len(rows) + 1, [0.0] * 12, 0), (len(rows) + 2, rows[0][1], None), (len(rows) + 3, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    con, table = duckdb.connect(), df.toArrow()
+    con.register("embeddings", table)
+    assert same_rows(near_duplicates(df), con, nn_descent.ORACLE) == len(rows)
+
+
 def near_vectors(df):
     """(u, vec) of a table's unit vectors, as the operator packs them."""
     return df.selectExpr("vec_id AS id", "'x' AS label", "embedding AS v").mapInArrow(nn_descent._valid, "id long, label string, vec binary").selectExpr("id AS u", "vec")
