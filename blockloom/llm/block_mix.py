@@ -2,14 +2,15 @@
 
 Each source's texts, in id order, form one stream of words that is cut into blocks of ``BLOCK`` words. A source's share of the
 output is a number of block slots. The output's shards draw their sources multinomially, conditioned on these totals: a
-binary tree over the shards splits every node's slots between its halves by a multivariate hypergeometric draw seeded with
-the node, so each task finds its shard's counts and first slots by itself, in as many draws as the tree is deep. A slot's
+binary tree over the shards splits every node's slots between its halves by a multivariate hypergeometric draw (beyond 10**9
+slots by that draw's normal limit) seeded with the node, so each task finds its shard's counts and first slots by itself, in as many draws as the tree is deep. A slot's
 number, taken modulo the source's number of blocks, goes through a keyed pseudorandom permutation of the block indexes (a Feistel
 network with cycle walking, another key for each repeat) and blocks are joined by that index.
 
 Targets: sources in code point order, null last, weigh ``WEIGHTS`` in turn and share all sizes; a target stops at
-``REPEATS`` times its source's size, and the excess is shared again by weight until none is above. A source's last slot takes
-only the words that its target has left, and as a block comes at most once per repeat, no document exceeds that multiple.
+``REPEATS`` times its source's size, and the excess is shared again by weight until none is above. A source's slots are whole
+passes over its blocks and as many blocks of one more pass as its target's words need, the last slot cut to what is left; as a
+block comes at most once per pass, no document exceeds that multiple.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; a null text has none and takes none, as does an empty one. Null ids come first in their
 source; repeated ids are told apart by their texts' hashes, and rows alike in both share what falls to them in row order. An empty table gives
@@ -65,6 +66,41 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def inverse_place(index: int, n: int, key: int) -> int:
+    """The place that ``permuted`` sends to ``index``."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    keys = mix64(np.arange(1, 7, dtype=np.uint64) + np.uint64(key & (2**62 - 1)))
+    x = index
+    while True:
+        left, right = x >> half, x & mask
+        for k in keys[::-1]:
+            with np.errstate(over="ignore"):
+                left, right = right ^ int(mix64(np.array([left], np.uint64) + k)[0] & np.uint64(mask)), left
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+def pass_key(source: int, repeat: int) -> int:
+    """The key of a source's permutation in one pass over its blocks."""
+    return int(mix64(mix64(np.array([SEED + (source << 8)], np.uint64)) + np.uint64(repeat))[0] >> np.uint64(2))
+
+
+def drawn(rng: np.random.Generator, own: int, rest: int, want: int) -> int:
+    """How many of ``want`` items drawn without replacement from ``own`` and ``rest`` are of ``own``.
+
+    Above the library's bound of 10**9 items, by the draw's limit: the normal distribution of its mean and variance, or, where
+    few are of ``own``, the binomial one.
+    """
+    whole = own + rest
+    if whole < 10**9:
+        return int(rng.hypergeometric(own, rest, want)) if want and whole else 0
+    share = want / whole
+    x = rng.binomial(own, share) if own < 10**6 else round(own * share + rng.standard_normal() * (own * share * (1 - share) * (rest / whole)) ** 0.5)
+    return int(min(max(x, want - rest, 0), own, want))
+
+
 def shard_draw(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(first slot, count) per source of a shard: the same whoever asks, and adding up over all shards to ``slots``."""
     first, counts, lo, hi = np.zeros_like(slots), slots.copy(), 0, shards
@@ -72,18 +108,12 @@ def shard_draw(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[n
     while hi - lo > 1:
         mid = (lo + hi) // 2
         cut = [total * k // shards for k in (lo, mid, hi)]
-        want, have = cut[1] - cut[0], cut[2] - cut[0]
-        if have < 10**9:
-            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, want, method="marginals")
-        else:  # so many that a draw differs from its mean by less than a block in thousands
-            exact = counts * (want / have)
-            left = np.minimum(np.floor(exact).astype(np.int64), counts)
-            more = np.argsort(left - exact, kind="stable")
-            k = 0
-            while (short := want - int(left.sum())) > 0:
-                i = more[k % len(more)]
-                left[i] += min(1 if k < len(more) else short, counts[i] - left[i])
-                k += 1
+        rng, want, rest = np.random.default_rng([seed, lo, hi]), cut[1] - cut[0], cut[2] - cut[0]
+        left = np.zeros_like(counts)
+        for i in np.flatnonzero(counts):  # source by source, each given what the ones before have drawn
+            rest -= int(counts[i])
+            left[i] = drawn(rng, int(counts[i]), rest, want)
+            want -= int(left[i])
         if shard < mid:
             counts, hi = left, mid
         else:
@@ -91,18 +121,49 @@ def shard_draw(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[n
     return first, counts
 
 
-def running_total(rows: DataFrame, group: str, order: str, value: str, ties: list[str], spans: tuple[int, int] = (512, 1024)) -> DataFrame:
-    """``rows`` with ``since``: the sum of ``value`` over the rows of the group before each one, in order of ``order``.
+def running_total(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``since``: the sum of ``value`` over the rows of the group before each one, in the given order.
 
-    Rows are summed in spans of ids, spans in spans of spans, so that a window sees few rows however large the group is.
+    Rows are dealt into sorted ranges, each summed as a stream; a range's base comes from a table with a row for each group in
+    each range. So ids may be anything, and a group may be spread over all tasks.
     """
-    rows = rows.withColumn("_b0", F.expr(f"coalesce(floor({order} / {spans[0]}), -9e18)").cast("long")).withColumn("_b1", F.expr(f"floor(_b0 / {spans[1]})").cast("long"))
-    low = written(rows.groupBy(group, "_b1", "_b0").agg(F.sum(value).alias("_s")), "spans")
-    high = low.groupBy(group, "_b1").agg(F.sum("_s").alias("_t")).withColumn("_base1", F.sum("_t").over(Window.partitionBy(group).orderBy("_b1")) - F.col("_t")).drop("_t")
-    low = low.withColumn("_base0", F.sum("_s").over(Window.partitionBy(group, "_b1").orderBy("_b0")) - F.col("_s")).join(high, [group, "_b1"]).select(group, "_b0", (F.col("_base0") + F.col("_base1")).alias("_base"))
-    inside = Window.partitionBy(group, "_b0").orderBy(F.asc_nulls_first(order), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_in", F.sum(value).over(inside) - F.col(value))
-    return rows.join(low, [group, "_b0"]).withColumn("since", F.col("_base") + F.col("_in")).drop("_b0", "_b1", "_in", "_base")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    at = rows.columns.index(value), rows.columns.index(group)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, g = batch.column(at[0]).to_numpy(), batch.column(at[1]).to_numpy()
+            ends = np.cumsum(x)
+            new = np.flatnonzero(np.r_[g[0] != now, g[1:] != g[:-1]])  # where another group begins
+            carried = total if not len(new) or new[0] else 0
+            since = ends - x + carried
+            for k in new:
+                since[k:] -= since[k]
+            now, total = g[-1], int(since[-1] + x[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(since)], [*batch.schema.names, "_in"])
+
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged.mapInArrow(summed, f"{kinds}, _part int, _in long"), "ranges")
+    bases = ranged.groupBy(group, "_part").agg(F.sum(value).alias("_s")).withColumn("_base", F.sum("_s").over(Window.partitionBy(group).orderBy("_part")) - F.col("_s")).drop("_s")
+    # ranges are contiguous: at most as many rows as there are partitions and groups
+    return ranged.join(F.broadcast(bases), [group, "_part"]).withColumn("since", F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
+
+
+def passes(size: int, words: int, source: int) -> tuple[int, int]:
+    """(slots, words of the last one) that take exactly ``words`` words from a stream of ``size``: whole passes, then blocks of one
+    more in its permuted order, of which the stream's last block may be short."""
+    blocks, (whole, rest) = -(-size // BLOCK), divmod(words, size) if size else (0, 0)
+    if not rest:
+        return whole * blocks, BLOCK
+    short = BLOCK * blocks - size  # words that the stream's last block lacks
+    met = inverse_place(blocks - 1, blocks, pass_key(source, whole))
+    n = -(-rest // BLOCK)
+    if BLOCK * n - (short if met < n else 0) < rest:
+        n += 1
+    return whole * blocks + n, rest - (BLOCK * (n - 1) - (short if met < n - 1 else 0))
 
 
 def plan(docs: DataFrame, id_col: str, text: str, source: str, weights: tuple[float, ...], repeats: int) -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -117,16 +178,16 @@ def plan(docs: DataFrame, id_col: str, text: str, source: str, weights: tuple[fl
     aims = targets([x[2] for x in found], [weights[i % len(weights)] for i in range(len(found))], repeats)
     sources = [{"source": None if none else name, "size": size, "target": t, "blocks": -(-size // BLOCK), "words": min(round(t), repeats * size), "s": i} for i, ((none, name, size), t) in enumerate(zip(found, aims, strict=True))]
     for x in sources:
-        x["slots"] = min(-(-x["words"] // BLOCK), repeats * x["blocks"])
+        x["slots"], x["last"] = passes(x["size"], x["words"], x["s"])
     named = spark.createDataFrame([(x["s"], x["source"], x["size"], x["target"]) for x in sources], "s int, source string, source_size long, target double")
     rows = rows.join(F.broadcast(named), rows["source"].eqNullSafe(named["source"])).drop(named["source"])  # MOST_SOURCES rows at most
-    return running_total(rows, "s", "id", "size", ["hash"]), _slots(spark, sources), sources
+    return running_total(rows, "s", ["id", "hash", "size"], "size"), _slots(spark, sources), sources
 
 
 def _slots(spark: SparkSession, sources: list[dict]) -> DataFrame:
     """(shard, place, s, repeat, block, words): the output's blocks in order, ``words`` being how many a slot takes."""
     slots, blocks = (np.array([x[k] for x in sources] or [0], np.int64) for k in ("slots", "blocks"))
-    last = np.array([x["words"] - BLOCK * (x["slots"] - 1) for x in sources] or [0], np.int64)
+    last = np.array([x["last"] for x in sources] or [0], np.int64)
     shards = max(1, -(-int(slots.sum()) // SHARD_SLOTS))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +202,7 @@ def _slots(spark: SparkSession, sources: list[dict]) -> DataFrame:
                     repeat[at] = k[at] // blocks[i]
                     for e in np.unique(repeat[at]):
                         own = at[repeat[at] == e]
-                        block[own] = permuted(k[own] % blocks[i], int(blocks[i]), hash((SEED, int(i), int(e))))
+                        block[own] = permuted(k[own] % blocks[i], int(blocks[i]), pass_key(int(i), int(e)))
                 words = np.where(k == slots[s] - 1, last[s], BLOCK)
                 order = np.random.default_rng([SEED, shard]).permutation(len(s))
                 yield pa.RecordBatch.from_arrays(
@@ -175,14 +236,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The mix as rows like the input's: for each document and repeat, the stretches of its text that the mix takes.
 
     A stretch runs from its first word to its last with what lies between; stretches that don't touch are put together with
-    a line feed. Documents of which nothing is taken are not in the mix. ``length``, if given, is set to the new text's.
+    a line feed. Documents of which nothing is taken are not in the mix. ``length``, if given, is set to the new text's. All
+    other columns stay, whatever their names: rows travel as one struct. Of rows alike in id and text one gives the others' columns.
     """
     rows, slots, _ = plan(docs, id_col, text, source, WEIGHTS, REPEATS)
     spans = taken_spans(rows.select("s", "id", "hash", "since", "size"), slots)
     # a document's spans: at most its words over BLOCK and two; rows alike in id and text pool theirs
-    spans = spans.groupBy("id", "hash", "repeat").agg(F.sort_array(F.collect_list(F.struct("since", "lo", "hi"))).alias("_spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64(text))
-    met = keyed.dropDuplicates([id_col, "_hash"]).join(spans, keyed[id_col].eqNullSafe(spans["id"]) & (keyed["_hash"] == spans["hash"])).drop("id", "hash", "_hash")
+    spans = spans.groupBy("id", "hash", "repeat").agg(F.sort_array(F.collect_list(F.struct("since", "lo", "hi"))).alias("spans"))
+    keyed = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = keyed.dropDuplicates(["own_id", "own_hash"]).join(spans, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
 
     @F.pandas_udf("string")
     def cut(texts, lists):
@@ -202,5 +264,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             out.append("\n".join(t[at[lo][0] : at[hi - 1][1]] for _, lo, hi in parts))
         return pd.Series(out)
 
-    out = met.withColumn(text, cut(F.col(text), F.col("_spans"))).drop("_spans", "repeat")
-    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out
+    out = met.select("row", cut(F.col("row")[text], F.col("spans")).alias("mixed"))
+    own = {text: F.col("mixed")} | ({length: F.length("mixed").cast(docs.schema[length].dataType)} if length else {})
+    return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

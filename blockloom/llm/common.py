@@ -40,6 +40,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, what: str, by: str, again: bool = True) -> DataFrame:
+    """``df`` as a table in the shared folder that is bucketed by a column, so that joins on that column don't shuffle its rows.
+
+    ``again``: whether rows still have to be dealt out by it.
+    """
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    name = f"blockloom_{what}_{uuid.uuid4().hex}"
+    rows = df.repartition(n, by) if again else df
+    rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/blockloom/{name}").bucketBy(n, by).saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and nothing reads any more."""
     for df in tables:

@@ -384,6 +384,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("id")).alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group that links connect, with all its columns: that with the smallest id; null ids come last.
+
+    Rows are numbered for it, so that repeated ids and rows without one are rows like others. Empty texts link with nothing and stay.
+    """
+    rows = written(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+    groups = jaccard_components(rows.select(F.col("at").alias("doc_id"), F.col("row")[text].alias("text")), width, num, den)
+    order = F.struct(F.col("row")[id_col].isNull().alias("none"), F.col("row")[id_col].alias("id"), "at")
+    first = groups.join(rows.select(F.col("at").alias("doc_id"), order.alias("order")), "doc_id").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order.at").alias("at")).hint("merge"), "at", "left_semi").select("row.*")
+
+
 def _in_pairs(rows: DataFrame, key: list[str], others: str = "blocks") -> DataFrame:
     """Rows once for each pair of blocks (i <= j) that they are in: with every block below ``others``; ``block`` by hash where not given."""
     if "block" not in rows.columns:

@@ -10,6 +10,7 @@ import corpus_pipeline
 from blockloom.llm import block_mix, nn_descent, shingle_join, toxicity
 from blockloom.llm.common import components
 from blockloom.llm.nn_descent import near_duplicates
+from blockloom.llm.pieces import model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,14 +124,51 @@ def test_mix(spark, odd, none, sf):
     assert (abs(per.t - per.aim) <= 0.1 * per.aim + block_mix.BLOCK * 3).all()
     got = block_mix.mix(odd).collect()
     assert len(got) == odd.count() and all(r.taken == 0 for r in got if r["size"] == 0) and block_mix.mix(none).count() == 0
-    own = odd.drop("_key", "kept", "removed", "id", "size", "n", "key", "cell", "words", "label")
-    mixed = block_mix.mixed_documents(own).collect()
-    assert set(own.columns) == set(mixed[0].asDict()) and all(r.text for r in mixed)
+    mixed = block_mix.mixed_documents(odd)
+    assert mixed.columns == odd.columns and all(r.text and r._key == 7 for r in mixed.collect()) and block_mix.mixed_documents(none).count() == 0
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 50])
+def test_mix_takes_what_brute_force_takes(spark, wide):
+    rng = np.random.default_rng(6)
+    sizes = {"a": [3000, 1, 700, 0, 255], "b": [100], "c": [40, 260], None: [30, 2000]}
+    rows = [(int(rng.integers(0, 1 << 10)) * wide + k if s else None, " ".join(["w"] * n), s) for s, many in sizes.items() for k, n in enumerate(many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, slots, sources = block_mix.plan(docs, "doc_id", "text", "source", block_mix.WEIGHTS, 3)
+    taken, named = Counter(), {x["s"]: x for x in sources}
+    for r in slots.collect():
+        taken.update((r.s, w) for w in range(r.block * block_mix.BLOCK, min(r.block * block_mix.BLOCK + r.words, named[r.s]["size"])))
+    assert all(sum(n for (s, _), n in taken.items() if s == x["s"]) == x["words"] == round(x["target"]) for x in sources)
+    want = []
+    for x in sources:
+        at = 0
+        for r in sorted((r for r in block_mix.mix(docs).join(docs, "doc_id", "left").select("doc_id", "source", "size").distinct().collect() if r.doc_id is not None and r.source == x["source"]), key=lambda r: r.doc_id):
+            want.append((r.doc_id, sum(taken[x["s"], w] for w in range(at, at + r["size"]))))
+            at += r["size"]
+    got = {r.doc_id: r.taken for r in block_mix.mix(docs).collect()}
+    assert want and all(got[i] == n for i, n in want)
+
+
+def test_running_totals_of_any_ids(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(rng.integers(0, 3)), None if k % 5 == 0 else int(rng.integers(-(2**62), 2**62)), int(rng.integers(0, 9)), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, id long, v long, tie long")
+    got = block_mix.running_total(df, "g", ["id", "tie"], "v").collect()
+    now = Counter()
+    for r in sorted(got, key=lambda r: (r.g, r.id is not None, r.id or 0, r.tie)):
+        assert r.since == now[r.g]
+        now[r.g] += r.v
+    assert len(got) == 500
 
 
 def test_permutations_and_draws():
     for n in (1, 2, 3, 100, 4097):
-        assert sorted(block_mix.permuted(np.arange(n), n, 12345).tolist()) == list(range(n))
+        to = block_mix.permuted(np.arange(n), n, 12345).tolist()
+        assert sorted(to) == list(range(n)) and all(to[block_mix.inverse_place(x, n, 12345)] == x for x in range(0, n, 1 + n // 9))
+    huge = np.array([10**12, 3, 5 * 10**11, 10**4])
+    parts = [block_mix.shard_draw(huge, 10**6, k, 2) for k in (0, 1, 2, 10**6 - 1)]
+    assert (parts[0][0] + parts[0][1] == parts[1][0]).all() and (parts[1][0] + parts[1][1] == parts[2][0]).all() and (parts[3][0] + parts[3][1] == huge).all()
+    assert len({int(c[0]) for _, c in parts}) > 1 and all(abs(c[0] - 10**6) < 10**4 for _, c in parts)
     slots, at = np.array([1000, 3, 0, 777]), np.zeros(4, int)
     for k in range(7):
         first, counts = block_mix.shard_draw(slots, 7, k, 1)
@@ -277,6 +315,30 @@ def test_pipeline(spark, sf):
         if name == "ngram_jaccard_join":
             comp, _ = brute([(r.doc_id, r.text) for r in now.collect()], 5, 8, 10)
             assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, c in comp.items() if i == c)
+        if name == "sentencepiece":
+            sp, texts = model(corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model")), sorted((r.doc_id, sp_ids) for r in now.collect() for sp_ids in [r.text])
+            assert sorted((r.doc_id, bytes(r.ids)) for r in out.collect()) == sorted((i, np.array(sp.encode(x, add_bos=True, add_eos=True), "<u4").tobytes()) for i, x in texts)
+        if name == "toxicity":
+            scores = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
+            assert {r.doc_id for r in out.collect()} == {i for i, p in scores.items() if not p}
+        if name == "source_mixing":
+            words = {r.doc_id: WORD.findall(r.text) for r in now.collect()}
+            taken = Counter()
+            for r in out.collect():
+                own = WORD.findall(r.text)
+                assert set(own) <= set(words[r.doc_id]) and r.n_chars == len(r.text)
+                taken[r.doc_id] += len(own)
+            assert taken == Counter({r.doc_id: r.taken for r in block_mix.mix(now).collect() if r.taken})
         seen.append(out.count())
         now = out
     assert seen[0] > 0.8 * docs.count() and corpus_pipeline.run(spark, sf).count() == seen[-1]
+
+
+def test_stages_on_odd_rows(spark, odd, none, sf):
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.written(stage(spark, docs, sf), f"odd-{name}")
+            assert out.columns == odd.columns and {r._key for r in out.select("_key").collect()} <= {7} and (out.count() > 0) == (docs is odd)
+    assert corpus_pipeline.encoding(spark, odd, sf).count() == odd.count() and corpus_pipeline.encoding(spark, none, sf).count() == 0
+    stay = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, odd, sf).collect()]
+    assert sorted(i for i, _ in stay if i) == [1, 3, 4, 5, 6, 7, 8, 9, 10, 11] and (None, "no id at all") in stay

@@ -10,7 +10,6 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from blockloom.llm import line_chunks, media, queries, webp, word_ids
 from blockloom.llm.piece_codec import PieceCodec, digests, encode_decode
 from blockloom.llm.pieces import encode_keys, keys, model
@@ -149,11 +148,13 @@ def test_line_chunks_keep_first_and_all_that_is_single(spark, odd, none):
     passage = "\n".join(f"line {i} of a passage that comes back word by word" for i in range(12))
     long = " ".join(f"w{i}" for i in range(70))
     docs = spark.createDataFrame([(1, f"head one\n{passage}\ntail one", 5), (2, f"other head\n{passage}\nother tail", 5), (3, f"{long}\nmine", 5), (4, f"yours\n{long}", 5), (5, None, 5), (6, "", 5)], "doc_id long, text string, kept int").drop("kept")
-    by = {r.doc_id: r for r in line_chunks.line_dedup(docs).collect()}
+    by = {r.row.doc_id: r for r in line_chunks.line_dedup(docs).collect()}
     assert by[1].kept == by[1].text and by[3].kept == by[3].text and by[4].kept == "yours" and by[5].kept is None and by[6].kept == ""
     assert len(by[2].kept) < len(by[2].text) / 2 and by[2].kept.startswith("other head") and by[2].kept.endswith("other tail")
-    own = odd.drop("_key", "kept", "removed")
-    assert line_chunks.line_dedup(own).count() == odd.count() and line_chunks.line_dedup(none.drop("_key", "kept", "removed")).count() == 0
+    got = line_chunks.line_dedup(odd)
+    assert got.count() == odd.count() and line_chunks.line_dedup(none).count() == 0 and got.select("row.*").columns == [c for c in odd.columns if c != "text"]
+    back = line_chunks.without_repeats(odd)
+    assert back.columns == odd.columns and {r._key for r in back.collect()} == {7} and line_chunks.without_repeats(none).columns == odd.columns
 
 
 def test_pipeline_takes_whole_runs_out(spark, odd, none):
@@ -168,13 +169,13 @@ def test_pipeline_takes_whole_runs_out(spark, odd, none):
         want[2 * k], want[2 * k + 1] = rows[-2][1], "\n".join([ends[1][0], ends[1][1], short, ends[1][2]])
     rows += [(None, rows[0][1], "en", "a", 0), (100, None, "en", "a", 0), (101, "", "en", "a", 0), (102, rows[0][1], "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
-    cut = {r.doc_id: r for r in line_chunks.without_repeated_runs(docs).collect()}
+    cut = {r.row.doc_id: r for r in line_chunks.without_repeated_runs(docs).withColumnRenamed("kept", "text").collect()}
     # the null id sorts first: all of document 0 has come before
     assert cut[None].cut == 0 and cut[None].text == rows[0][1] and cut[0].text == cut[102].text == "" and cut[100].text is None and cut[101].text == ""
     assert {i: cut[i].text for i in want if i > 1} == {i: t for i, t in want.items() if i > 1}
-    out = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs.filter("doc_id IS NOT NULL"), "").collect()}
+    out = {r.doc_id: r.text for r in line_chunks.without_repeats(docs.filter("doc_id IS NOT NULL")).collect()}
     assert 102 not in out and all(f"p{k}a.0" not in out[2 * k + 1] and f"p{k}b.29" not in out[2 * k + 1] for k in range(24)) and all(out[2 * k] == want[2 * k] for k in range(24))
-    assert line_chunks.without_repeated_runs(odd.drop("_key")).count() == odd.count() and line_chunks.without_repeated_runs(none.drop("_key")).count() == 0
+    assert line_chunks.without_repeated_runs(odd).count() == odd.count() and line_chunks.without_repeated_runs(none).count() == 0
 
 
 def test_ring_shards(spark, odd, none, sf):
