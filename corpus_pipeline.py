@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.block_mix import mixed_documents
 from blockloom.llm.common import table, written
-from blockloom.llm.line_chunks import line_dedup, without_repeated_runs
+from blockloom.llm.line_chunks import without_repeats
 from blockloom.llm.piece_codec import encode_decode
-from blockloom.llm.shingle_join import jaccard_components
+from blockloom.llm.shingle_join import without_near_copies
 from blockloom.llm.toxicity import fit, without_toxic
 
 
@@ -27,16 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs and chunks of lines that came before; a document of which nothing is left goes."""
-    docs = written(without_repeated_runs(docs).filter((F.col("cut") == 0) | (F.col("text") != "")).drop("cut"), "runs")
-    out = line_dedup(docs).filter((F.size("removed") == 0) | (F.col("kept") != ""))
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 0.8 or more over five-word shingles, the document with the smallest id."""
-    groups = jaccard_components(docs, 5, 8, 10)
-    stay = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    return without_near_copies(docs, 5, 8, 10)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +48,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("source_mixing", mixing), ("sentencepiece", encoding)]
 
-#: No stage but the second is SQL's: the classifier, the draw of the mix and the tokens aren't. Tests hold ``run`` against brute force.
+#: No stage but the second and third is SQL's: the classifier, the draw of the mix and the tokens aren't. Tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
