@@ -1,10 +1,11 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-The distinct units of a batch (see ``pieces``) become one flat numpy array of symbols. In each round every adjacent pair's
-rank is looked up, a segmented minimum gives each unit its best pair, the leftmost pair of that rank merges in all units at
-once, and the array is compacted, until no unit has a pair left. One merge a unit and round keeps the library's order even
-where a merge makes a better pair than the rest of its kind. Units longer than ``LONG`` symbols, for which rounds would be
-quadratic, go through a priority queue with the same order. Characters outside the vocabulary become their bytes' pieces.
+The distinct units of a batch (see ``pieces``) become one flat numpy array of symbols, cut into words wherever no piece of the
+vocabulary holds the two neighbouring characters, so that nothing could merge across. In each round every adjacent pair's
+rank is looked up, a segmented minimum gives each word its best rank, and all its pairs of that rank that don't overlap, from the
+left, merge at once, in all words; the array is compacted, until no word has a pair left. Where a merge makes a better
+pair than those that it is done with, the word's merges to the right of it wait for the next round: the library, which merges one
+by one, would turn to that pair first. Characters outside the vocabulary become their bytes' pieces.
 
 Null and empty texts encode to begin and end ids alone and decode to an empty text. Repeated rows are encoded row by row,
 other columns of the input are kept aside, an empty table gives an empty result.
@@ -12,7 +13,6 @@ other columns of the input are kept aside, an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, slices
 from .pieces import MARK, keys, model
 
-#: Symbols of a unit beyond which the queue replaces the rounds; units that a worker's cache holds.
-LONG, CACHE_ROWS = 192, 150_000
+#: Units that a worker's cache holds.
+CACHE_ROWS = 150_000
 _NONE = np.int64(1) << np.int64(40)
 _CODECS: dict[str, PieceCodec] = {}
 
@@ -52,7 +52,6 @@ class PieceCodec:
                 if left is not None and right is not None:
                     pairs[left, right] = (-sp.get_score(i), i)
         order = {s: r for r, s in enumerate(sorted({s for s, _ in pairs.values()}))}
-        self.pairs = {k: (order[s], i) for k, (s, i) in pairs.items()}
         self.base = n + len(self.symbols) + 2
         flat = sorted((a * self.base + b, order[s], i) for (a, b), (s, i) in pairs.items())
         self.pair_key, self.pair_rank, self.pair_to = (np.array([x[j] for x in flat], np.int64) for j in range(3))
@@ -68,6 +67,8 @@ class PieceCodec:
                 step += 1
             self.slot[h + step] = j
             self.probes = max(self.probes, step + 1)
+        near = {(self.symbols[p[k]], self.symbols[p[k + 1]]) for p in self.ids for k in range(len(p) - 1)}
+        self.near = np.array(sorted(a * self.base + b for a, b in near), np.int64)  # neighbouring characters of some piece
         self.piece_bytes = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
         self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
         self.control = {i for i in range(n) if sp.is_control(i)}
@@ -95,38 +96,39 @@ class PieceCodec:
 
     def encode_units(self, units: list[str]) -> list[np.ndarray]:
         """Ids of each unit, given as its text with space marks."""
-        out: list[np.ndarray | None] = [None] * len(units)
-        short = [i for i, u in enumerate(units) if len(u) <= LONG]
-        for i, u in enumerate(units):
-            if len(u) > LONG:
-                out[i] = self._finish(*self._queue(u), u)
-        if short:
-            symbols = np.fromiter((s for i in short for s in self._chars(units[i])), np.int64)
-            lens = np.fromiter((len(units[i]) for i in short), np.int64, len(short))
-            word = np.repeat(np.arange(len(short)), lens)
-            width = np.ones(len(symbols), np.int64)
-            symbols, word, width = self._rounds(symbols, word, width)
-            plain = symbols < self.n
-            ends = np.searchsorted(word, np.arange(len(short) + 1))
-            for j, i in enumerate(short):
-                s = slice(ends[j], ends[j + 1])
-                out[i] = symbols[s] if plain[s].all() else self._finish(symbols[s], width[s], units[i])
-        return out
+        if not units:
+            return []
+        symbols = np.fromiter((s for u in units for s in self._chars(u)), np.int64)
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        unit = np.repeat(np.arange(len(units)), lens)
+        pair = symbols[:-1] * self.base + symbols[1:]
+        at = np.minimum(np.searchsorted(self.near, pair), len(self.near) - 1)
+        cut = np.ones(len(symbols), bool)
+        cut[1:] = (self.near[at] != pair) | (unit[1:] != unit[:-1])
+        starts = np.flatnonzero(cut)  # of words
+        symbols, word, width = self._rounds(symbols, np.cumsum(cut) - 1, np.ones(len(symbols), np.int64))
+        unit = unit[starts][word]
+        plain = symbols < self.n
+        ends = np.searchsorted(unit, np.arange(len(units) + 1))
+        odd = set(unit[~plain].tolist())
+        return [self._finish(symbols[a:b], width[a:b], units[i]) if i in odd else symbols[a:b] for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of each pair; ``_NONE`` where it merges to nothing."""
+        at = self._pairs(left, right)
+        return np.where(at >= 0, self.pair_rank[at], _NONE), self.pair_to[at]
 
     def _rounds(self, symbols, word, width):
         done_s, done_w, done_l = [], [], []
-        at = self._pairs(symbols[:-1], symbols[1:]) if len(symbols) > 1 else np.zeros(0, np.int64)
-        rank = np.full(len(symbols), _NONE, np.int64)  # of each symbol with the next one
-        ok = (at >= 0) & (word[:-1] == word[1:])
-        rank[:-1][ok] = self.pair_rank[at[ok]]
-        to = np.zeros(len(symbols), np.int64)
-        to[:-1][ok] = self.pair_to[at[ok]]
+        rank, to = np.full(len(symbols), _NONE, np.int64), np.zeros(len(symbols), np.int64)  # of each symbol with the next one
+        same = np.flatnonzero(word[:-1] == word[1:])
+        rank[same], to[same] = self._ranks(symbols[same], symbols[same + 1])
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.r_[starts, len(word)])
             live = np.repeat(best < _NONE, counts)
-            if not live.all():  # compaction: units without a pair leave
+            if not live.all():  # compaction: words without a pair leave
                 done_s.append(symbols[~live]), done_w.append(word[~live]), done_l.append(width[~live])
                 symbols, word, width, rank, to = symbols[live], word[live], width[live], rank[live], to[live]
                 if not len(symbols):
@@ -134,50 +136,44 @@ class PieceCodec:
                 keep = best < _NONE
                 best, counts = best[keep], counts[keep]
             hits = np.flatnonzero(rank == np.repeat(best, counts))
-            hits = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]  # the leftmost of each unit
+            hits = self._allowed(hits, symbols, word, rank, to)
             symbols[hits] = to[hits]
             width[hits] += width[hits + 1]
             keep = np.ones(len(symbols), bool)
             keep[hits + 1] = False
             moved = hits - np.arange(len(hits))
             symbols, word, width, rank, to = symbols[keep], word[keep], width[keep], rank[keep], to[keep]
-            again = np.r_[moved, moved[moved > 0] - 1]
+            again = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
             rank[again] = _NONE
             again = again[again + 1 < len(symbols)]
             again = again[word[again] == word[again + 1]]
-            at = self._pairs(symbols[again], symbols[again + 1])
-            ok = at >= 0
-            rank[again[ok]], to[again[ok]] = self.pair_rank[at[ok]], self.pair_to[at[ok]]
+            rank[again], to[again] = self._ranks(symbols[again], symbols[again + 1])
         if not done_s:
             return symbols, word, width
         symbols, word, width = np.concatenate(done_s), np.concatenate(done_w), np.concatenate(done_l)
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order], width[order]
 
-    def _queue(self, unit: str):
-        symbols, n = self._chars(unit), len(unit)
-        after, before, width = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n and (found := self.pairs.get((symbols[i], symbols[j]))):
-                heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
-
-        for i in range(n - 1):
-            push(i, i + 1)
-        while heap:
-            _, i, left, right, to = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right or not width[i] or not width[j]:
-                continue
-            symbols[i], symbols[j], after[i] = to, -1, after[j]
-            width[i], width[j] = width[i] + width[j], 0
-            if after[j] < n:
-                before[after[j]] = i
-            push(before[i], i)
-            push(i, after[i])
-        keep = [i for i in range(n) if width[i]]
-        return np.array([symbols[i] for i in keep], np.int64), np.array([width[i] for i in keep], np.int64)
+    def _allowed(self, hits, symbols, word, rank, to):
+        """Of a round's pairs (each word's of its best rank), those that the library would merge before it turns to any other rank."""
+        first = np.r_[True, word[hits[1:]] != word[hits[:-1]]]
+        if first.all():
+            return hits
+        # of a run of overlapping pairs every other one, from the left
+        begins = np.r_[True, (hits[1:] != hits[:-1] + 1)] | first
+        place = np.arange(len(hits)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        hits = hits[place % 2 == 0]
+        first = np.r_[True, word[hits[1:]] != word[hits[:-1]]]
+        # a merge's new pairs: with the symbol before (itself a result if merged just before it), and with the one after, not merged yet
+        before, after = np.maximum(hits - 1, 0), np.minimum(hits + 2, len(symbols) - 1)
+        left = symbols[before]
+        joined = np.r_[False, hits[1:] == hits[:-1] + 2] & ~first
+        left[joined] = to[hits[np.flatnonzero(joined) - 1]]
+        lower = np.where((hits > 0) & (word[before] == word[hits]), self._ranks(left, to[hits])[0], _NONE)
+        upper = np.where((hits + 2 < len(symbols)) & (word[after] == word[hits]), self._ranks(to[hits], symbols[after])[0], _NONE)
+        better = np.minimum(lower, upper) < rank[hits]
+        passed = np.cumsum(better) - better  # better pairs made before each merge
+        return hits[passed == passed[np.flatnonzero(first)[np.cumsum(first) - 1]]]
 
     def _finish(self, symbols: np.ndarray, width: np.ndarray, unit: str) -> np.ndarray:
         """Symbols that are no piece become the pieces of their bytes."""

@@ -61,8 +61,8 @@ def _cells(totals: DataFrame, shards: int) -> DataFrame:
     nodes = nodes.withColumn("at", F.expr(f"{_place("concat('node/', shard, '/', v)")} DIV {_WIDE}"))
     nodes = nodes.groupBy("at").agg(F.min("shard").alias("shard"))  # one node a cell
     ring = ring.join(F.broadcast(nodes), F.col("cell") == F.col("at"), "left")
-    node = F.first(F.when(F.col("at").isNotNull(), F.struct("at", "shard")), ignorenulls=True)
-    ahead = Window.orderBy("cell").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    node = F.last(F.when(F.col("at").isNotNull(), F.struct("at", "shard")), ignorenulls=True)
+    ahead = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running frame, in one pass
     lead = nodes.agg(F.min(F.struct("at", "shard")).alias("lead"))  # cells behind the last node belong to the first
     ring = ring.withColumn("node", node.over(ahead)).crossJoin(F.broadcast(lead)).withColumn("node", F.coalesce("node", "lead"))
     ring = ring.select("cell", "n", F.col("node.at").alias("at"), F.col("node.shard").alias("home"))
@@ -82,16 +82,20 @@ def _cells(totals: DataFrame, shards: int) -> DataFrame:
     every = every.withColumn("spare", F.expr(f"greatest(0L, whole DIV {shards} + if(shard < whole % {shards}, 1, 0) - load)"))
     rooms = every.agg(F.expr("transform(array_sort(collect_list(struct(shard, spare))), x -> x.spare)").alias("spare"), F.expr("transform(array_sort(collect_list(struct(shard, load))), x -> x.load)").alias("load"))
     stops = ring.groupBy("at", "home").agg(F.sum("over").alias("over")).agg(F.expr("array_sort(collect_list(struct(at, home, over)))").alias("stops"))
-    takes = "least(a.carry + if(i < size(stops), stops[i % size(stops)].over, 0L), a.spare[stops[i % size(stops)].home])"
-    fold = f"""
+    # a step: what has queued up to this node, what its shard takes of it, and, only if it takes any, the new tables
+    fold = """
         aggregate(sequence(0, 2 * size(stops) - 1),
           named_struct('carry', 0L, 'spare', spare, 'slot', load, 'done', 0L, 'lots', cast(array() AS array<struct<shard: int, lo: bigint, hi: bigint, base: bigint>>)),
-          (a, i) -> named_struct(
-            'carry', a.carry + if(i < size(stops), stops[i % size(stops)].over, 0L) - {takes},
-            'spare', if({takes} > 0, transform(a.spare, (x, k) -> if(k = stops[i % size(stops)].home, x - {takes}, x)), a.spare),
-            'slot', if({takes} > 0, transform(a.slot, (x, k) -> if(k = stops[i % size(stops)].home, x + {takes}, x)), a.slot),
-            'done', a.done + {takes},
-            'lots', if({takes} > 0, concat(a.lots, array(named_struct('shard', stops[i % size(stops)].home, 'lo', a.done, 'hi', a.done + {takes}, 'base', a.slot[stops[i % size(stops)].home]))), a.lots)),
+          (a, i) -> transform(array(named_struct('home', stops[i % size(stops)].home, 'queue', a.carry + if(i < size(stops), stops[i].over, 0L))), s ->
+            transform(array(least(s.queue, a.spare[s.home])), t -> if(t = 0, named_struct('carry', s.queue, 'spare', a.spare, 'slot', a.slot, 'done', a.done, 'lots', a.lots),
+              named_struct(
+                'carry', s.queue - t,
+                'spare', transform(a.spare, (x, k) -> if(k = s.home, x - t, x)),
+                'slot', transform(a.slot, (x, k) -> if(k = s.home, x + t, x)),
+                'done', a.done + t,
+                'lots', concat(a.lots, array(named_struct('shard', s.home, 'lo', a.done, 'hi', a.done + t, 'base', a.slot[s.home]))))))[0])[0],
           a -> a.lots)"""
-    lots = written(stops.crossJoin(F.broadcast(rooms)).select(F.expr(fold).alias("all")), "ring-lots")
-    return ring.crossJoin(F.broadcast(lots)).select("cell", "home", "room", "prefix", "queued", F.expr("filter(all, l -> l.lo < queued + `over` AND l.hi > queued)").alias("lots"))
+    lots = written(stops.crossJoin(F.broadcast(rooms)).select(F.explode(F.expr(fold)).alias("l")), "ring-lots")
+    # a stretch is a node's: at most two for each node of the ring
+    met = ring.filter("`over` > 0").join(F.broadcast(lots), F.expr("l.lo < queued + `over` AND l.hi > queued")).groupBy("cell").agg(F.collect_list("l").alias("lots"))
+    return ring.join(F.broadcast(met), "cell", "left").select("cell", "home", "room", "prefix", "queued", "lots")
