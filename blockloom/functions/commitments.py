@@ -83,8 +83,12 @@ def sender(tx: dict) -> str | None:
     return secp256k1.address(key)
 
 
-def header_issue(block: dict, chain_id: int, checks: frozenset[str] = frozenset(("hash", "transactions", "senders", "withdrawals"))) -> str | None:
-    """The first commitment that a block breaks, or None. Comparison ignores case."""
+def header_issue(block: dict, chain_id: int, checks: frozenset[str] = frozenset(("hash", "transactions", "senders", "withdrawals")), receipts: list[dict] | None = None, by_gas_used: bool = False) -> str | None:
+    """The first commitment that a block breaks, or None. Comparison ignores case.
+
+    With receipts and the check ``receipts``, their root and the filter over their logs are held against the header too, without
+    those that the network doesn't commit to. ``by_gas_used``: the root is over each receipt's own gas.
+    """
     from .networks import TEMPO_HEADER, Network
 
     net = Network(chain_id)
@@ -108,6 +112,13 @@ def header_issue(block: dict, chain_id: int, checks: frozenset[str] = frozenset(
                 return "withdrawals and their root don't come together"
             if has_list and withdrawals_root(block["withdrawals"]).lower() != block["withdrawalsRoot"].lower():
                 return "withdrawals root mismatch"
+        if "receipts" in checks and receipts is not None:
+            own = net.committed_receipts(block, receipts)
+            if receipts_root(own, by_gas_used).lower() != block["receiptsRoot"].lower():
+                return "receipts root mismatch"
+            logs = net.committed_logs(block, [x for r in own for x in r["logs"]])
+            if logs_bloom(logs).lower() != block["logsBloom"].lower():
+                return "logs bloom mismatch"
     except (ValueError, KeyError) as e:
         return f"not verifiable: {e}"
     return None
@@ -151,15 +162,18 @@ def state_sync_udf(number: pd.Series, hash_: pd.Series) -> pd.Series:
     return pd.Series([state_sync_hash(n, h) for n, h in zip(number, hash_, strict=True)])
 
 
-def with_header_issue(blocks: DataFrame, block_json: str = "block_json", chain_id: str = "chain_id", checks: frozenset[str] | None = None) -> DataFrame:
-    """``blocks`` with ``header_issue``: each block's first broken commitment."""
+def with_header_issue(blocks: DataFrame, block_json: str = "block_json", chain_id: str = "chain_id", checks: frozenset[str] | None = None, receipts_json: str | None = None) -> DataFrame:
+    """``blocks`` with ``header_issue``: each block's first broken commitment; ``receipts_json``: a column with its receipts, to be checked too."""
     wanted = checks if checks is not None else frozenset(("hash", "transactions", "senders", "withdrawals"))
 
     @F.pandas_udf(T.StringType())
-    def issue(block: pd.Series, chain: pd.Series) -> pd.Series:
-        return pd.Series([header_issue(json.loads(b), int(c), wanted) for b, c in zip(block, chain, strict=True)])
+    def issue(block: pd.Series, chain: pd.Series, receipts: pd.Series) -> pd.Series:
+        return pd.Series([header_issue(json.loads(b), int(c), wanted, json.loads(r) if r is not None else None) for b, c, r in zip(block, chain, receipts, strict=True)])
 
-    return blocks.withColumn("header_issue", issue(F.col(block_json), F.col(chain_id)))
+    if receipts_json is not None:
+        wanted |= {"receipts"}
+    own = F.col(receipts_json) if receipts_json is not None else F.lit(None).cast("string")
+    return blocks.withColumn("header_issue", issue(F.col(block_json), F.col(chain_id), own))
 
 
 def bloom_of_logs(logs: DataFrame, key: str = "block_hash", address: str = "address", topics: str = "topics") -> DataFrame:

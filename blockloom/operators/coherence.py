@@ -62,8 +62,10 @@ def gas_issues(receipts: DataFrame) -> DataFrame:
 
 def receipt_gates(blocks: DataFrame, receipts: DataFrame) -> DataFrame:
     """Receipts of another block contest the header; fewer or more than the transactions are not ready yet."""
-    joined = blocks.select(*KEYS, F.lower("hash").alias("_h"), "tx_count").join(receipts.select(*KEYS, F.lower("block_hash").alias("_b")), KEYS, "left")
-    per = joined.groupBy(*KEYS, "tx_count").agg(F.count("_b").alias("n"), F.coalesce(F.bool_or(F.col("_b") != F.col("_h")), F.lit(False)).alias("foreign"))
+    # counted by hash before anything is joined: a block has one row, or a few where hashes differ
+    per = receipts.groupBy(*KEYS, F.lower("block_hash").alias("_b")).agg(F.count("block_hash").alias("_n"))
+    joined = blocks.select(*KEYS, F.lower("hash").alias("_h"), "tx_count").join(per, KEYS, "left")
+    per = joined.groupBy(*KEYS, "tx_count").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.bool_or(F.col("_b") != F.col("_h")), F.lit(False)).alias("foreign"))
     short = _found(per.filter("n <> tx_count"), "not ready", 5, F.concat(F.lit("receipts: "), "n", F.lit(" of "), "tx_count"))
     return short.unionByName(_found(per.filter("foreign"), "contested", 1, "receipts of another block"))
 

@@ -1,11 +1,13 @@
 """Parent links between blocks: continuity, take-while, forks, equivocation, duplicates, finality bookkeeping.
 
-A blocks table has chain_id, number, hash, parent_number, parent_hash. Windows run per chain; on long histories pass
-``span``: blocks then are compared within spans of heights that overlap by one, so that no task sees a whole chain.
+A blocks table has chain_id, number, hash, parent_number, parent_hash. Windows run per chain; for long histories of one chain
+``with_breaks_by_join`` finds each block's parent by an equi-join, so that no task sees a whole chain.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +99,19 @@ def last_per_height(arrivals: DataFrame, order: str = "pos") -> DataFrame:
 def canonical_from(arrivals: DataFrame, head: DataFrame, depth: int) -> DataFrame:
     """Ancestors of each chain's head over parent links, at most ``depth``: a walk by joins, all chains at once."""
     links = arrivals.select(*KEYS, "number", "hash", "parent_number", "parent_hash").distinct()
-    spark = arrivals.sparkSession
-    links.createOrReplaceTempView("_links"), head.select(*KEYS, "number", "hash").createOrReplaceTempView("_head")
-    return spark.sql(f"""
+    spark, own = arrivals.sparkSession, uuid.uuid4().hex
+    names = f"links_{own}", f"head_{own}"  # of this call alone
+    links.createOrReplaceTempView(names[0]), head.select(*KEYS, "number", "hash").createOrReplaceTempView(names[1])
+    out = spark.sql(f"""
         WITH RECURSIVE walk MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT l.*, 0 AS depth FROM _links l JOIN _head USING (chain_id, number, hash)
+          SELECT l.*, 0 AS depth FROM {names[0]} l JOIN {names[1]} USING (chain_id, number, hash)
           UNION ALL
-          SELECT l.*, w.depth + 1 FROM walk w JOIN _links l ON l.chain_id = w.chain_id AND l.number = w.parent_number AND l.hash = w.parent_hash
+          SELECT l.*, w.depth + 1 FROM walk w JOIN {names[0]} l ON l.chain_id = w.chain_id AND l.number = w.parent_number AND l.hash = w.parent_hash
           WHERE l.number < w.number AND w.depth < {depth}
         ) SELECT * FROM walk""")
+    for name in names:
+        spark.catalog.dropTempView(name)
+    return out
 
 
 def running_finality(reports: DataFrame, order: str = "pos") -> DataFrame:

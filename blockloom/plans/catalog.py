@@ -13,6 +13,7 @@ from blockloom.operators import coherence as co
 from blockloom.operators import linkage as li
 from blockloom.plans import metrics as me
 from blockloom.plans import queries as qu
+from blockloom.plans import records
 from blockloom.plans.views import blocks, bundles, events, oracle, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +56,11 @@ def offset_finality(s, d):
     return qu.offset_finality(blocks(s, d).select(F.col("key").alias("number"), "hash"), 64)
 
 
-@_register("SELECT chain_id, number, hash FROM blk WHERE key <= 777")
+@_register("SELECT chain_id, number, hash FROM blk WHERE key <= (SELECT greatest(max(key) - 64, 0) FROM blk)")
 def finalized_batch(s, d):
     b = blocks(s, d)
-    return qu.finalized_batch(b.drop("number").withColumnRenamed("key", "number"), 777).join(b.select(F.col("key").alias("k"), F.col("number").alias("height")), F.col("number") == F.col("k")).select("chain_id", F.col("height").alias("number"), "hash")
+    known = qu.offset_finality(b.select(F.col("key").alias("number"), "hash"), 64).first().number
+    return qu.finalized_batch(b.drop("number").withColumnRenamed("key", "number"), known).join(b.select(F.col("key").alias("k"), F.col("number").alias("height")), F.col("number") == F.col("k")).select("chain_id", F.col("height").alias("number"), "hash")
 
 
 @_register("SELECT key AS number, hash FROM blk ORDER BY key DESC LIMIT 100")
@@ -248,11 +250,11 @@ def flat_frame_checks(s, d):
     return co.flat_frame_issues(blocks(s, d), t, t).select("chain_id", "number", "reason")
 
 
-@_register("SELECT k, a.n AS prev, b.n AS next, CASE WHEN a.n IS NULL THEN '+' WHEN b.n IS NULL THEN '-' WHEN a.n = b.n THEN '=' ELSE '*' END AS kind FROM (SELECT part AS k, count(*) AS n FROM txs WHERE flag = 'A' GROUP BY 1) a FULL JOIN (SELECT part AS k, count(*) AS n FROM txs WHERE flag = 'N' AND supp % 3 = 0 GROUP BY 1) b USING (k)")
+@_register("SELECT k, a.n AS prev, b.n AS next, CASE WHEN a.n IS NULL THEN '+' WHEN b.n IS NULL THEN '-' WHEN a.n = b.n THEN '=' ELSE '*' END AS kind FROM (SELECT part AS k, count(*) AS n FROM txs WHERE flag <> 'N' GROUP BY 1) a FULL JOIN (SELECT part AS k, count(*) AS n FROM txs WHERE flag <> 'A' GROUP BY 1) b USING (k)")
 def state_changes(s, d):
     t = transactions(s, d)
-    pre = t.filter("flag = 'A'").groupBy(F.col("part").alias("k")).agg(F.count("*").alias("value"))
-    post = t.filter("flag = 'N' AND supp % 3 = 0").groupBy(F.col("part").alias("k")).agg(F.count("*").alias("value"))
+    pre = t.filter("flag <> 'N'").groupBy(F.col("part").alias("k")).agg(F.count("*").alias("value"))
+    post = t.filter("flag <> 'A'").groupBy(F.col("part").alias("k")).agg(F.count("*").alias("value"))
     return co.state_changes(pre, post, ["k"]).select("k", "prev", "next", "kind")
 
 
@@ -407,7 +409,7 @@ def compressed_records(s, d):
     return r.select("number", F.octet_length("frame").alias("frame_bytes"), F.md5(record_of("frame")).alias("record_md5"))
 
 
-@_register()
+@_register(records.FLATTENED_FRAMES)
 def flattened_frames(s, d):
     """Call trees as frames, with the violations of their structure counted by block."""
     from blockloom.operators.frames import frames_of
@@ -442,3 +444,7 @@ def chain_windows(s, d):
         "cast(null AS bigint) AS report_number", "cast(null AS string) AS report_hash", "cast(null AS string) AS fork_prev",
     )
     return window_stream(b, most=100, force=True)
+
+
+for _name, (_query, _sql) in records.REGISTERED.items():
+    QUERIES[_name], ORACLES[_name] = _query, oracle(_sql)

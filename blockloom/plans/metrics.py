@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RETRY_HTTP, RETRY_RPC = (408, 429, 502, 503, 504, 529), (-32005, 429)
-RETRY_TEXT = "rate limit|too many requests|timeout|timed out|temporarily unavailable"
+RETRY_TEXT = "rate limit|too many requests|execution timeout|request timed out"
+INTERNAL_TEXT = "internal error|internal server error"
+TOO_LARGE = "response too large"
 INTERNAL_RPC = (-32000, -32603)
 VIOLATIONS = ("equivocation", "descending", "parent mismatch", "below finality", "parent not buffered", "finality not buffered", "finality mismatch")
 
 
+#: The series of a service, as (name, kind, help, label, its closed set of values).
+SERIES = (
+    ("last_block", "gauge", "newest block held", None, ()), ("last_block_lag_ms", "gauge", "age of the newest block", None, ()), ("first_block", "gauge", "oldest block held", None, ()),
+    ("finalized_block", "gauge", "finalized block", None, ()), ("stored_blocks", "gauge", "blocks held", None, ()), ("block_lag_ms", "histogram", "age of blocks when committed", None, ()),
+    ("head_detection_gap_ms", "histogram", "time between polls that saw new heads", None, ()), ("head_interval_ms", "histogram", "time between heads", None, ()),
+    ("processing_time_ms", "histogram", "time from sight to commit", None, ()), ("queries_total", "counter", "queries served", "type", ("cache", "backfill", "error")),
+    ("window_excess", "gauge", "blocks above the window's size", None, ()), ("commits_total", "counter", "commits", None, ()), ("last_commit_timestamp_ms", "gauge", "last commit", None, ()),
+    ("query_outcomes_total", "counter", "queries by outcome", "class", ("window", "wait_empty", "backfill", "conflict", "error")),
+    ("query_duration_ms", "histogram", "time of queries", "class", ("window", "wait_empty", "backfill", "conflict", "error")),
+    ("response_truncations_total", "counter", "answers cut short", "cause", ("budget", "error", "disconnect")), ("upstream_head", "gauge", "newest block upstream", None, ()),
+    ("upstream_head_timestamp_ms", "gauge", "when it was seen", None, ()), ("upstream_finalized_head", "gauge", "finalized block upstream", None, ()), ("upstream_finalized_head_timestamp_ms", "gauge", "when it was seen", None, ()),
+    ("upstream_requests_total", "counter", "requests", "kind", ("single", "batch")), ("upstream_calls_total", "counter", "calls in requests", None, ()),
+    ("upstream_errors_total", "counter", "failed calls", "class", ("rpc", "http", "connection", "disconnected", "timeout", "protocol", "retry_requested")),
+    ("upstream_retries_total", "counter", "calls asked again", "class", ("rpc", "http", "connection", "disconnected", "timeout", "protocol", "retry_requested")),
+    ("over_window", "gauge", "whether the window is over its size", None, ()), ("force_advances_total", "counter", "evictions past finality", None, ()), ("force_advanced_past", "gauge", "last block evicted past finality", None, ()),
+    ("integrity_violations_total", "counter", "violations of the window's rules", None, ()), ("session_restarts_total", "counter", "sessions begun anew", "cause", ("error", "fork", "reset")),
+    ("enrichment_retries_total", "counter", "blocks asked for again", "reason", ("data_lagging", "header_contested", "incoherent")), ("acquisition_retry_exhaustions_total", "counter", "blocks given up", None, ()),
+    ("fork_rebases_total", "counter", "windows moved to another base", None, ()), ("watermark_regressions_total", "counter", "finality reports that went back", None, ()), ("terminal_state", "gauge", "whether the service has given up", None, ()),
+    ("stall_alarm", "gauge", "whether nothing comes in although upstream goes on", None, ()), ("process_start_timestamp_ms", "gauge", "start of the process", None, ()),
+    ("first_acceptance_timestamp_ms", "gauge", "first query taken", None, ()), ("first_commit_timestamp_ms", "gauge", "first commit", None, ()), ("shutdown_start_timestamp_ms", "gauge", "begin of the end", None, ()),
+)
+
+
+def registered(spark: SparkSession, observed: DataFrame) -> DataFrame:
+    """(name, kind, help, labels, label, value): all series with what ``observed`` (name, label, value) has, zero for the rest.
+
+    Of a histogram this is the count. Raises nothing for what isn't registered: such rows leave, as the sets are closed.
+    """
+    known = spark.createDataFrame([(n, k, h, lab, v) for n, k, h, lab, values in SERIES for v in values or [""]], "name string, kind string, help string, key string, label string")
+    rows = known.join(observed.groupBy("name", "label").agg(F.sum("value").cast("double").alias("value")), ["name", "label"], "left")  # some sixty rows
+    labels = F.when(F.col("key").isNotNull(), F.create_map("key", "label")).otherwise(F.expr("cast(map() AS map<string, string>)"))
+    return rows.select("name", "kind", "help", labels.alias("labels"), "label", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def histogram(values: DataFrame, value: str, bounds: list[float], keys: list[str] | None = None) -> DataFrame:
     """(keys, le, count): how many values are at or below each bound; the last bound is null, for all."""
     sums = values.groupBy(*(keys or [])).agg(*[F.count(F.when(F.col(value) <= b, 1)).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("all"))
@@ -24,8 +60,8 @@ def summary(values: DataFrame, value: str, keys: list[str] | None = None) -> Dat
 
 
 def zero_filled(counts: DataFrame, labels: DataFrame, value: str = "value") -> DataFrame:
-    """Counts with a zero for each combination of a closed label set that has none; ``labels``: the few combinations."""
-    return F.broadcast(labels).join(counts, labels.columns, "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    """Counts with a zero for each combination of a closed label set that has none; ``labels``: the combinations."""
+    return labels.join(counts, labels.columns, "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
 def exposition(metrics: DataFrame) -> DataFrame:
@@ -49,8 +85,10 @@ def stalled(upstream: Column, committed: Column, last_commit: Column, behind_sin
 
 
 def is_retryable(http: Column, rpc: Column, message: Column, internal: bool = False) -> Column:
+    """Whether a plain call may be asked again; ``internal``: also where the other side reports an error of its own."""
     codes = RETRY_RPC + (INTERNAL_RPC if internal else ())
-    return F.coalesce(http.isin(*RETRY_HTTP), F.lit(False)) | F.coalesce(rpc.isin(*codes), F.lit(False)) | F.coalesce(F.lower(message).rlike(RETRY_TEXT), F.lit(False))
+    own = F.coalesce(F.lower(message).rlike(INTERNAL_TEXT), F.lit(False)) if internal else F.lit(False)
+    return own | F.coalesce(http.isin(*RETRY_HTTP), F.lit(False)) | F.coalesce(rpc.isin(*codes), F.lit(False)) | F.coalesce(F.lower(message).rlike(RETRY_TEXT), F.lit(False))
 
 
 def shortest_gap(arrivals: DataFrame, at: str = "at_ms", keys: list[str] | None = None, last: int = 8) -> DataFrame:

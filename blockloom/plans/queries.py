@@ -76,15 +76,18 @@ def conflict_refs(window: DataFrame, number: int) -> list[tuple[int, str]]:
 
 def backfill(archive: DataFrame, window: DataFrame, start: int) -> DataFrame:
     """Finalized blocks below the window, then the window's. Raises where the archive has none or they don't join up."""
-    from blockloom.operators.linkage import splice_issues
+    from blockloom.operators.linkage import with_breaks_by_join
 
-    first = window.agg(F.min("number").alias("n")).first().n
-    below = archive.filter((F.col("number") >= start) & (F.col("number") < first))
-    if below.isEmpty():
+    first = window.agg(F.min_by(F.struct("number", "parent_number", "parent_hash"), "number").alias("b")).first().b
+    below = archive.filter((F.col("number") >= start) & (F.col("number") < first.number))
+    ends = below.agg(F.min("number").alias("low"), F.max_by(F.struct("number", "hash"), "number").alias("last")).first()
+    if ends.last is None:
         raise LookupError("nothing below the window")
-    bad = splice_issues(below.withColumn("chain_id", F.lit(0)), window.withColumn("chain_id", F.lit(0)))
-    if not bad.isEmpty():
+    if (ends.last.number, ends.last.hash) != (first.parent_number, first.parent_hash):
         raise LookupError("the archive doesn't join the window")
+    # inside, each block finds its parent by an equi-join, in no order
+    if not with_breaks_by_join(below.withColumn("chain_id", F.lit(0))).filter((F.col("number") > ends.low) & ~F.col("linked")).isEmpty():
+        raise LookupError("the archive doesn't hang together")
     return below.unionByName(window.filter(F.col("number") >= start)).orderBy("number")
 
 
@@ -122,9 +125,10 @@ def recover(own: DataFrame, prev: DataFrame) -> DataFrame:
 
 def compacted(window: DataFrame, most: int, finalized: int, force: bool = False) -> DataFrame:
     """The blocks that eviction leaves: the newest ``most``, and all from the finalized one on."""
-    w = Window.orderBy(F.desc("number"))
-    keep = F.row_number().over(w) <= most
-    return window.withColumn("_k", keep if force else keep | (F.col("number") >= finalized)).filter("_k").drop("_k")
+    # the smallest number to stay comes from a top-k of the tasks, as one row
+    least = window.select("number").orderBy(F.desc("number")).limit(most).agg(F.min("number").alias("_least"))
+    keep = F.col("number") >= (F.col("_least") if force else F.least("_least", F.lit(finalized)))
+    return window.crossJoin(F.broadcast(least)).filter(keep).drop("_least")
 
 
 def is_ready(head: Column, observed: Column, observed_at: Column, now: Column, seconds: int = 60) -> Column:
@@ -143,8 +147,44 @@ def outcome_class(kind: Column, waited: Column, below: Column) -> Column:
     return F.when(kind == "conflict", "conflict").when(kind == "data", F.when(below, "backfill").otherwise("window")).when(kind == "empty", F.when(waited, "wait_empty").otherwise("window")).otherwise("error")
 
 
-def records(answer: Answer, column: str = "json_line"):
-    """The records of an answer one by one, as partitions come: the reader's pace is the job's."""
-    if answer.kind == "data":
-        for row in answer.blocks.select(column).toLocalIterator(prefetchPartitions=True):
-            yield row[0]
+class Response:
+    """The records of an answer one by one, as partitions come: the reader's pace is the job's.
+
+    Within ``seconds``: where no record has gone out by then the answer is empty, else it is cut short; ``truncated`` names why (budget,
+    error, disconnect). An error before the first record is raised, one behind it cuts the answer short.
+    """
+
+    def __init__(self, answer: Answer, column: str = "json_line", seconds: float = 60.0, clock=None):
+        import time
+
+        self.answer, self.column, self.seconds, self.clock = answer, column, seconds, clock or time.monotonic
+        self.sent, self.truncated = 0, None
+
+    @property
+    def kind(self) -> str:
+        """What has been answered: ``empty`` where the budget ran out before the first record."""
+        return "empty" if self.answer.kind == "data" and not self.sent and self.truncated == "budget" else self.answer.kind
+
+    def __iter__(self):
+        if self.answer.kind != "data":
+            return
+        end = self.clock() + self.seconds
+        try:
+            for row in self.answer.blocks.select(self.column).toLocalIterator(prefetchPartitions=True):
+                if self.clock() >= end:
+                    self.truncated = "budget"
+                    return
+                yield row[0]
+                self.sent += 1
+        except GeneratorExit:
+            self.truncated = "disconnect"
+            raise
+        except Exception:
+            if not self.sent:
+                raise
+            self.truncated = "error"
+
+
+def records(answer: Answer, column: str = "json_line", seconds: float = 60.0):
+    """The records of an answer within the budget of a response."""
+    return iter(Response(answer, column, seconds))

@@ -7,6 +7,7 @@ in for a node; ``http_transport`` is the real one.
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from blockloom.plans.metrics import INTERNAL_RPC, RETRY_HTTP, RETRY_RPC, RETRY_TEXT
+from blockloom.plans.metrics import INTERNAL_RPC, INTERNAL_TEXT, RETRY_HTTP, RETRY_RPC, RETRY_TEXT, TOO_LARGE
 
 #: Pauses before repeated attempts, in milliseconds.
 SCHEDULE = (10, 100, 500, 2000, 10000, 20000)
@@ -22,15 +23,24 @@ Transport = Callable[[list[dict]], list[dict]]
 
 
 class RpcError(Exception):
-    def __init__(self, message: str, code: int | None = None, http: int | None = None):
+    """``kind``: what failed where no answer names it: connection, timeout or protocol."""
+
+    def __init__(self, message: str, code: int | None = None, http: int | None = None, kind: str | None = None):
         super().__init__(message)
-        self.code, self.http = code, http
+        self.code, self.http, self.kind = code, http, kind
 
     def retryable(self, internal: bool = False) -> bool:
-        import re
+        """Whether a plain call may be asked again; ``internal``: also where the other side reports an error of its own."""
+        text, codes = RETRY_TEXT + (f"|{INTERNAL_TEXT}" if internal else ""), RETRY_RPC + (INTERNAL_RPC if internal else ())
+        return self.kind in ("connection", "timeout") or self.http in RETRY_HTTP or self.code in codes or bool(re.search(text, str(self).lower()))
+
+    @property
+    def shape(self) -> bool:
+        """Whether only a smaller batch can mend it."""
+        return self.kind == "protocol" or str(self) == TOO_LARGE
 
-        codes = RETRY_RPC + (INTERNAL_RPC if internal else ())
-        return self.http in RETRY_HTTP or self.code in codes or bool(re.search(RETRY_TEXT, str(self).lower()))
+    def retryable_batch(self, internal: bool = False) -> bool:
+        return self.retryable(internal) or self.shape or self.code == -32000
 
 
 def http_transport(url: str, timeout: float = 10.0) -> Transport:
@@ -44,8 +54,12 @@ def http_transport(url: str, timeout: float = 10.0) -> Transport:
                 answers = json.load(got)
         except urllib.error.HTTPError as e:
             raise RpcError(str(e), http=e.code) from e
-        except (urllib.error.URLError, TimeoutError, json.JSONDecodeError) as e:
-            raise RpcError(f"timeout or broken answer: {e}") from e
+        except TimeoutError as e:
+            raise RpcError(f"no answer in time: {e}", kind="timeout") from e
+        except urllib.error.URLError as e:
+            raise RpcError(f"no connection: {e}", kind="connection") from e
+        except json.JSONDecodeError as e:
+            raise RpcError(f"broken answer: {e}", kind="protocol") from e
         return answers if isinstance(answers, list) else [answers]
 
     return send
@@ -72,11 +86,11 @@ class Client:
         return out
 
     def batch_call_reduce(self, calls: list[tuple[str, list]]) -> list:
-        """As ``batch_call``, halving a batch that the other side answers in a wrong shape."""
+        """As ``batch_call``, halving a batch that the other side finds too large or answers in a wrong shape."""
         try:
             return self._chunk(calls, whole=True)
-        except RpcError:
-            if len(calls) == 1:
+        except RpcError as e:
+            if len(calls) == 1 or not e.shape:
                 raise
             half = len(calls) // 2
             return self.batch_call_reduce(calls[:half]) + self.batch_call_reduce(calls[half:])
@@ -95,7 +109,7 @@ class Client:
         answers = self.send([{"jsonrpc": "2.0", "id": i, "method": m, "params": p} for i, (m, p) in zip(ids, calls, strict=True)])
         by = {a.get("id"): a for a in answers}
         if len(answers) != len(calls) or set(by) != set(ids):
-            raise RpcError("the answers don't match the calls", code=-32005)
+            raise RpcError("the answers don't match the calls", kind="protocol")
         return [RpcError(by[i]["error"].get("message", ""), by[i]["error"].get("code")) if by[i].get("error") else by[i].get("result") for i in ids]
 
     def _chunk(self, calls: list[tuple[str, list]], whole: bool = False) -> list:
@@ -105,7 +119,7 @@ class Client:
             try:
                 got = self._ask([calls[i] for i in todo])
             except RpcError as e:
-                if whole or not e.retryable(self.internal) or attempt == self.attempts - 1:
+                if (whole and e.shape) or not e.retryable_batch(self.internal) or attempt == self.attempts - 1:
                     raise
                 got = [e] * len(todo)
             for i, x in zip(todo, got, strict=True):

@@ -70,6 +70,43 @@ def test_header_issue_names_the_first_broken_commitment():
     assert c.header_issue(forged, 1, frozenset({"hash"})) is None
 
 
+def _with_receipts():
+    logs = [{"address": "0x" + "aa" * 20, "topics": ["0x" + "bb" * 32], "data": "0x01", "transactionHash": "0xT"}]
+    receipt = {"transactionHash": "0xT", "type": "0x0", "status": "0x1", "gasUsed": "0x5208", "cumulativeGasUsed": "0x5208", "logsBloom": c.logs_bloom(logs), "logs": logs}
+    block = {"transactions": [{"hash": "0xT"}], "receiptsRoot": c.receipts_root([receipt]), "logsBloom": receipt["logsBloom"]}
+    return block, receipt
+
+
+def test_receipts_are_held_against_the_header():
+    block, receipt = _with_receipts()
+    only = frozenset({"receipts"})
+    assert c.header_issue(block, 1, only, [receipt]) is None and c.header_issue(block, 1, only) is None
+    assert c.header_issue(block, 1, only, [receipt | {"status": "0x0"}]) == "receipts root mismatch"
+    assert c.header_issue(block, 1, only, []) == "receipts root mismatch"
+    assert c.header_issue(block | {"logsBloom": "0x" + "00" * 256}, 1, only, [receipt]) == "logs bloom mismatch"
+    assert c.header_issue(block, 1, only, [{"transactionHash": "0xT"}]).startswith("not verifiable")
+    own = {**block, "receiptsRoot": c.receipts_root([receipt], by_gas_used=True)}
+    assert c.header_issue(own, 1, only, [receipt | {"cumulativeGasUsed": "0x1"}], by_gas_used=True) is None
+
+
+def test_receipts_of_tables(spark):
+    import json
+
+    block, receipt = _with_receipts()
+    rows = [(1, json.dumps(block), json.dumps([receipt]), 1), (2, json.dumps(block), json.dumps([receipt | {"gasUsed": "0x1", "status": "0x0"}]), 1), (3, json.dumps(block), None, 1)]
+    got = c.with_header_issue(spark.createDataFrame(rows, "n int, block_json string, r string, chain_id int"), checks=frozenset(), receipts_json="r")
+    assert {r.n: r.header_issue for r in got.collect()} == {1: None, 2: "receipts root mismatch", 3: None}
+
+
+def test_option_validation():
+    from blockloom.operators.coherence import validate_options
+
+    assert validate_options({}) == [] and len(validate_options({"call_frames": "loud"})) == 1
+    assert validate_options({"call_frames": "reject", "verify_tx_root": True, "verify_sender": True}) == [] and len(validate_options({"call_frames": "reject", "verify_tx_root": True})) == 1
+    assert len(validate_options({"gas_used_receipts": True})) == 1 and len(validate_options({"verify_receipts_root": True})) == 1
+    assert validate_options({"verify_receipts_root": True, "with_receipts": True, "gas_used_receipts": True}) == []
+
+
 def test_networks_exempt():
     assert Network(999).unsigned({"gasPrice": "0x0"}) and not Network(1).unsigned({"gasPrice": "0x0"})
     assert Network(988).unsigned({"r": "0x0", "s": "0x0", "type": "0x2"}) and not Network(4217).unsigned({"r": "0x0", "s": "0x0", "type": "0x2"})

@@ -56,3 +56,63 @@ def test_components_and_strides():
     flat = json.loads(next(rpc.read_bundles(client, [2], traces="trace_block"))[2])["traceReplays"]
     assert [(r["transactionHash"], len(r["trace"])) for r in flat] == [("0xT", 2), ("0xU", 1)]
     assert "traceReplays" not in json.loads(next(rpc.read_bundles(client, [0], traces="trace_block"))[2])
+
+
+def test_answers_are_cut_at_their_budget(spark):
+    from blockloom.plans.queries import Answer, Response
+
+    rows = spark.range(20).selectExpr("cast(id AS string) AS json_line")
+
+    def clock(*ticks):
+        left = list(ticks)
+        return lambda: left.pop(0) if len(left) > 1 else left[0]
+
+    whole = Response(Answer("data", rows))
+    assert len(list(whole)) == 20 and whole.truncated is None and whole.kind == "data"
+    late = Response(Answer("data", rows), seconds=5, clock=clock(0, 9))
+    assert list(late) == [] and late.kind == "empty" and late.truncated == "budget"
+    cut = Response(Answer("data", rows), seconds=5, clock=clock(0, 1, 2, 3, 9))
+    assert len(list(cut)) == 3 and cut.kind == "data" and cut.truncated == "budget"
+    left = Response(Answer("data", rows))
+    reader = iter(left)
+    next(reader)
+    reader.close()
+    assert left.truncated == "disconnect" and list(Response(Answer("empty"))) == []
+
+
+def test_errors_by_class():
+    import pytest
+
+    from blockloom.sources.rpc import Client, RpcError
+
+    assert RpcError("request timed out").retryable() and RpcError("execution timeout").retryable() and not RpcError("timeout of the vote").retryable()
+    assert not RpcError("internal error").retryable() and RpcError("internal error").retryable(internal=True) and RpcError("x", code=-32000).retryable_batch() and not RpcError("x", code=-32000).retryable()
+    asked = []
+
+    def send(calls):
+        asked.append(len(calls))
+        if len(calls) > 2:
+            raise RpcError("response too large")
+        return [{"id": x["id"], "result": x["params"]} for x in calls]
+
+    assert Client(send, sleep=lambda _: None).batch_call_reduce([("m", [k]) for k in range(5)]) == [[k] for k in range(5)] and asked == [5, 2, 3, 1, 2]
+    asked.clear()
+
+    def broken(calls):
+        asked.append(len(calls))
+        raise RpcError("no such method", code=-32601)
+
+    with pytest.raises(RpcError):
+        Client(broken, sleep=lambda _: None).batch_call_reduce([("m", [k]) for k in range(5)])
+    assert asked == [5]  # no split could mend it
+
+
+def test_registry_has_every_series_at_zero(spark):
+    from blockloom.plans import metrics as me
+
+    none = spark.createDataFrame([], "name string, label string, value double")
+    rows = me.registered(spark, none).collect()
+    assert len({r.name for r in rows}) == 39 and {r.value for r in rows} == {0.0} and len(rows) == sum(max(1, len(v)) for *_, v in me.SERIES)
+    text = "".join(r.text for r in me.exposition(me.registered(spark, none).withColumn("type", me.F.col("kind"))).collect())
+    assert 'response_truncations_total{cause="budget"} 0.0' in text
+    assert {r.name for r in me.families_json(me.registered(spark, none).withColumn("type", me.F.col("kind")), "commits_total").collect()} == {"commits_total"}
