@@ -133,8 +133,9 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents, with their columns, after repeated runs and then repeated chunks are gone; one of which nothing is left goes too."""
-    rest = _without_runs(dealt(_keyed(docs, id_col, text), "texts", "h")).filter("cut = 0 OR kept <> ''")
-    rest = dealt(rest.select("h", "key", F.col("kept").alias("text"), "row"), "rest", "h", again=False)
+    rest = _without_runs(dealt(_keyed(docs, id_col, text), "texts", "h"))
+    # written before it is filtered: a filter would move below the projection and work the runs out again, for each of their uses
+    rest = dealt(rest.select("h", "key", F.col("kept").alias("text"), "row", "cut"), "rest", "h", again=False).filter("cut = 0 OR text <> ''").drop("cut")
     out = _without_chunks(rest).filter("size(removed) = 0 OR kept <> ''")
     own = {text: F.col("kept")} | ({length: F.length("kept").cast(docs.schema[length].dataType)} if length else {})
     return out.select(*[own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns])
