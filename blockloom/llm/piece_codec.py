@@ -67,8 +67,14 @@ class PieceCodec:
                 step += 1
             self.slot[h + step] = j
             self.probes = max(self.probes, step + 1)
-        near = {(self.symbols[p[k]], self.symbols[p[k + 1]]) for p in self.ids for k in range(len(p) - 1)}
-        self.near = np.array(sorted(a * self.base + b for a, b in near), np.int64)  # neighbouring characters of some piece
+        chars = sorted({self.symbols[c] for p in self.ids for c in p})
+        self.dense = np.zeros(self.base, np.int64)  # of a character: 1 on, 0 where no piece holds it
+        self.dense[chars] = np.arange(1, len(chars) + 1)
+        near = np.array([[self.symbols[p[k]], self.symbols[p[k + 1]]] for p in self.ids for k in range(len(p) - 1)], np.int64)
+        self.wide = len(chars) + 1
+        at = np.unique(self.dense[near[:, 0]] * self.wide + self.dense[near[:, 1]])  # neighbouring characters of some piece, as bits
+        self.near = np.zeros(self.wide * self.wide // 8 + 1, np.uint8)
+        np.bitwise_or.at(self.near, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         self.piece_bytes = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
         self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
         self.control = {i for i in range(n) if sp.is_control(i)}
@@ -101,10 +107,10 @@ class PieceCodec:
         symbols = np.fromiter((s for u in units for s in self._chars(u)), np.int64)
         lens = np.fromiter(map(len, units), np.int64, len(units))
         unit = np.repeat(np.arange(len(units)), lens)
-        pair = symbols[:-1] * self.base + symbols[1:]
-        at = np.minimum(np.searchsorted(self.near, pair), len(self.near) - 1)
+        dense = self.dense[symbols]
+        pair = dense[:-1] * self.wide + dense[1:]
         cut = np.ones(len(symbols), bool)
-        cut[1:] = (self.near[at] != pair) | (unit[1:] != unit[:-1])
+        cut[1:] = ((self.near[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1 == 0) | (unit[1:] != unit[:-1])
         starts = np.flatnonzero(cut)  # of words
         symbols, word, width = self._rounds(symbols, np.cumsum(cut) - 1, np.ones(len(symbols), np.int64))
         unit = unit[starts][word]
@@ -143,7 +149,10 @@ class PieceCodec:
             keep[hits + 1] = False
             moved = hits - np.arange(len(hits))
             symbols, word, width, rank, to = symbols[keep], word[keep], width[keep], rank[keep], to[keep]
-            again = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            touched = np.zeros(len(symbols), bool)
+            touched[moved] = True
+            touched[moved[moved > 0] - 1] = True
+            again = np.flatnonzero(touched)
             rank[again] = _NONE
             again = again[again + 1 < len(symbols)]
             again = again[word[again] == word[again + 1]]
@@ -156,9 +165,16 @@ class PieceCodec:
 
     def _allowed(self, hits, symbols, word, rank, to):
         """Of a round's pairs (each word's of its best rank), those that the library would merge before it turns to any other rank."""
-        first = np.r_[True, word[hits[1:]] != word[hits[:-1]]]
+        own = word[hits]
+        first = np.r_[True, own[1:] != own[:-1]]
         if first.all():
             return hits
+        alone = first & np.r_[first[1:], True]
+        return np.sort(np.concatenate([hits[alone], self._several(hits[~alone], symbols, word, rank, to)]))
+
+    def _several(self, hits, symbols, word, rank, to):
+        """``_allowed`` of words with more than one pair of their best rank."""
+        first = np.r_[True, word[hits[1:]] != word[hits[:-1]]]
         # of a run of overlapping pairs every other one, from the left
         begins = np.r_[True, (hits[1:] != hits[:-1] + 1)] | first
         place = np.arange(len(hits)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
