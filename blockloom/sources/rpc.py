@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from blockloom.plans.metrics import INTERNAL_RPC, INTERNAL_TEXT, RETRY_HTTP, RETRY_RPC, RETRY_TEXT, TOO_LARGE
+from blockloom.sources.ws import ws_transport
 
 #: Pauses before repeated attempts, in milliseconds.
 SCHEDULE = (10, 100, 500, 2000, 10000, 20000)
@@ -87,6 +88,10 @@ class Client:
 
     def batch_call_reduce(self, calls: list[tuple[str, list]]) -> list:
         """As ``batch_call``, halving a batch that the other side finds too large or answers in a wrong shape."""
+        if len(calls) > self.batch:
+            return [x for at in range(0, len(calls), self.batch) for x in self.batch_call_reduce(calls[at : at + self.batch])]
+        if not calls:
+            return []
         try:
             return self._chunk(calls, whole=True)
         except RpcError as e:
@@ -131,36 +136,60 @@ class Client:
         return out
 
 
-def read_bundles(client: Client, numbers: list[int], receipts: bool = True, logs: bool = False, traces: str | None = None, diffs: bool = False) -> Iterator[tuple]:
-    """(number, hash, bundle JSON, issue) of each height: missing, invalid, wrong number or not ready, or with all that is asked for.
+def read_bundles(
+    client: Client, numbers: list[int], receipts: bool | str = True, logs: bool = False, traces: str | None = None, diffs: bool = False, held: dict[int, dict] | None = None
+) -> Iterator[tuple]:
+    """(number, hash, bundle JSON, issue) of each height: missing, invalid, wrong number, contested or not ready, or with all that is asked for.
 
-    ``traces`` is one of ``trace_method``'s answers. Genesis has no traces. Debug answers may be bare frames or wrapped ones.
+    ``receipts`` may be one of ``method_for_receipts``'s answers, ``traces`` one of ``trace_method``'s. Genesis has no traces. Debug
+    answers may be bare frames or wrapped ones. contested: receipts of another block than the header's. Of a block that isn't ready
+    the JSON has what came; as ``held`` it spares asking for that again.
     """
-    blocks = client.batch_call([("eth_getBlockByNumber", [hex(n), True]) for n in numbers])
-    good = {n: b for n, b in zip(numbers, blocks, strict=True) if isinstance(b, dict) and b.get("hash") and int(b["number"], 16) == n}
-    parts: dict[int, dict] = {n: {"number": n, "hash": b["hash"], "block": b} for n, b in good.items()}
+    held = held or {}
+    fresh = [n for n in numbers if n not in held]
+    blocks = {n: x["block"] for n, x in held.items()} | dict(zip(fresh, client.batch_call([("eth_getBlockByNumber", [hex(n), True]) for n in fresh]), strict=True))
+    good = {n: blocks[n] for n in numbers if isinstance(blocks[n], dict) and blocks[n].get("hash") and int(blocks[n]["number"], 16) == n}
+    parts: dict[int, dict] = {n: dict(held[n]) if n in held else {"number": n, "hash": b["hash"], "block": b} for n, b in good.items()}
     late: set[int] = set()
 
     def ask(key: str, wanted: list[int], method: str, params, shape=lambda x: x) -> None:
-        for n, x in zip(wanted, client.batch_call([(method, params(n)) for n in wanted]), strict=True):
+        wanted = [n for n in wanted if key not in parts[n]]
+        for n, x in zip(wanted, client.batch_call_reduce([(method, params(n)) for n in wanted]), strict=True):
             if isinstance(x, list):
                 parts[n][key] = shape(x)
             else:
                 late.add(n)
 
-    if receipts:
+    if receipts == "by transaction":
+        wanted = [n for n in good if "receipts" not in parts[n]]
+        hashes = {n: [t["hash"] if isinstance(t, dict) else t for t in good[n].get("transactions") or []] for n in wanted}
+        got = iter(client.batch_call_reduce([("eth_getTransactionReceipt", [h]) for n in wanted for h in hashes[n]]))
+        for n in wanted:
+            rows = [next(got) for _ in hashes[n]]
+            if all(isinstance(r, dict) for r in rows):
+                parts[n]["receipts"] = rows
+            else:
+                late.add(n)
+    elif receipts:
         ask("receipts", list(good), "eth_getBlockReceipts", lambda n: [hex(n)])
-    if logs and good:
-        ends = [hex(min(good)), hex(max(good))]
+    contested = {n for n, b in good.items() if any((r.get("blockHash") or b["hash"]).lower() != b["hash"].lower() for r in parts[n].get("receipts") or [])}
+    lacking = [n for n in good if "logs" not in parts[n]]
+    if logs and lacking:
+        ends = [hex(min(lacking)), hex(max(lacking))]
         try:
             rows = client.call("eth_getLogs", [{"fromBlock": ends[0], "toBlock": ends[1]}]) or []
         except RpcError as e:  # a range behind the last accepted block has none yet
             if "after last accepted block" not in str(e):
                 raise
             rows = []
-        for n, b in good.items():
-            parts[n]["logs"] = [x for x in rows if x.get("blockHash") == b["hash"]]
-            if not parts[n]["logs"] and set((b.get("logsBloom") or "").removeprefix("0x")) - {"0"}:
+        by_block: dict[str, list] = {}
+        for x in rows:
+            by_block.setdefault(x.get("blockHash"), []).append(x)
+        for n in lacking:
+            own = by_block.get(good[n]["hash"], [])
+            if own or not set((good[n].get("logsBloom") or "").removeprefix("0x")) - {"0"}:
+                parts[n]["logs"] = own
+            else:
                 late.add(n)
     traced = [n for n in good if n]
     if traces == "debug_traceBlockByHash":
@@ -181,38 +210,108 @@ def read_bundles(client: Client, numbers: list[int], receipts: bool = True, logs
             return [{"transactionHash": h, "trace": fs} for h, fs in groups.items()]
 
         ask("traceReplays", traced, traces, lambda n: [hex(n)], by_tx)
-    for n, b in zip(numbers, blocks, strict=True):
+    for n in numbers:
+        b = blocks[n]
         if n in good:
-            yield n, b["hash"], json.dumps(parts[n]), "not ready" if n in late else None
+            yield n, b["hash"], json.dumps(parts[n]), "contested" if n in contested else "not ready" if n in late else None
         elif b is None:
             yield n, None, None, "missing"
         else:
             yield n, "", None, "invalid" if isinstance(b, RpcError) or not isinstance(b, dict) or not b.get("hash") else "wrong number"
 
 
-def acquire(client: Client, numbers: list[int], attempts: int = 10, delay: float = 0.05, budget: float = 30.0, **selection) -> list[tuple]:
-    """A stride's rows, asking again for those that aren't whole; ends before the first that stays so, or that breaks the chain."""
+def _parent(row: tuple) -> str:
+    return json.loads(row[2])["block"]["parentHash"].lower()
+
+
+def acquire_stride(client: Client, numbers: list[int], parent_hash: str | None = None, attempts: int = 10, delay: float = 0.05, late: float = 0.1, budget: float = 30.0, legs_only: int = 3, clock: Callable[[], float] = time.monotonic, **selection) -> tuple[list[tuple], tuple | None]:
+    """(whole and linked rows, what ended them before the stride did).
+
+    The stride is read at once; a height that isn't whole or doesn't link is read again by itself. What contradicts the header or the
+    chain, or isn't there, is asked for at most ``attempts`` times; data behind the header for ``budget`` seconds from its first
+    sight, keeping what came for up to ``legs_only`` times in a row, then with its header anew. A first block that doesn't follow
+    ``parent_hash`` ends the stride as a fork, its value the upstream's refs below it.
+    """
     rows = {r[0]: r for r in read_bundles(client, numbers, **selection)}
-    end = time.monotonic() + budget
-    for k in range(attempts):
-        bad = [n for n in numbers if rows[n][3] in ("invalid", "wrong number", "not ready")]
-        if not bad or time.monotonic() > end:
-            break
-        if k:
-            client.sleep(delay)
-        rows |= {r[0]: r for r in read_bundles(client, bad, **selection)}
     out: list[tuple] = []
     for n in numbers:
-        if rows[n][3] or (out and json.loads(rows[n][2])["block"]["parentHash"].lower() != out[-1][1].lower()):
-            break
-        out.append(rows[n])
-    return out
+        wrong, kept, end = 0, 0, None
+        while True:
+            row = rows[n]
+            issue = row[3]
+            if not issue and out and _parent(row) != out[-1][1].lower():
+                issue = "parent mismatch"
+            if not issue:
+                break
+            waits = issue in ("not ready", "contested")
+            if waits:
+                end = clock() + budget if end is None else end
+            if (clock() >= end) if waits else (wrong >= attempts):
+                return out, (n, row[1], None, issue)
+            client.sleep(late if waits else delay)
+            wrong += not waits
+            kept = kept + 1 if issue == "not ready" and kept < legs_only else 0
+            rows[n] = next(read_bundles(client, [n], held={n: json.loads(row[2])} if kept else None, **selection))
+        if not out and parent_hash and _parent(row) != parent_hash.lower():
+            return out, (n, row[1], json.dumps(refs_below(client, n)), "fork")
+        out.append(row)
+    return out, None
+
+
+def acquire(client: Client, numbers: list[int], **how) -> list[tuple]:
+    """The rows of ``acquire_stride`` alone."""
+    return acquire_stride(client, numbers, **how)[0]
+
+
+def refs_below(client: Client, number: int, depth: int = 50) -> list[tuple[int, str]]:
+    """(number, hash) of the upstream's blocks below a height, ascending."""
+    heights = range(max(0, number - depth), number)
+    got = client.batch_call([("eth_getBlockByNumber", [hex(n), False]) for n in heights])
+    return [(n, b["hash"]) for n, b in zip(heights, got, strict=True) if isinstance(b, dict) and b.get("hash")]
+
+
+def read_ref(client: Client, at: str) -> tuple[int, str] | None:
+    """(number, hash) of a tag or a height in hex, None where the node has none."""
+    got = client.batch_call([("eth_getBlockByNumber", [at, False])])[0]
+    return (int(got["number"], 16), got["hash"]) if isinstance(got, dict) and got.get("hash") else None
+
+
+class FinalizedView:
+    """The finalized head as last seen, asked for again after ``ttl`` seconds. Within an epoch it never falls: a lower answer renews
+    only the time. ``reseed`` opens an epoch; answers asked for in an older one don't count."""
+
+    def __init__(self, ttl: float = 5.0, clock: Callable[[], float] = time.monotonic):
+        self.ttl, self.clock, self.epoch = ttl, clock, 0
+        self.seen: tuple[int, str] | None = None
+        self.at: float | None = None
+
+    @property
+    def fresh(self) -> bool:
+        return self.at is not None and self.clock() - self.at < self.ttl
+
+    def store(self, epoch: int, ref: tuple[int, str]) -> None:
+        if epoch == self.epoch:
+            self.at = self.clock()
+            if self.seen is None or ref[0] > self.seen[0]:
+                self.seen = ref
+
+    def get(self, client: Client) -> tuple[int, str] | None:
+        """The view, renewed if it is too old; where the node doesn't answer, as it was."""
+        if not self.fresh:
+            epoch, ref = self.epoch, read_ref(client, "finalized")
+            if ref:
+                self.store(epoch, ref)
+        return self.seen
+
+    def reseed(self, ref: tuple[int, str]) -> None:
+        self.epoch += 1
+        self.seen, self.at = ref, self.clock()
 
 
 class _Stride(InputPartition):
-    def __init__(self, start: int, end: int):
+    def __init__(self, start: int, end: int, parent_hash: str | None = None, receipts: bool | str = True):
         super().__init__((start, end))
-        self.start, self.end = start, end
+        self.start, self.end, self.parent_hash, self.receipts = start, end, parent_hash, receipts
 
 
 SCHEMA = "number bigint, hash string, value string, issue string"
@@ -227,57 +326,100 @@ def _client(options: dict) -> Client:
             return [{"id": c["id"], "result": tape.get(c["method"], {}).get(str(c["params"][0]) if c["params"] else "")} for c in calls]
 
         return Client(send)
-    rate = options.get("per_second")
-    return Client(http_transport(options["url"]), int(options.get("batch", 100)), per_second=float(rate) if rate else None)
+    rate, url = options.get("per_second"), options["url"]
+    return Client(ws_transport(url) if url.startswith(("ws:", "wss:")) else http_transport(url), int(options.get("batch", 100)), per_second=float(rate) if rate else None)
 
 
 class _Ranges:
     def __init__(self, options: dict):
         self.options, self.stride = options, int(options.get("stride", 5))
+        self.whole = options.get("mode", "each" if options.get("cassette") else "whole") == "whole"
 
-    def strides(self, start: int, end: int) -> list[_Stride]:
-        return [_Stride(n, min(n + self.stride, end)) for n in range(start, end, self.stride)]
+    def _on(self, name: str, default: str = "false") -> bool:
+        return self.options.get(name, default) == "true"
 
-    def read(self, part: _Stride) -> Iterator[tuple]:
-        def on(name: str, default: str = "false") -> bool:
-            return self.options.get(name, default) == "true"
+    def strides(self, start: int, end: int, parent_hash: str | None = None, final: int | None = None) -> list[_Stride]:
+        """Heights from start to end (exclusive): strides up to ``final``, above it (where ranges may still change) each block a partition.
 
-        selection = {"receipts": on("receipts", "true"), "logs": on("logs"), "diffs": on("statediffs")}
-        selection["traces"] = trace_method(on("traces"), selection["diffs"], on("debug"))
-        yield from read_bundles(_client(self.options), list(range(part.start, part.end)), **selection)
+        What receipts can be asked for is probed once, here on the driver.
+        """
+        if not hasattr(self, "_receipts"):
+            self._receipts = self._on("receipts", "true") and (not self.whole or method_for_receipts(_client(self.options)))
+        top = end if final is None else min(end, max(start, final + 1))
+        cuts = [*range(start, top, self.stride), *range(top, end), end]
+        return [_Stride(a, b, parent_hash if a == start else None, self._receipts) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def read(self, part: _Stride) -> Iterator[tuple]:
+        selection = {"receipts": part.receipts, "logs": self._on("logs"), "diffs": self._on("statediffs")}
+        selection["traces"] = trace_method(self._on("traces"), selection["diffs"], self._on("debug"))
+        client, numbers = _client(self.options), list(range(part.start, part.end))
+        if not self.whole:
+            yield from read_bundles(client, numbers, **selection)
+            return
+        rows, failure = acquire_stride(client, numbers, part.parent_hash, budget=float(self.options.get("budget", 30)), **selection)
+        yield from rows
+        if failure:
+            yield failure
 
 
 class BlockReader(_Ranges, DataSourceReader):
     """A range of heights, a partition for each stride."""
 
     def partitions(self):
-        return self.strides(int(self.options.get("from", 0)), int(self.options["to"]) + 1)
+        return self.strides(int(self.options.get("from", 0)), int(self.options["to"]) + 1, self.options.get("parent_hash"))
 
 
 class BlockStreamReader(_Ranges, DataSourceStreamReader):
-    """Heights up to the head (or the finalized one), at most ``max_blocks`` a trigger."""
+    """Heights up to the head (or the finalized one) and ``to``; an offset is the next height and the hash of the block before it.
+
+    More than a stride below the finalized head a trigger takes up to ``max_blocks``; near the head up to ``depth``, read side by side
+    and committed in order. A process that begins doesn't know where its query stands, so its first trigger goes to the head, unless
+    ``fresh`` says that the query has no checkpoint.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self._view = FinalizedView(float(options.get("finality_ttl", 5)))
+        self._last: dict | None = self.initialOffset() if self._on("fresh") else None
 
     def initialOffset(self) -> dict:
-        return {"next": int(self.options.get("from", 0))}
+        return {"next": int(self.options.get("from", 0)), "hash": self.options.get("parent_hash", "")}
 
     def latestOffset(self) -> dict:
-        got = _client(self.options).call("eth_getBlockByNumber", [self.options.get("tag", "latest"), False])
-        top = int(got["number"], 16) + 1
-        top = max(0, top - int(self.options.get("confirmations", 0)))
-        at = getattr(self, "_at", int(self.options.get("from", 0)))
-        self._at = max(at, min(top, at + int(self.options.get("max_blocks", 1000))))
-        return {"next": self._at}
+        client, tag = _client(self.options), self.options.get("tag", "latest")
+        head, start = read_ref(client, tag), self._last or self.initialOffset()
+        if head is None:
+            return start
+        top = max(0, head[0] + 1 - int(self.options.get("confirmations", 0)))
+        top = min(top, int(self.options.get("to", head[0])) + 1)
+        at, final = start["next"], self._view.get(client)
+        if self._last:
+            near = tag != "finalized" and final is not None and final[0] - at <= self.stride
+            top = min(top, at + (int(self.options.get("depth", 3)) if near else int(self.options.get("max_blocks", 1000))))
+            if not near and final and self.whole:
+                top = min(top, final[0] + 1)
+        if top <= at:
+            return start
+        last = read_ref(client, hex(top - 1))
+        if last is None and self.whole:
+            return start
+        self._last = {"next": top, "hash": last[1] if last else ""}
+        return self._last
 
     def partitions(self, start: dict, end: dict):
-        return self.strides(start["next"], end["next"])
+        return self.strides(start["next"], end["next"], start.get("hash") or None, self._view.seen[0] if self._view.seen else None)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class BlockSource(DataSource):
-    """``spark.read.format("evm_blocks")`` and ``readStream``: options url or cassette, from, to, stride, receipts, logs, traces,
-    statediffs, debug."""
+    """``spark.read.format("evm_blocks")`` and ``readStream``: options url (http or ws) or cassette, from, to, parent_hash, stride,
+    receipts, logs, traces, statediffs, debug, mode; of streams also tag, confirmations, max_blocks, depth, fresh.
+
+    ``mode`` each gives a row for every height, with its issue; whole (as a node is read) asks again for what isn't whole and ends a
+    stride before what stays so, with one row that names the issue. A first block that doesn't follow ``parent_hash`` is a fork.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -132,18 +132,14 @@ class Window:
         return replace(out, report=best).compact()
 
     def reseed(self, seed: Block) -> tuple[Window, str]:
-        """A new start at a finalized block: (window, outcome). lower: an alarm, nothing changes; kept: it is held or above;
-        Violation where the window contradicts it."""
-        if seed.number < self.finalized.number:
-            return self, "lower"
+        """A new start at a finalized block, which replaces all that was held: (window, outcome). lower: below what was final, an
+        alarm. Violation, and nothing goes, where this window holds another block at that height, or the same one with other parents."""
         i = self.at(seed.number)
         if i < len(self.blocks) and self.blocks[i].number == seed.number:
-            if self.blocks[i].hash != seed.hash:
+            held = self.blocks[i]
+            if (held.hash, held.parent_number, held.parent_hash) != (seed.hash, seed.parent_number, seed.parent_hash):
                 raise Violation("finality mismatch", seed.number)
-            return self.finalize(seed.number, seed.hash), "kept"
-        if i == len(self.blocks):
-            return replace(self, blocks=(seed,), final=0, report=None), "replaced"
-        raise Violation("finality not buffered", seed.number)
+        return replace(self, blocks=(seed,), final=0, report=None, forced_past=None), "lower" if seed.number < self.finalized.number else "replaced"
 
     def dump(self) -> str:
         return json.dumps([[[b.number, b.hash, b.parent_number, b.parent_hash, b.timestamp, b.payload] for b in self.blocks], self.final, self.most, self.force, self.report])
