@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_chunks, media, nn_descent, shingle_join
+from . import best_fit, line_chunks, media, nn_descent, resample, shingle_join
 from .block_mix import mix
 from .common import table
 from .piece_codec import digests, encode_decode
@@ -59,5 +59,13 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op8_nn_descent, op9_ring_shards, op10_piece_codec)}
-ORACLES: dict[str, str] = {"op1_shingle_join": shingle_join.ORACLE, "op5_line_chunks": line_chunks.ORACLE, "op8_nn_descent": nn_descent.ORACLE}
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.digest(best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op8_nn_descent, op9_ring_shards, op10_piece_codec, op11_best_fit, op13_resample)}
+ORACLES: dict[str, str] = {"op1_shingle_join": shingle_join.ORACLE, "op5_line_chunks": line_chunks.ORACLE, "op8_nn_descent": nn_descent.ORACLE, "op13_resample": resample.ORACLE}
