@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import best_fit, line_chunks, media, nn_descent, resample, shingle_join
+from . import best_fit, hard_negatives, line_chunks, media, nn_descent, resample, shingle_join
 from .block_mix import mix
 from .common import table
 from .piece_codec import digests, encode_decode
@@ -63,9 +64,15 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.digest(best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op8_nn_descent, op9_ring_shards, op10_piece_codec, op11_best_fit, op13_resample)}
-ORACLES: dict[str, str] = {"op1_shingle_join": shingle_join.ORACLE, "op5_line_chunks": line_chunks.ORACLE, "op8_nn_descent": nn_descent.ORACLE, "op13_resample": resample.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_token_counts, op3_toxicity, op4_webp_media, op5_line_chunks, op6_word_ids, op7_block_mix, op8_nn_descent, op9_ring_shards, op10_piece_codec, op11_best_fit, op12_hard_negatives, op13_resample)}
+ORACLES: dict[str, str] = {"op1_shingle_join": shingle_join.ORACLE, "op5_line_chunks": line_chunks.ORACLE, "op8_nn_descent": nn_descent.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_resample": resample.ORACLE}
