@@ -1,16 +1,17 @@
 """Parent links between blocks: continuity, take-while, forks, equivocation, duplicates, finality bookkeeping.
 
-A blocks table has chain_id, number, hash, parent_number, parent_hash. Windows run per chain; for long histories of one chain
-``with_breaks_by_join`` finds each block's parent by an equi-join, so that no task sees a whole chain.
+A blocks table has chain_id, number, hash, parent_number, parent_hash. What needs the block or report before goes through the
+segmented scan of ``scan``; ``with_breaks_by_join`` finds each block's parent by an equi-join. So no task sees a whole chain.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.operators.scan import carried, uncarried
+from blockloom.storage import Kept
+
 KEYS = ["chain_id"]
 
 
@@ -21,9 +22,9 @@ def is_link(number: Column, hash_: Column, parent_number: Column, parent_hash: C
 
 def with_breaks(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``linked``: whether the block before it (by height) is its parent; true for the first."""
-    w = Window.partitionBy(*KEYS).orderBy("number", "hash")
+    rows, w = carried(blocks, KEYS, ["number", "hash"], last=["number", "hash"])
     link = is_link(F.lag("number").over(w), F.lag("hash").over(w), F.col("parent_number"), F.col("parent_hash"))
-    return blocks.withColumn("linked", F.coalesce(link, F.lag("number").over(w).isNull()))
+    return uncarried(rows.withColumn("linked", F.coalesce(link, F.lag("number").over(w).isNull())))
 
 
 def with_breaks_by_join(blocks: DataFrame) -> DataFrame:
@@ -34,14 +35,14 @@ def with_breaks_by_join(blocks: DataFrame) -> DataFrame:
 
 def linked_prefix(blocks: DataFrame, ignore_case: bool = False, contiguous: bool = False) -> DataFrame:
     """The blocks up to the first break: of hashes alone, without regard to case if so asked, and of heights if ``contiguous``."""
-    w = Window.partitionBy(*KEYS).orderBy("number")
+    rows, w = carried(blocks, KEYS, ["number"], last=["number", "hash"])
     a, b = F.lag("hash").over(w), F.col("parent_hash")
     bad = (F.lower(a) != F.lower(b)) if ignore_case else (a != b)
     if contiguous:
         bad = bad | (F.lag("number").over(w) + 1 != F.col("number"))
-    marked = blocks.withColumn("_bad", F.coalesce(bad, F.lit(False)).cast("int"))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("_bad", F.max("_bad").over(run)).filter("_bad = 0").drop("_bad")
+    marked = uncarried(rows.withColumn("_bad", F.coalesce(bad, F.lit(False))))
+    first = marked.filter("_bad").groupBy(*KEYS).agg(F.min("number").alias("_broken"))  # a row a chain
+    return marked.join(first, KEYS, "left").filter("_broken IS NULL OR number < _broken").select(*blocks.columns)
 
 
 def fork_signals(blocks: DataFrame) -> DataFrame:
@@ -96,29 +97,63 @@ def last_per_height(arrivals: DataFrame, order: str = "pos") -> DataFrame:
     return arrivals.groupBy(*KEYS, "number").agg(F.max_by(F.struct("hash", "parent_number", "parent_hash", order), order).alias("b")).select(*KEYS, "number", "b.*")
 
 
+def _doubled(arrivals: DataFrame, heads: DataFrame, owner: list[str], depth: int) -> Kept:
+    """(chain_id, *owner, number, hash, steps): the blocks that each head descends from, itself included, at most ``depth`` steps up.
+
+    A round doubles both what is known of the heads and how far a block's pointer reaches: blocks (with their pointer) and the heads'
+    ancestors so far (each with the block it is) are joined with the pointers at once, so depth d takes log2 d joins. A pointer that would
+    lead past the first known block is gone. Each round is a table; the ones before it are deleted.
+    """
+    parent = F.when(F.col("parent_number") < F.col("number"), F.struct(F.col("parent_number").alias("number"), F.col("parent_hash").alias("hash")))
+    links = arrivals.groupBy(*KEYS, "number", "hash").agg(F.min(parent).alias("up"))
+    none = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in owner]
+    start = heads.select(*KEYS, *owner, "number", "hash").join(links.select(*KEYS, "number", "hash"), [*KEYS, "number", "hash"], "left_semi")
+    # of a block (steps null): its pointer; of a head's ancestor: the block itself
+    columns = [*KEYS, *owner, "number", "hash", "up", "steps"]
+    own = start.select(*KEYS, *owner, "number", "hash", F.lit(None).cast("struct<number:bigint,hash:string>").alias("up"), F.lit(0).cast("long").alias("steps"))
+    pointers = links.filter("up IS NOT NULL").select(*KEYS, *none, "number", "hash", F.expr("struct(cast(up.number AS bigint) AS number, up.hash AS hash)").alias("up"), F.lit(None).cast("long").alias("steps"))
+    now, reach = Kept(own.withColumn("number", F.col("number").cast("long")).unionByName(pointers.withColumn("number", F.col("number").cast("long"))).select(*columns), "ancestors"), 1
+    while reach <= depth:
+        block = now.df.filter("steps IS NULL").select(*[F.col(c).alias(f"_{c}") for c in KEYS], F.col("number").alias("_number"), F.col("hash").alias("_hash"), F.col("up").alias("_up"))
+        at = F.expr("if(steps IS NULL, up, struct(number, hash))")
+        on = [F.col(c) == F.col(f"_{c}") for c in KEYS] + [F.col("_at.number") == F.col("_number"), F.col("_at.hash") == F.col("_hash")]
+        met = now.df.withColumn("_at", at).join(block, on)
+        ahead = F.col("steps").isNotNull()
+        new = met.select(
+            *KEYS, *owner, F.when(ahead, F.col("_up.number")).otherwise(F.col("number")).alias("number"), F.when(ahead, F.col("_up.hash")).otherwise(F.col("hash")).alias("hash"),
+            F.when(~ahead, F.col("_up")).alias("up"), (F.col("steps") + reach).alias("steps"),
+        ).filter(f"steps IS NULL OR steps <= {depth}")
+        after = Kept(new.unionByName(now.df.filter("steps IS NOT NULL")), "ancestors")
+        now.drop()
+        now, reach = after, 2 * reach
+        if now.df.filter("steps IS NULL").isEmpty():  # no pointer reaches further
+            break
+    return now
+
+
 def canonical_from(arrivals: DataFrame, head: DataFrame, depth: int) -> DataFrame:
-    """Ancestors of each chain's head over parent links, at most ``depth``: a walk by joins, all chains at once."""
+    """Ancestors of each chain's head over parent links, at most ``depth``, all chains at once, by pointer doubling."""
     links = arrivals.select(*KEYS, "number", "hash", "parent_number", "parent_hash").distinct()
-    spark, own = arrivals.sparkSession, uuid.uuid4().hex
-    names = f"links_{own}", f"head_{own}"  # of this call alone
-    links.createOrReplaceTempView(names[0]), head.select(*KEYS, "number", "hash").createOrReplaceTempView(names[1])
-    out = spark.sql(f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT l.*, 0 AS depth FROM {names[0]} l JOIN {names[1]} USING (chain_id, number, hash)
-          UNION ALL
-          SELECT l.*, w.depth + 1 FROM walk w JOIN {names[0]} l ON l.chain_id = w.chain_id AND l.number = w.parent_number AND l.hash = w.parent_hash
-          WHERE l.number < w.number AND w.depth < {depth}
-        ) SELECT * FROM walk""")
-    for name in names:
-        spark.catalog.dropTempView(name)
-    return out
+    found = _doubled(links, head.select(*KEYS, "number", "hash"), [], depth).df.filter("steps IS NOT NULL")
+    return links.join(found.select(*KEYS, "number", "hash", F.col("steps").alias("depth")), [*KEYS, "number", "hash"])
+
+
+def common_ancestors(arrivals: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """(chain_id, pair, number, hash, steps_a, steps_b): where the chains of two heads part; pairs (chain_id, pair, a_number, a_hash,
+    b_number, b_hash). A pair that shares no known block within ``depth`` steps isn't there."""
+    sides = [pairs.select(*KEYS, "pair", F.lit(s).alias("side"), F.col(f"{s}_number").alias("number"), F.col(f"{s}_hash").alias("hash")) for s in "ab"]
+    found = _doubled(arrivals, sides[0].unionByName(sides[1]), ["pair", "side"], depth).df.filter("steps IS NOT NULL")
+    both = found.groupBy(*KEYS, "pair", "number", "hash").agg(*[F.min(F.when(F.col("side") == s, F.col("steps"))).alias(f"steps_{s}") for s in "ab"]).filter("steps_a IS NOT NULL AND steps_b IS NOT NULL")
+    best = both.groupBy(*KEYS, "pair").agg(F.max_by(F.struct("number", "hash", "steps_a", "steps_b"), "number").alias("b"))
+    # siblings of a block that isn't known name it alike
+    return best.select(*KEYS, "pair", "b.*").join(arrivals.select(*KEYS, "number", "hash"), [*KEYS, "number", "hash"], "left_semi")
 
 
 def running_finality(reports: DataFrame, order: str = "pos") -> DataFrame:
     """``reports`` (chain_id, number, hash) with the highest height so far; reports lower than it are ``regressive``."""
-    w = Window.partitionBy(*KEYS).orderBy(order)
-    out = reports.withColumn("highest", F.max("number").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return out.withColumn("regressive", F.col("number") < F.col("highest"))
+    rows, w = carried(reports, KEYS, [order], most={"_top": F.col("number")})
+    rows = rows.withColumn("highest", F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return uncarried(rows, "_top").withColumn("regressive", F.col("number") < F.col("highest"))
 
 
 def finality_conflicts(reports: DataFrame) -> DataFrame:
@@ -129,10 +164,10 @@ def finality_conflicts(reports: DataFrame) -> DataFrame:
 def epoch_finality(answers: DataFrame) -> DataFrame:
     """A view of the finalized head: within an epoch it never falls; answers (chain_id, epoch, pos, number) of an older epoch than
     one before them don't count."""
-    w = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live = answers.withColumn("_e", F.max("epoch").over(w)).filter("epoch = _e").drop("_e")
-    view = Window.partitionBy(*KEYS, "epoch").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return live.withColumn("finalized", F.max("number").over(view))
+    # the highest (epoch, number) so far: its epoch is the newest, and all rows of that epoch before count
+    rows, w = carried(answers, KEYS, ["pos"], most={"_top": F.struct("epoch", "number")})
+    rows = rows.withColumn("_top", F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return uncarried(rows.filter(F.col("_seed") | (F.col("epoch") == F.col("_top.epoch"))).withColumn("finalized", F.col("_top.number")), "_top")
 
 
 def confirmed_finality(probes: DataFrame, upstream: DataFrame) -> DataFrame:

@@ -87,12 +87,6 @@ def client_recovery(s, d):
     return qu.recover(b.select(F.col("key").alias("number"), "hash"), b.select((F.col("key") - 1).alias("number"), F.col("parent_hash").alias("hash")))
 
 
-@_register("SELECT chain_id, key AS number, hash FROM blk")
-def backfill_union(s, d):
-    b = blocks(s, d).select("chain_id", F.col("key").alias("number"), "hash")
-    return b.filter("number < 500").unionByName(b.filter("number >= 500")).orderBy("number")
-
-
 # -- linkage ----------------------------------------------------------------------------------------------------------
 
 
@@ -116,6 +110,75 @@ def fork_signals(s, d):
     return li.fork_signals(blocks(s, d))
 
 
+def _one_chain(s, d):
+    """All blocks as one chain, by key."""
+    b = blocks(s, d)
+    return b.select(F.lit(0).alias("chain_id"), F.col("key").alias("number"), "hash", F.when(F.col("key") % 11 == 3, F.col("key") - 2).otherwise(F.col("key") - 1).alias("parent_number"), "parent_hash")
+
+
+_ONE = "SELECT key AS number, hash, CASE WHEN key % 11 = 3 THEN key - 2 ELSE key - 1 END AS parent_number, parent_hash FROM blk"
+
+
+@_register(f"SELECT number, hash, coalesce(lag(number) OVER w = parent_number AND lag(hash) OVER w = parent_hash, lag(number) OVER w IS NULL) AS linked FROM ({_ONE}) WINDOW w AS (ORDER BY number, hash)")
+def whole_chain_links(s, d):
+    return li.with_breaks(_one_chain(s, d)).select("number", "hash", "linked")
+
+
+@_register("SELECT pos, amount AS number, max(amount) OVER w AS highest, amount < max(amount) OVER w AS regressive FROM ev WINDOW w AS (ORDER BY pos)")
+def whole_chain_finality(s, d):
+    r = events(s, d).select(F.lit(0).alias("chain_id"), "pos", F.col("amount").alias("number"), F.lit("h").alias("hash"))
+    return li.running_finality(r).select("pos", "number", "highest", "regressive")
+
+
+@_register("SELECT number, hash FROM (SELECT *, max(bad) OVER (ORDER BY number) AS broken FROM (SELECT *, CASE WHEN lag(lower(hash)) OVER w <> lower(parent_hash) OR lag(number) OVER w + 1 <> number THEN 1 ELSE 0 END AS bad FROM (SELECT key AS number, hash, CASE WHEN key = (SELECT max(key) // 2 FROM blk) THEN 'x' ELSE upper(md5('b' || (key - 1))) END AS parent_hash FROM blk) WINDOW w AS (ORDER BY number))) WHERE broken = 0")
+def whole_chain_prefix(s, d):
+    b = blocks(s, d)
+    half = b.agg(F.expr("max(key) DIV 2").alias("_half"))  # one row
+    b = b.crossJoin(F.broadcast(half)).select(F.lit(0).alias("chain_id"), F.col("key").alias("number"), "hash", F.when(F.col("key") == F.col("_half"), "x").otherwise(F.upper(F.md5(F.concat(F.lit("b"), F.col("key") - 1)))).alias("parent_hash"))
+    return li.linked_prefix(b, ignore_case=True, contiguous=True).select("number", "hash")
+
+
+#: Blocks of chains of a thousand, and a side branch of ten from each fortieth of fifty.
+_FORKED = """, forked AS (
+  SELECT chain_id, key AS number, hash, key - 1 AS parent_number, md5('b' || (key - 1)) AS parent_hash FROM blk
+  UNION ALL SELECT chain_id, key, md5('f' || key), key - 1, md5((CASE WHEN key % 50 = 40 THEN 'b' ELSE 'f' END) || (key - 1)) FROM blk WHERE key % 50 >= 40),
+heads AS (SELECT chain_id, max(number) AS number, max_by(hash, number) AS hash FROM forked WHERE hash = md5('b' || number) GROUP BY ALL)"""
+
+
+def _forked(s, d):
+    b = blocks(s, d)
+    main = b.select("chain_id", F.col("key").alias("number"), "hash", (F.col("key") - 1).alias("parent_number"), F.md5(F.concat(F.lit("b"), F.col("key") - 1)).alias("parent_hash"))
+    stem = F.when(F.col("key") % 50 == 40, "b").otherwise("f")
+    side = b.filter("key % 50 >= 40").select("chain_id", F.col("key").alias("number"), F.md5(F.concat(F.lit("f"), "key")).alias("hash"), (F.col("key") - 1).alias("parent_number"), F.md5(F.concat(stem, F.col("key") - 1)).alias("parent_hash"))
+    return main.unionByName(side), main.groupBy("chain_id").agg(F.max("number").alias("number"), F.max_by("hash", "number").alias("hash"))
+
+
+@_register(f"""{_FORKED}, walk AS (
+  SELECT * FROM (WITH RECURSIVE w AS (
+    SELECT chain_id, number AS pair, 'b' AS side, number, hash, 0::BIGINT AS steps FROM forked WHERE number % 50 = 49 AND hash = md5('f' || number)
+    UNION ALL SELECT h.chain_id, f.number, 'a', h.number, h.hash, 0 FROM heads h JOIN forked f ON f.chain_id = h.chain_id AND f.number % 50 = 49 AND f.hash = md5('f' || f.number)
+    UNION ALL SELECT w.chain_id, w.pair, w.side, p.number, p.hash, w.steps + 1 FROM w JOIN forked b ON b.chain_id = w.chain_id AND b.number = w.number AND b.hash = w.hash JOIN forked p ON p.chain_id = b.chain_id AND p.number = b.parent_number AND p.hash = b.parent_hash)
+  SELECT * FROM w)),
+met AS (SELECT chain_id, pair, number, hash, min(steps) FILTER (side = 'a') AS steps_a, min(steps) FILTER (side = 'b') AS steps_b FROM walk GROUP BY ALL HAVING steps_a IS NOT NULL AND steps_b IS NOT NULL)
+SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY chain_id, pair ORDER BY number DESC) = 1""")
+def common_ancestors(s, d):
+    arrivals, heads = _forked(s, d)
+    tips = arrivals.filter((F.col("number") % 50 == 49) & (F.col("hash") == F.md5(F.concat(F.lit("f"), "number"))))
+    tips = tips.select("chain_id", F.col("number").alias("pair"), F.col("number").alias("b_number"), F.col("hash").alias("b_hash"))
+    pairs = tips.join(heads.select("chain_id", F.col("number").alias("a_number"), F.col("hash").alias("a_hash")), "chain_id")
+    return li.common_ancestors(arrivals, pairs, 1000)
+
+
+@_register(f"""{_FORKED}, walk AS (
+  SELECT * FROM (WITH RECURSIVE w AS (
+    SELECT *, 0::BIGINT AS depth FROM heads
+    UNION ALL SELECT w.chain_id, p.number, p.hash, w.depth + 1 FROM w JOIN forked b ON b.chain_id = w.chain_id AND b.number = w.number AND b.hash = w.hash JOIN forked p ON p.chain_id = b.chain_id AND p.number = b.parent_number AND p.hash = b.parent_hash WHERE w.depth < 600)
+  SELECT * FROM w)) SELECT chain_id, number, hash, depth FROM walk""")
+def canonical_chains(s, d):
+    arrivals, heads = _forked(s, d)
+    return li.canonical_from(arrivals, heads, 600).select("chain_id", "number", "hash", "depth")
+
+
 _BATCH = "SELECT chain_id, key // 5 AS batch, key AS pos, number, hash, parent_number, parent_hash FROM blk"
 
 

@@ -76,14 +76,15 @@ class Supervisor:
     """Keeps ``window`` at the chain's head. ``options`` are those of ``evm_blocks``; blocks go to ``archive``, a table's folder.
 
     ``run`` ends where ``until`` says so (asked with the window after each trigger), or raises: what ended the first session before its
-    first block, or ``Diverged``. ``log`` has what happened: (event, detail).
+    first block, or ``Diverged``. ``log`` has what happened: (event, detail). ``ttl`` is for how many seconds of ``clock`` a finalized head is
+    taken as seen.
     """
 
-    def __init__(self, spark: SparkSession, options: dict[str, str], archive: str, checkpoints: str, most: int = 1000, force: bool = False, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, spark: SparkSession, options: dict[str, str], archive: str, checkpoints: str, most: int = 1000, force: bool = False, sleep: Callable[[float], None] = time.sleep, ttl: float = 5.0, clock: Callable[[], float] = time.monotonic):
         rpc.register(spark)
         self.spark, self.options, self.archive, self.checkpoints = spark, {"mode": "whole", **options}, archive, checkpoints
         self.most, self.force, self.sleep = most, force, sleep
-        self.client, self.view, self.prober, self.ladder = rpc._client(self.options), rpc.FinalizedView(), Prober(), RestartLadder()
+        self.client, self.view, self.prober, self.ladder = rpc._client(self.options), rpc.FinalizedView(ttl, clock), Prober(clock=clock), RestartLadder()
         self.window: Window | None = None
         self.log: list[tuple[str, object]] = []
         self._end: tuple[str, object] | None = None
@@ -108,7 +109,7 @@ class Supervisor:
                 raise Diverged(str(e)) from e
             self.log.append((outcome, block.number))
         self.view.reseed(head)
-        self.prober = Prober()
+        self.prober = Prober(clock=self.view.clock)
 
     def take(self, rows: list[tuple[int, str, str | None, int | None, str | None, str | None]]) -> None:
         """Moves the window by a trigger's rows (number, hash, parent hash, timestamp, issue, detail): those before the first issue."""

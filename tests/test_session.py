@@ -147,7 +147,7 @@ class Node:
 
 def test_supervised_ingestion(spark, tmp_path):
     node = Node([block(n) for n in range(1, 31)], final=3)
-    sup = Supervisor(spark, {"url": node.url, "stride": "4", "max_blocks": "8"}, str(tmp_path / "archive"), str(tmp_path / "cp"), most=100, sleep=lambda s: None)
+    sup = Supervisor(spark, {"url": node.url, "stride": "4", "max_blocks": "8"}, str(tmp_path / "archive"), str(tmp_path / "cp"), most=100, sleep=lambda s: None, ttl=0.0)
     try:
         sup.seed()
         assert sup.window.head.ref == (3, "0xh3")
