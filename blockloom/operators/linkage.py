@@ -146,7 +146,7 @@ def common_ancestors(arrivals: DataFrame, pairs: DataFrame, depth: int) -> DataF
     both = found.groupBy(*KEYS, "pair", "number", "hash").agg(*[F.min(F.when(F.col("side") == s, F.col("steps"))).alias(f"steps_{s}") for s in "ab"]).filter("steps_a IS NOT NULL AND steps_b IS NOT NULL")
     best = both.groupBy(*KEYS, "pair").agg(F.max_by(F.struct("number", "hash", "steps_a", "steps_b"), "number").alias("b"))
     # siblings of a block that isn't known name it alike
-    return best.select(*KEYS, "pair", "b.*").join(arrivals.select(*KEYS, "number", "hash"), [*KEYS, "number", "hash"], "left_semi")
+    return best.select(*KEYS, "pair", "b.*").join(arrivals.select(*KEYS, "number", "hash"), [*KEYS, "number", "hash"], "left_semi").select(*KEYS, "pair", "number", "hash", "steps_a", "steps_b")
 
 
 def running_finality(reports: DataFrame, order: str = "pos") -> DataFrame:

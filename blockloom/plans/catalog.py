@@ -497,16 +497,33 @@ def log_blooms(s, d):
     return bloom_of_logs(logs)
 
 
-@_register()
+@_register(""", b AS (SELECT chain_id, number, hash, number // 10 AS g, row_number() OVER (PARTITION BY chain_id ORDER BY key) - 1 AS i FROM blk),
+w AS (
+  SELECT *, least(e + 1, 100) AS held, e + 1 - least(e + 1, 100) AS f, greatest(e - 20, e + 1 - least(e + 1, 100), 0) AS fin,
+    e - s + 1 + (version > 1)::INTEGER + greatest(e + 1 - 100, 0) - greatest(s - 100, 0) AS wrote
+  FROM (SELECT chain_id, g, max(i) AS e, min(i) AS s, row_number() OVER (PARTITION BY chain_id ORDER BY g) AS version FROM b GROUP BY chain_id, g)),
+r AS (
+  SELECT w.chain_id::VARCHAR AS chain_id, g, version, x.number AS head_number, x.hash AS head_hash, y.number AS finalized_number, y.hash AS finalized_hash, z.number AS first_number, held::INTEGER AS size, 0::INTEGER AS excess, wrote
+  FROM w JOIN (SELECT chain_id, i, number, hash FROM b) x ON x.chain_id = w.chain_id AND x.i = e JOIN (SELECT chain_id, i, number, hash FROM b) y ON y.chain_id = w.chain_id AND y.i = fin JOIN (SELECT chain_id, i, number FROM b) z ON z.chain_id = w.chain_id AND z.i = f)
+SELECT 2 * g AS batch, 'applied' AS outcome, wrote::INTEGER AS written, r.* EXCLUDE (g, wrote) FROM r UNION ALL SELECT 2 * g + 1, 'parent mismatch', 0::INTEGER, r.* EXCLUDE (g, wrote) FROM r WHERE g % 3 = 1""")
 def chain_windows(s, d):
-    """Outcomes of the stateful window over blocks that come in batches of ten, chain by chain, with finality twenty behind."""
+    """Outcomes of the stateful window over blocks that come in batches of ten heights, chain by chain, with finality twenty blocks
+    behind; a third of the batches are followed by one whose block has another parent."""
     from blockloom.streaming.buffer import window_stream
 
-    b = blocks(s, d).selectExpr(
-        "cast(chain_id AS string) AS chain_id", "cast(number DIV 10 AS bigint) AS batch", "key AS pos", "number", "hash", "parent_number", "md5(concat('b', key - 1)) AS parent_hash", "cast(null AS bigint) AS timestamp", "cast(null AS string) AS payload",
+    none = ["cast(null AS bigint) AS timestamp", "cast(null AS string) AS payload"]
+    back = "(key % 1000 - 20)"
+    b = blocks(s, d)
+    good = b.selectExpr(
+        "cast(chain_id AS string) AS chain_id", "2 * (number DIV 10) AS batch", "key AS pos", "number", "hash", "parent_number", "md5(concat('b', key - 1)) AS parent_hash", *none,
+        f"if({back} >= 0, {back} + {back} DIV 7, null) AS report_number", f"if({back} >= 0, md5(concat('b', key - 20)), null) AS report_hash", "cast(null AS string) AS fork_prev",
+    )
+    last = b.withColumn("g", F.expr("number DIV 10")).filter("g % 3 = 1").groupBy("chain_id", "g").agg(F.max("number").alias("number"), F.max("key").alias("key"))
+    bad = last.selectExpr(
+        "cast(chain_id AS string) AS chain_id", "2 * g + 1 AS batch", "key AS pos", "number + 1 AS number", "'bad' AS hash", "number AS parent_number", "'x' AS parent_hash", *none,
         "cast(null AS bigint) AS report_number", "cast(null AS string) AS report_hash", "cast(null AS string) AS fork_prev",
     )
-    return window_stream(b, most=100, force=True)
+    return window_stream(good.unionByName(bad), most=100, force=True)
 
 
 for _name, (_query, _sql) in records.REGISTERED.items():

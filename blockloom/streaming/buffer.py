@@ -1,18 +1,21 @@
 """The fork-aware window of recent blocks: pure transitions, and a stateful processor that applies them per chain.
 
-A batch applies whole or not at all: transitions make a new window and the old one stays as it was. The processor keeps a window as
-one value of state per chain and writes it once a batch.
+A batch applies whole or not at all. ``Window`` is the model: transitions make a new window and the old one stays as it was; the
+supervisor's driver holds one. ``KeyedWindow`` does the same over state kept by height, for the stateful processor: what it reads and
+writes is in proportion to a batch. ``held_blocks`` and ``held_marks`` read that state as tables.
 """
 
 from __future__ import annotations
 
 import json
 from bisect import bisect_left
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import astuple, dataclass, field, replace
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -170,60 +173,254 @@ class RestartLadder:
         self.stalled = 0
 
 
-OUTPUT = "chain_id string, batch long, outcome string, version long, head_number long, head_hash string, finalized_number long, finalized_hash string, first_number long, size int, excess int"
+@dataclass(frozen=True)
+class Marks:
+    """What a keyed window keeps beside its blocks: the ends, the finalized height, the session's highest report, counts."""
+
+    first: int
+    head: int
+    final: int
+    size: int
+    version: int = 0
+    report_number: int | None = None
+    report_hash: str | None = None
+
+    @property
+    def report(self) -> tuple[int, str] | None:
+        return None if self.report_number is None else (self.report_number, self.report_hash)
+
+
+#: A height's entry: hash, parent's height and hash, height of the block behind it (null at the head), timestamp.
+LINK = "hash string, parent_number long, parent_hash string, next long, timestamp long"
+
+
+class KeyedWindow:
+    """The transitions of ``Window`` over blocks that are kept by height: each touches the heights that it changes, no more.
+
+    ``read(height)`` gives an entry of ``LINK`` or None. A batch's changes gather in ``changed`` (None: gone) and ``payloads`` until the
+    caller writes them; ``undo`` forgets them. Walks follow parents and the heights behind, so gaps cost nothing.
+    """
+
+    def __init__(self, read: Callable[[int], tuple | None], marks: Marks | None, most: int = 1000, force: bool = False):
+        self.read, self.marks, self.most, self.force = read, marks, most, force
+        self.changed: dict[int, tuple | None] = {}
+        self.payloads: dict[int, str | None] = {}
+        self._old = marks
+
+    def at(self, number: int) -> tuple | None:
+        return self.changed[number] if number in self.changed else self.read(number)
+
+    def ref(self, number: int) -> tuple[int, str]:
+        return number, self.at(number)[0]
+
+    def _put(self, b: Block) -> None:
+        self.changed[b.number] = b.hash, b.parent_number, b.parent_hash, None, b.timestamp
+        self.payloads[b.number] = b.payload
+
+    def seed(self, b: Block) -> None:
+        self._put(b)
+        self.marks = Marks(b.number, b.number, b.number, 1)
+
+    def undo(self) -> None:
+        self.changed, self.payloads, self.marks = {}, {}, self._old
+
+    def push(self, new: Block) -> None:
+        m, held = self.marks, self.at(new.number) if self.marks.first <= new.number <= self.marks.head else None
+        if held and held[0] == new.hash:
+            if held[1:3] == (new.parent_number, new.parent_hash):
+                return
+            raise Violation("equivocation", new.number)
+        if new.parent_number >= new.number:
+            raise Violation("descending", new.number)
+        if m.final != m.first and new.parent_number <= self.at(m.final)[1]:
+            raise Violation("below finality", new.number)
+        parent = self.at(new.parent_number) if m.first <= new.parent_number <= m.head else None
+        if parent is None:
+            raise Violation("parent not buffered", new.number)
+        if parent[0] != new.parent_hash:
+            raise Violation("parent mismatch", new.number)
+        head, gone = m.head, 0
+        while head > new.parent_number:
+            below = self.at(head)[1]
+            self.changed[head], self.payloads[head] = None, None
+            head, gone = below, gone + 1
+        self.changed[head] = (*parent[:3], new.number, parent[4])
+        self._put(new)
+        self.marks = replace(m, head=new.number, size=m.size - gone + 1)
+
+    def finalize(self, number: int, hash_: str) -> None:
+        m = self.marks
+        if number < m.final:
+            return
+        if number > m.head:
+            self.marks = replace(m, final=m.head)
+            return
+        held = self.at(number)
+        if held is None:
+            raise Violation("finality not buffered", number)
+        if held[0] != hash_:
+            raise Violation("finality mismatch", number)
+        self.marks = replace(m, final=number)
+
+    @property
+    def excess(self) -> int:
+        return max(0, self.marks.size - self.most)
+
+    def compact(self) -> None:
+        """Drops the oldest heights over the bound, none from the finalized one on unless finality may be forced on."""
+        m, first, left, final = self.marks, self.marks.first, self.excess, self.marks.final
+        while left and (first < final or self.force):
+            behind = self.at(first)[3]
+            self.changed[first], self.payloads[first] = None, None
+            first, left = behind, left - 1
+            final = max(final, first)
+        self.marks = replace(m, first=first, final=final, size=m.size - (self.excess - left))
+
+    def fork_base(self, prev: list[tuple[int, str]]) -> tuple[int, str] | None:
+        refs, number = dict(prev), self.marks.head
+        lowest = min(refs, default=None)
+        while number >= self.marks.final:
+            hash_, below = self.at(number)[:2]
+            if lowest is None or number < lowest or refs.get(number) == hash_:
+                return number, hash_
+            if number == self.marks.first:
+                return None
+            number = below
+        return None
+
+    def apply(self, blocks: Iterable[Block], report: tuple[int, str] | None = None) -> None:
+        """A whole batch with its finality report, then eviction. Raises on any violation: then ``undo``."""
+        best = self.marks.report
+        if report and best and report[0] >= self.marks.final and report[0] == best[0] and report[1] != best[1]:
+            raise Violation("conflicting reports", report[0])
+        for b in blocks:
+            self.push(b)
+        for known in (best, report):  # what was reported earlier may only now be checked
+            if known:
+                self.finalize(*known)
+        if report and report[0] >= self.marks.final and (best is None or report[0] > best[0]):
+            best = report
+        self.marks = replace(self.marks, report_number=best[0] if best else None, report_hash=best[1] if best else None)
+        self.compact()
+
+
+OUTPUT = "chain_id string, batch long, outcome string, version long, head_number long, head_hash string, finalized_number long, finalized_hash string, first_number long, size int, excess int, written int"
 INPUT = ["chain_id", "batch", "pos", "number", "hash", "parent_number", "parent_hash", "timestamp", "payload", "report_number", "report_hash", "fork_prev"]
+MARKS = "first long, head long, final long, size long, version long, report_number long, report_hash string"
 
 
 class WindowProcessor(StatefulProcessor):
-    """Per chain: applies batches in order and emits one row for each: its outcome and the window's watermarks.
+    """Per chain: applies batches in order and emits one row for each: its outcome, the window's watermarks and how many heights of
+    state it wrote.
 
-    A row whose ``fork_prev`` is set is a fork signal: the outcome names the height to go on from. The first batch seeds the
-    window with its first block.
+    State is a map from heights to links, another from heights to payloads, which the transitions never read, and the marks. A batch
+    reads and writes the heights that it touches, whatever the window holds. A row whose ``fork_prev`` is set is a fork signal: the
+    outcome names the height to go on from. The first batch seeds the window with its first block. A trigger's rows of a chain are
+    sorted before they are applied, as a stream brings them in no order: what a task holds is a trigger's share, never the window.
     """
 
     def __init__(self, most: int = 1000, force: bool = False):
         self.most, self.force = most, force
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "text string, version long")
+        self.links = handle.getMapState("links", "number long", LINK)
+        self.payloads = handle.getMapState("payloads", "number long", "payload string")
+        self.marks = handle.getValueState("marks", MARKS)
+
+    def _write(self, links: dict[int, tuple | None], payloads: dict[int, str | None], marks: Marks) -> None:
+        for state, changes in ((self.links, links), (self.payloads, {n: None if p is None else (p,) for n, p in payloads.items()})):
+            for number, value in changes.items():
+                if value is not None:
+                    state.updateValue((number,), value)
+                elif state.containsKey((number,)):
+                    state.removeKey((number,))
+        self.marks.update(astuple(marks))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(rows)).sort_values(["batch", "pos"], kind="stable")
-        held = self.state.get() if self.state.exists() else None
-        window, version = (Window.load(held[0]), held[1]) if held else (None, 0)
-        out = []
-        for batch, part in data.groupby("batch", sort=True):
-            before, outcome = window, "applied"
-            first = part.iloc[0]
+        held: list[tuple] = []
+        for part in rows:
+            held.extend(part[INPUT].astype(object).where(part[INPUT].notna(), None).itertuples(index=False, name=None))
+        held.sort(key=lambda r: (r[1], r[2]))
+        marks = Marks(*self.marks.get()) if self.marks.exists() else None
+        out, links, payloads = [], {}, {}  # what the trigger's batches changed, written once at its end
+
+        def read(number: int) -> tuple | None:
+            if number in links:
+                return links[number]
+            found = self.links.getValue((number,))
+            return None if found is None else tuple(found)
+
+        for batch, part in groupby(held, key=lambda r: r[1]):
+            part, wrote, outcome = list(part), 0, "applied"
+            window = KeyedWindow(read, marks, self.most, self.force)
             try:
-                if first["fork_prev"] is not None and pd.notna(first["fork_prev"]):
-                    base = window.fork_base([tuple(p) for p in json.loads(first["fork_prev"])]) if window else None
+                if part[0][11] is not None:
+                    base = window.fork_base([tuple(p) for p in json.loads(part[0][11])]) if marks else None
                     outcome = f"rebase {base[0]}" if base else "diverged"
                 else:
-                    blocks = [Block(int(r.number), r.hash, int(r.parent_number), r.parent_hash, None if pd.isna(r.timestamp) else int(r.timestamp), r.payload) for r in part.itertuples()]
-                    last = part.iloc[-1]
-                    report = (int(last["report_number"]), last["report_hash"]) if pd.notna(last["report_number"]) else None
-                    if window is None:
-                        window, blocks = Window((blocks[0],), most=self.most, force=self.force), blocks[1:]
-                    window = window.apply(blocks, report)
-                    version += 1
+                    blocks = [Block(int(r[3]), r[4], int(r[5]), r[6], None if r[7] is None else int(r[7]), r[8]) for r in part]
+                    report = None if part[-1][9] is None else (int(part[-1][9]), part[-1][10])
+                    if marks is None:
+                        window.seed(blocks.pop(0))
+                    window.apply(blocks, report)
+                    window.marks = replace(window.marks, version=window.marks.version + 1)
+                    links.update(window.changed)
+                    payloads.update(window.payloads)
+                    wrote = len(window.changed)
             except Violation as e:
-                window, outcome = before, e.kind
-            if window:
-                out.append((key[0], int(batch), outcome, version, *window.head.ref, *window.finalized.ref, window.blocks[0].number, len(window.blocks), window.excess))
+                window.undo()
+                outcome = e.kind
+            marks = window.marks
+            if marks:
+                window = KeyedWindow(read, marks, self.most, self.force)
+                out.append((key[0], int(batch), outcome, marks.version, *window.ref(marks.head), *window.ref(marks.final), marks.first, marks.size, window.excess, wrote))
             else:
-                out.append((key[0], int(batch), outcome, version, None, None, None, None, None, 0, 0))
-        if window:
-            self.state.update((window.dump(), version))
+                out.append((key[0], int(batch), outcome, 0, None, None, None, None, None, 0, 0, 0))
+        if links:
+            self._write(links, payloads, marks)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def window_stream(events: DataFrame, most: int = 1000, force: bool = False, mode: str = "Append") -> DataFrame:
-    """Outcomes of a stream (or table) of batches, columns ``INPUT``, chains independent of each other."""
-    # the operator's state variables need this store; it spills to disk and checkpoints to shared storage
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Outcomes of a stream (or table) of batches, columns ``INPUT``, chains independent of each other.
+
+    The session's ``spark.sql.streaming.stateStore.providerClass`` must name the RocksDB store (``STORE``), which keeps states by key; a
+    session that has set none gets it here.
+    """
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    if events.sparkSession.conf.get(conf, "").rpartition(".")[2] in ("", "HDFSBackedStateStoreProvider"):
+        events.sparkSession.conf.set(conf, STORE)
     _ = events.sparkSession.streams.active  # starts the coordinator of state stores, which tables need as streams do
     return events.groupBy("chain_id").transformWithStateInPandas(WindowProcessor(most, force), OUTPUT, mode, "None")
+
+
+# -- the window that a stream holds, as tables --------------------------------------------------------------------------
+
+
+def held_blocks(spark: SparkSession, checkpoint: str, chain_id: str, version: int | None = None) -> DataFrame:
+    """The blocks of a chain that a stream's state holds after its last trigger, or after trigger ``version``: number, hash, parent_number,
+    parent_hash, timestamp, payload. Reads the checkpoint, so the stream needs neither stop nor know of it."""
+
+    def state(name: str) -> DataFrame:
+        source = spark.read.format("statestore").option("stateVarName", name)
+        if version is not None:
+            source = source.option("batchId", version)
+        return source.load(checkpoint).filter(F.col("key.chain_id") == chain_id)
+
+    links = state("links").select(F.col("user_map_key.number").alias("number"), "user_map_value.*").drop("next")
+    payloads = state("payloads").select(F.col("user_map_key.number").alias("number"), F.col("user_map_value.payload").alias("payload"))
+    return links.join(payloads, "number", "left")
+
+
+def held_marks(spark: SparkSession, checkpoint: str, version: int | None = None) -> DataFrame:
+    """(chain_id, first, head, final, size, version, report_number, report_hash) of all chains of a stream's state."""
+    source = spark.read.format("statestore").option("stateVarName", "marks")
+    if version is not None:
+        source = source.option("batchId", version)
+    return source.load(checkpoint).select("key.chain_id", "value.*")

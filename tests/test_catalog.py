@@ -8,11 +8,6 @@ def test_query_equals_its_sql(spark, sf, duck, same_rows, name):
     same_rows(catalog.QUERIES[name](spark, sf), duck, catalog.ORACLES[name])
 
 
-def test_chain_windows_follow_the_model(spark, sf):
-    rows = catalog.QUERIES["chain_windows"](spark, sf).collect()
-    assert {r.outcome for r in rows} == {"applied"} and max(r.size for r in rows) == 100
-
-
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from blockloom.plans import queries as qu
-from blockloom.streaming.buffer import Block, RestartLadder, Violation, Window, window_stream
+from blockloom.streaming.buffer import Block, KeyedWindow, Marks, RestartLadder, Violation, Window, held_blocks, held_marks, window_stream
 
 
 def chain(n, tag="a", start=0, parent=None):
@@ -85,6 +85,90 @@ def test_random_histories_keep_the_invariants():
             assert Window.load(w.dump()) == w
 
 
+def same_window(keyed, store, model):
+    """Whether a keyed window's state is the model's window."""
+    m = keyed.marks
+    assert (m.first, m.head, m.final, m.size, m.report) == (model.blocks[0].number, model.head.number, model.finalized.number, len(model.blocks), model.report)
+    assert {n: (e[0], e[1], e[2]) for n, e in store.items()} == {b.number: (b.hash, b.parent_number, b.parent_hash) for b in model.blocks}
+    assert all(store[a.number][3] == b.number for a, b in zip(model.blocks, model.blocks[1:], strict=False)) and store[model.head.number][3] is None
+
+
+@pytest.mark.parametrize("force", [False, True])
+def test_keyed_window_equals_the_model(force):
+    rng = random.Random(9)
+    for _ in range(80):
+        seed = Block(0, "a0", 0, "root")
+        model, store = Window((seed,), most=6, force=force), {}
+        keyed = KeyedWindow(store.get, None, 6, force)
+        keyed.seed(seed)
+        known, kinds = {seed.ref: seed}, set()
+        for step in range(70):
+            for n, e in keyed.changed.items():
+                store.pop(n, None) if e is None else store.__setitem__(n, e)
+            same_window(keyed, store, model)
+            keyed = KeyedWindow(store.get, keyed.marks, 6, force)
+            batch = []
+            for k in range(rng.choice([1, 1, 2, 4])):
+                kind = rng.random()
+                parent = rng.choice([*known.values(), model.head, model.head, *batch])
+                new = Block(parent.number + rng.choice([1, 1, 1, 2, 7]), f"h{step}.{k}", *parent.ref)
+                if kind < 0.1:
+                    new = rng.choice(list(known.values()))
+                elif kind < 0.2:
+                    new = Block(*rng.choice(list(known.values())).ref, parent.number, "zz")
+                elif kind < 0.25:
+                    new = Block(new.number, new.hash, rng.randint(0, new.number + 2), "zz")
+                batch.append(new)
+            report = rng.choice([None, None, rng.choice(model.blocks).ref, (model.head.number + 3, "later"), (rng.choice(model.blocks).number + 1, "zz")])
+            prev = [rng.choice(list(known)) for _ in range(rng.randint(0, 3))]
+            assert keyed.fork_base(prev) == model.fork_base(prev)
+            try:
+                after = model.apply(batch, report)
+            except Violation as e:
+                with pytest.raises(Violation) as own:
+                    keyed.apply(batch, report)
+                assert (own.value.kind, own.value.number) == (e.kind, e.number)
+                kinds.add(e.kind)
+                keyed.undo()
+            else:
+                keyed.apply(batch, report)
+                model = after
+                known.update((b.ref, b) for b in batch)
+        assert len(kinds) > 2
+
+
+def test_state_that_is_written_grows_with_the_batch(spark):
+    c = chain(3000)
+    rows = events([(c[:2000], None, None), *[(c[2000 + 10 * k : 2010 + 10 * k], None, None) for k in range(100)]])
+    got = window_stream(spark.createDataFrame(rows, SCHEMA), most=5000).orderBy("batch").collect()
+    assert got[0].written == 2000 and all(r.written == 11 for r in got[1:]) and got[-1].size == 3000
+
+
+def test_queries_over_the_live_window(spark, tmp_path):
+    """A stream's state answers as the model does, after each trigger, and after a restart from the checkpoint."""
+    c, src, cp = chain(40), str(tmp_path / "src"), str(tmp_path / "cp")
+    batches = [(c[:12], None, None), (c[12:25], (9, "a9"), None), ([Block(23, "b23", 22, "a22"), Block(24, "b24", 23, "b23")], (15, "a15"), None)]
+    model, want = Window((c[0],), most=10), []
+    for k, (blocks, report, _) in enumerate(batches):
+        model = model.apply(blocks[1:] if k == 0 else blocks, report)
+        want.append(model)
+        rows = [(*r[:1], k, *r[2:8], f"p{r[4]}", *r[9:]) for r in events([(blocks, report, None)])]
+        spark.createDataFrame([*rows, *[("2", *r[1:]) for r in rows]], SCHEMA).coalesce(1).write.mode("append").json(src)
+        stream = window_stream(spark.readStream.schema(SCHEMA).json(src), most=10)  # a new query each time, from the checkpoint
+        stream.writeStream.format("noop").option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination(120)
+        for version in range(k + 1):
+            held, m = held_blocks(spark, cp, "1", version), want[version]
+            assert sorted((r.number, r.hash, r.payload) for r in held.collect()) == [(b.number, b.hash, f"p{b.hash}") for b in m.blocks]
+            marks = held_marks(spark, cp, version).filter("chain_id = '1'").first()
+            assert (marks.first, marks.head, marks.final, marks.version) == (m.blocks[0].number, m.head.number, m.finalized.number, version + 1)
+            w = qu.watermarks(held, marks.final).first()
+            assert (tuple(w.head), tuple(w.finalized)) == (m.head.ref, m.finalized.ref)
+    held = held_blocks(spark, cp, "1")
+    assert [r.hash for r in qu.query(held, 22, "a21").blocks.collect()] == ["a22", "b23", "b24"]
+    assert qu.query(held, 24, "a23").kind == "conflict" and qu.query(held, 3).kind == "below" and qu.query(held, 25, "b24").kind == "empty"
+    assert Marks(*held_marks(spark, cp).filter("chain_id = '2'").drop("chain_id").first()).report == (15, "a15")
+
+
 def test_restart_ladder():
     ladder = RestartLadder()
     assert [ladder.ended(False) for _ in range(6)] == [(0.0, False), (30.0, False), (30.0, False), (30.0, False), (30.0, False), (30.0, True)]
