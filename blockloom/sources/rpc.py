@@ -13,7 +13,9 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
+)
 
 from blockloom.plans.metrics import INTERNAL_RPC, INTERNAL_TEXT, RETRY_HTTP, RETRY_RPC, RETRY_TEXT, TOO_LARGE
 from blockloom.sources.ws import ws_transport
@@ -315,6 +317,7 @@ class _Stride(InputPartition):
 
 
 SCHEMA = "number bigint, hash string, value string, issue string"
+ALL = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
 def _client(options: dict) -> Client:
@@ -331,8 +334,9 @@ def _client(options: dict) -> Client:
 
 
 class _Ranges:
-    def __init__(self, options: dict):
-        self.options, self.stride = options, int(options.get("stride", 5))
+    def __init__(self, options: dict, columns: list[str]):
+        self.options, self.stride, self.columns = options, int(options.get("stride", 5)), columns
+        self.place = [ALL.index(c) for c in columns]
         self.whole = options.get("mode", "each" if options.get("cassette") else "whole") == "whole"
 
     def _on(self, name: str, default: str = "false") -> bool:
@@ -344,12 +348,17 @@ class _Ranges:
         What receipts can be asked for is probed once, here on the driver.
         """
         if not hasattr(self, "_receipts"):
-            self._receipts = self._on("receipts", "true") and (not self.whole or method_for_receipts(_client(self.options)))
+            self._receipts = "value" in self.columns and self._on("receipts", "true") and (not self.whole or method_for_receipts(_client(self.options)))
         top = end if final is None else min(end, max(start, final + 1))
         cuts = [*range(start, top, self.stride), *range(top, end), end]
         return [_Stride(a, b, parent_hash if a == start else None, self._receipts) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def read(self, part: _Stride) -> Iterator[tuple]:
+        return (tuple(row[i] for i in self.place) for row in self._rows(part)) if part.end > part.start else iter(())
+
+    def _rows(self, part: _Stride) -> Iterator[tuple]:
+        if "value" not in self.columns:  # headers alone answer it
+            part.receipts, self.options = False, self.options | dict.fromkeys(("logs", "traces", "statediffs"), "false")
         selection = {"receipts": part.receipts, "logs": self._on("logs"), "diffs": self._on("statediffs")}
         selection["traces"] = trace_method(self._on("traces"), selection["diffs"], self._on("debug"))
         client, numbers = _client(self.options), list(range(part.start, part.end))
@@ -363,10 +372,56 @@ class _Ranges:
 
 
 class BlockReader(_Ranges, DataSourceReader):
-    """A range of heights, a partition for each stride."""
+    """Heights from ``from`` to ``to`` (or the other side's head), a partition for each stride of heights in a row."""
+
+    def __init__(self, options: dict, columns: list[str]):
+        super().__init__(options, columns)
+        self.low, self.high, self.among = int(options.get("from", 0)), int(options["to"]) if "to" in options else None, None
 
     def partitions(self):
-        return self.strides(int(self.options.get("from", 0)), int(self.options["to"]) + 1, self.options.get("parent_hash"))
+        if self.high is None:
+            head = read_ref(_client(self.options), "latest")
+            self.high = head[0] if head else -1
+        if self.among is None:
+            runs = [(self.low, self.high + 1)]
+        else:
+            runs = []
+            for n in sorted(x for x in self.among if self.low <= x <= self.high):
+                if runs and runs[-1][1] == n:
+                    runs[-1] = runs[-1][0], n + 1
+                else:
+                    runs.append((n, n + 1))
+        first = int(self.options.get("from", 0))
+        # a query that no height can answer still has a partition, as Spark asks for one
+        return [p for a, b in runs if a < b for p in self.strides(a, b, self.options.get("parent_hash") if a == first else None)] or [_Stride(0, 0)]
+
+
+class PushingReader(BlockReader):
+    """With the option ``pushdown``: what filters on ``number`` leave of the heights.
+
+    Spark hands a query's comparisons of ``number`` with constants over, and they bound what the other side is asked for; filters of other
+    kinds and columns stay with Spark. The session must have ``spark.sql.python.filterPushdown.enabled``, without which Spark refuses
+    readers that take filters.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != ("number",) or not (isinstance(f, (In, IsNotNull)) or isinstance(value, int)):
+                yield f
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                self._end(value - isinstance(f, LessThan))
+            elif isinstance(f, (EqualTo, EqualNullSafe, In)):
+                own = {v for v in (value if isinstance(f, In) else [value]) if v is not None}
+                self.among = own if self.among is None else self.among & own
+                self._end(max(own, default=-1))
+            elif not isinstance(f, IsNotNull):  # every row has a height
+                yield f
+
+    def _end(self, last: int) -> None:
+        self.high = last if self.high is None else min(self.high, last)
 
 
 class BlockStreamReader(_Ranges, DataSourceStreamReader):
@@ -377,8 +432,8 @@ class BlockStreamReader(_Ranges, DataSourceStreamReader):
     ``fresh`` says that the query has no checkpoint.
     """
 
-    def __init__(self, options: dict):
-        super().__init__(options)
+    def __init__(self, options: dict, columns: list[str]):
+        super().__init__(options, columns)
         self._view = FinalizedView(float(options.get("finality_ttl", 5)))
         self._last: dict | None = self.initialOffset() if self._on("fresh") else None
 
@@ -415,10 +470,12 @@ class BlockStreamReader(_Ranges, DataSourceStreamReader):
 
 class BlockSource(DataSource):
     """``spark.read.format("evm_blocks")`` and ``readStream``: options url (http or ws) or cassette, from, to, parent_hash, stride,
-    receipts, logs, traces, statediffs, debug, mode; of streams also tag, confirmations, max_blocks, depth, fresh.
+    receipts, logs, traces, statediffs, debug, mode, pushdown; of streams also tag, confirmations, max_blocks, depth, fresh.
 
     ``mode`` each gives a row for every height, with its issue; whole (as a node is read) asks again for what isn't whole and ends a
     stride before what stays so, with one row that names the issue. A first block that doesn't follow ``parent_hash`` is a fork.
+
+    A schema given to the reader picks columns of ``SCHEMA``; without ``value`` headers alone are asked for, whatever the options say.
     """
 
     @classmethod
@@ -429,10 +486,10 @@ class BlockSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BlockReader:
-        return BlockReader(dict(self.options))
+        return (PushingReader if self.options.get("pushdown") == "true" else BlockReader)(dict(self.options), schema.fieldNames())
 
     def streamReader(self, schema) -> BlockStreamReader:
-        return BlockStreamReader(dict(self.options))
+        return BlockStreamReader(dict(self.options), schema.fieldNames())
 
 
 def register(spark) -> None:

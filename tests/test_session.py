@@ -119,6 +119,7 @@ class Node:
 
     def __init__(self, blocks, final):
         self.blocks, self.final, self.asked = {int(b["number"], 16): b for b in blocks}, final, 0
+        self.calls: list = []
         node = self
 
         class Handler(BaseHTTPRequestHandler):
@@ -139,6 +140,7 @@ class Node:
         self.url = f"http://127.0.0.1:{self.server.server_address[1]}"
 
     def answer(self, method, params):
+        self.calls.append((method, params[0]))
         if method != "eth_getBlockByNumber":
             return []
         top = max(self.blocks)
@@ -171,6 +173,56 @@ def test_supervised_ingestion(spark, tmp_path):
         node.server.shutdown()
 
 
+@pytest.fixture
+def pushing(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def heights(node, method="eth_getBlockByNumber"):
+    return sorted({int(p, 16) for m, p in node.calls if m == method and p not in ("latest", "finalized")})
+
+
+def test_filters_bound_what_is_asked_for(spark, pushing):
+    node = Node([block(n) for n in range(0, 60)], final=50)
+    rpc.register(spark)
+    try:
+        read = spark.read.format("evm_blocks").option("url", node.url).option("stride", "4").option("pushdown", "true")
+        for where, want, left in [
+            ("number BETWEEN 7 AND 12", range(7, 13), []), ("number > 50", range(51, 60), []), ("number < 3 AND number >= 1", range(1, 3), []), ("number = 9", [9], []),
+            ("number IN (3, 4, 20, 900)", [3, 4, 20], []), ("number IN (3, 4, 20) AND number > 3 AND hash = '0xh20'", [20], ["hash"]), ("number > 9 AND number < 9", [], []),
+            ("number < 8 AND number % 2 = 1", [1, 3, 5, 7], ["%"]), ("number <=> 11", [11], []), ("number BETWEEN 2 AND 5 AND number <> 3", [2, 4, 5], ["NOT"]),
+        ]:
+            node.calls.clear()
+            df = read.load().filter(where)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            shown = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            assert "PushedFilters: [" in shown and "number" in shown.split("PushedFilters: [")[1].split("\n")[0], shown
+            above = plan.split("BatchScan")[0]
+            assert all(x in above for x in left) and (left or "Filter" not in above), plan
+            assert sorted(r.number for r in df.filter("issue IS NULL").collect()) == list(want)
+            asked = heights(node)
+            bounds = {"number < 8 AND number % 2 = 1": range(8), "number BETWEEN 2 AND 5 AND number <> 3": range(2, 6), "number IN (3, 4, 20, 900)": [3, 4, 20, 900], "number IN (3, 4, 20) AND number > 3 AND hash = '0xh20'": [4, 20]}
+            assert asked == list(bounds.get(where, want))
+            assert set(heights(node, "eth_getBlockReceipts")) <= set(asked)
+    finally:
+        node.server.shutdown()
+
+
+def test_without_values_headers_are_asked_for_alone(spark):
+    node = Node([block(n) for n in range(0, 9)], final=5)
+    rpc.register(spark)
+    try:
+        read = spark.read.format("evm_blocks").option("url", node.url).option("to", "8").option("logs", "true").option("traces", "true")
+        got = read.schema("hash string, number bigint").load().orderBy("number").collect()
+        assert [(r.hash, r.number) for r in got] == [(f"0xh{n}", n) for n in range(9)] and {m for m, _ in node.calls} == {"eth_getBlockByNumber"}
+        node.calls.clear()
+        assert read.schema(rpc.SCHEMA).option("mode", "each").load().filter("number > 6").count() == 2 and "eth_getLogs" in {m for m, _ in node.calls}
+    finally:
+        node.server.shutdown()
+
+
 def test_stalls_lead_to_a_new_start(spark, tmp_path):
     node = Node([block(n) for n in range(1, 6)], final=5)
     pauses: list = []
