@@ -526,5 +526,23 @@ def chain_windows(s, d):
     return window_stream(good.unionByName(bad), most=100, force=True)
 
 
+@_register(""", a AS (
+  SELECT chain_id, key AS number, ['receipts', 'logs', 'traces', 'header'][(line % 4 + 1)::INTEGER] AS leg, CASE WHEN part % 4 = 0 THEN 'wrong' WHEN part % 9 = 1 THEN 'late' ELSE 'ready' END AS answer, key * 100000 + (supp * 37 + part * 11) % 400 * 100 AS at_ms FROM txs),
+p AS (
+  SELECT chain_id, number, min(at_ms) AS since, coalesce(list_sort(list(at_ms) FILTER (answer = 'wrong'))[2], 1::BIGINT << 62) AS bad,
+    coalesce(min(at_ms) FILTER (answer = 'ready' AND leg = 'receipts'), 1::BIGINT << 62) AS r, coalesce(min(at_ms) FILTER (answer = 'ready' AND leg = 'logs'), 1::BIGINT << 62) AS l FROM a GROUP BY ALL),
+d AS (SELECT *, least(greatest(r, l), bad, since + 30000) AS at_ms FROM p)
+SELECT chain_id, number, CASE WHEN greatest(r, l) = at_ms THEN 'whole' WHEN bad = at_ms THEN 'incoherent' ELSE 'not ready' END AS outcome, at_ms, at_ms - since AS waited_ms,
+  array_to_string(list_filter([CASE WHEN r > at_ms THEN 'receipts' END, CASE WHEN l > at_ms THEN 'logs' END], lambda x: x IS NOT NULL), ',') AS missing FROM d""")
+def late_data(s, d):
+    """What becomes of blocks whose parts come late, contradict them or stay away: lines as answers, two of them wanted."""
+    from blockloom.streaming.timers import late_legs
+
+    leg = F.element_at(F.array(*[F.lit(x) for x in ("receipts", "logs", "traces", "header")]), (F.col("line") % 4 + 1).cast("int"))
+    answer = F.when(F.col("part") % 4 == 0, "wrong").when(F.col("part") % 9 == 1, "late").otherwise("ready")
+    a = transactions(s, d).select("chain_id", F.col("key").alias("number"), leg.alias("leg"), answer.alias("answer"), F.expr("key * 100000 + (supp * 37 + part * 11) % 400 * 100").alias("at_ms"))
+    return late_legs(a, ["receipts", "logs"], attempts=1)
+
+
 for _name, (_query, _sql) in records.REGISTERED.items():
     QUERIES[_name], ORACLES[_name] = _query, oracle(_sql)
