@@ -14,8 +14,39 @@ from blockloom.functions.quantities import digits, hex_node_style, parse_u128, q
 from .frames import FRAME_TYPE, debug_traces, flatten, json_object, quoted
 from .schema import BUNDLE
 
-#: Header fields in output order; ``#`` marks integers.
-HEADER = "#number hash parentHash #timestamp transactionsRoot receiptsRoot stateRoot logsBloom sha3Uncles extraData miner nonce mixHash #size gasLimit gasUsed difficulty totalDifficulty baseFeePerGas uncles withdrawals withdrawalsRoot blobGasUsed excessBlobGas parentBeaconBlockRoot requestsHash #l1BlockNumber mainBlockGeneralGasLimit sharedGasLimit timestampMillisPart"
+#: Header fields in output order, and how each is given.
+HEADER = (
+    ("number", "integer"),
+    ("hash", "as it is"),
+    ("parentHash", "as it is"),
+    ("timestamp", "integer"),
+    ("transactionsRoot", "as it is"),
+    ("receiptsRoot", "as it is"),
+    ("stateRoot", "as it is"),
+    ("logsBloom", "as it is"),
+    ("sha3Uncles", "as it is"),
+    ("extraData", "as it is"),
+    ("miner", "as it is"),
+    ("nonce", "as it is"),
+    ("mixHash", "as it is"),
+    ("size", "integer"),
+    ("gasLimit", "as it is"),
+    ("gasUsed", "as it is"),
+    ("difficulty", "as it is"),
+    ("totalDifficulty", "as it is"),
+    ("baseFeePerGas", "as it is"),
+    ("uncles", "list"),
+    ("withdrawals", "as it is"),
+    ("withdrawalsRoot", "as it is"),
+    ("blobGasUsed", "as it is"),
+    ("excessBlobGas", "as it is"),
+    ("parentBeaconBlockRoot", "as it is"),
+    ("requestsHash", "as it is"),
+    ("l1BlockNumber", "integer"),
+    ("mainBlockGeneralGasLimit", "as it is"),
+    ("sharedGasLimit", "as it is"),
+    ("timestampMillisPart", "as it is"),
+)
 
 
 def parse_bundles(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -24,7 +55,9 @@ def parse_bundles(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def header(block: Column) -> Column:
-    return F.struct(*[qty_u64(block[n[1:]]).alias(n[1:]) if n[0] == "#" else F.coalesce(block[n], F.expr("cast(array() AS array<string>)")).alias(n) if n == "uncles" else block[n].alias(n) for n in HEADER.split()])
+    none = F.expr("cast(array() AS array<string>)")
+    shown = {"integer": qty_u64, "list": lambda x: F.coalesce(x, none), "as it is": lambda x: x}
+    return F.struct(*[shown[kind](block[name]).alias(name) for name, kind in HEADER])
 
 
 def access_item(i: Column) -> Column:
