@@ -1,6 +1,7 @@
 """Normalisation, call trees, encoders and sources."""
 
 import json
+import random
 
 from blockloom.operators import frames as fr
 from blockloom.operators.normalize import normalize, parse_bundles
@@ -91,6 +92,31 @@ def test_deep_trees_flatten(spark):
     assert len(fr.flatten(tree)) == 901 and len(fr.flatten(tree)[-1][2]) == 900
 
 
+def test_frames_by_levels_equal_the_walk(spark):
+    rng = random.Random(6)
+
+    def grown(depth):
+        node = {"type": rng.choice(["CALL", "CREATE", "STATICCALL"]), "from": A, "gas": hex(rng.randint(0, 99)), "value": None if rng.random() < 0.2 else "0x1", 'note "calls" [': {"x": [1]}}
+        if depth and rng.random() < (1 if depth > 20 else 0.95):
+            node["calls"] = [grown(depth - 1 if k == 0 else rng.randint(0, min(2, depth - 1))) for k in range(rng.choice([1, 1, 1, 2, 3]))]
+        elif rng.random() < 0.3:
+            node["calls"] = []
+        return node
+
+    trees = [grown(d) for d in (0, 1, 5, 8, 9, 16, 33, 66)] + [None]
+    deep = {"type": "CALL", "from": A}
+    for _ in range(450):
+        deep = {"type": "CALL", "from": A, "calls": [deep, {"type": "STOP"}]}
+    lines = [(json.dumps(RAW | {"number": 5, "debugFrames": [None if t is None else {"result": t, "txHash": f"0x{i}"} for i, t in enumerate(trees)]}),), (json.dumps(RAW | {"number": 6, "debugFrames": None}),)]
+    got = fr.frames_of(parse_bundles(spark.createDataFrame(lines, "value string"))).orderBy("tx", "place").collect()
+    want = [(i, f"0x{i}", *row) for i, t in enumerate(trees) if t is not None for row in fr.flatten(t)]
+    names = ["tx", "tx_hash", *fr.FRAME_TYPE.names]
+    assert [tuple(r[n] for n in names) for r in got] == want and max(len(r.path) for r in got) > 40
+    # trees nested beyond the parser's bound
+    rows = spark.createDataFrame([(7, [(json.dumps(deep), "0xd"), ('{"type":"CALL"}', "0xe")])], "number long, debugFrames array<struct<result string, txHash string>>")
+    assert [(r.tx, r.place, r.parent) for r in fr.frames_of(rows).orderBy("tx", "place").collect()] == [(0, r[0], r[1]) for r in fr.flatten(deep)] + [(1, 0, None)]
+
+
 def test_frames_of_bytes(spark):
     df = spark.createDataFrame([(1, "a\n"), (2, "b\n")], "number long, json_line string")
     e = en.encoded(df)
