@@ -13,7 +13,7 @@ from blockloom.operators import coherence as co
 from blockloom.operators import linkage as li
 from blockloom.plans import metrics as me
 from blockloom.plans import queries as qu
-from blockloom.plans import records
+from blockloom.plans import parts, records
 from blockloom.plans.views import blocks, bundles, events, oracle, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,6 +391,22 @@ def latency_summary(s, d):
     return me.summary(events(s, d), "amount", ["event_type"]).withColumn("p90", F.round("p90", 6))
 
 
+@_register("SELECT event_type, count(*) AS n, min(amount) AS least, max(amount) AS most, true AS median_within, true AS p90_within FROM ev GROUP BY ALL")
+def latency_sketches(s, d):
+    """Quantiles from stored daily sketches, each held against its rank among all values."""
+    from blockloom.storage import Kept
+
+    e = events(s, d).withColumn("day", F.expr("at_ms DIV 86400000"))
+    found = me.sketch_summary(Kept(me.sketched(e, "amount", ["event_type", "day"]), "sketches").df, ["event_type"])
+    per = e.select("event_type", "amount").join(found, "event_type").groupBy("event_type", "n", "least", "most")
+
+    def within(q: str, rank: float):
+        # the ranks of equal values are a stretch
+        return ((F.count(F.when(F.col("amount") < F.col(q), 1)) <= (rank + me.RANK_ERROR) * F.col("n")) & (F.count(F.when(F.col("amount") <= F.col(q), 1)) >= (rank - me.RANK_ERROR) * F.col("n"))).alias(f"{q}_within")
+
+    return per.agg(within("median", 0.5), within("p90", 0.9))
+
+
 @_register("SELECT t AS event_type, f AS outcome, coalesce(n, 0) AS value FROM (SELECT * FROM (SELECT unnest(['view', 'click', 'error', 'none']) AS t) CROSS JOIN (SELECT unnest(['low', 'high', 'never']) AS f)) LEFT JOIN (SELECT event_type AS t, CASE WHEN amount < 20 THEN 'low' ELSE 'high' END AS f, count(*) AS n FROM ev GROUP BY ALL) USING (t, f)")
 def zero_filled_counts(s, d):
     counts = events(s, d).groupBy("event_type", F.when(F.col("amount") < 20, "low").otherwise("high").alias("outcome")).agg(F.count("*").alias("value"))
@@ -544,5 +560,5 @@ def late_data(s, d):
     return late_legs(a, ["receipts", "logs"], attempts=1)
 
 
-for _name, (_query, _sql) in records.REGISTERED.items():
+for _name, (_query, _sql) in (records.REGISTERED | parts.REGISTERED).items():
     QUERIES[_name], ORACLES[_name] = _query, oracle(_sql)

@@ -59,6 +59,24 @@ def summary(values: DataFrame, value: str, keys: list[str] | None = None) -> Dat
     return values.groupBy(*(keys or [])).agg(F.min(value).alias("least"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.9).alias("p90"), F.max(value).alias("most"))
 
 
+#: Size of a quantile sketch, and the rank error that it keeps within, as a part of the values (that of its published bound, doubled and more).
+SKETCH, RANK_ERROR = 800, 0.01
+
+
+def sketched(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, sketch, n, least, most): mergeable quantile sketches, to be stored, for a day or a source say. Some KB for any number of values,
+    combined on the map side; nulls don't count."""
+    x = F.col(value).cast("double")
+    return values.groupBy(*keys).agg(F.kll_sketch_agg_double(x, SKETCH).alias("sketch"), F.count(x).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def sketch_summary(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, least, median, 90th percentile and most of what stored sketches hold, merged by ``keys``; the quantiles' ranks are off by
+    ``RANK_ERROR`` at most. ``summary`` is exact, but has all values of a group in one task."""
+    per = sketches.filter("n > 0").groupBy(*keys).agg(F.kll_merge_agg_double("sketch", SKETCH).alias("_s"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return per.select(*keys, "n", "least", F.kll_sketch_get_quantile_double("_s", F.lit(0.5)).alias("median"), F.kll_sketch_get_quantile_double("_s", F.lit(0.9)).alias("p90"), "most")
+
+
 def zero_filled(counts: DataFrame, labels: DataFrame, value: str = "value") -> DataFrame:
     """Counts with a zero for each combination of a closed label set that has none; ``labels``: the combinations."""
     return labels.join(counts, labels.columns, "left").withColumn(value, F.coalesce(value, F.lit(0)))

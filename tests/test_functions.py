@@ -156,3 +156,16 @@ def test_header_hashes_in_batches(spark):
     rows = [block | {"number": hex(i)} for i in range(5)]
     df = spark.createDataFrame([(json.dumps(b),) for b in rows], "j string")
     assert [r[0] for r in df.select(c.block_hash_udf("j")).collect()] == [c.block_hash(b) for b in rows]
+
+
+def test_sketches_merge_within_their_error(spark):
+    from blockloom.plans import metrics as me
+
+    rows = spark.range(200_000).selectExpr("cast(pow(id, 1.5) AS double) AS v", "id % 37 AS day", "id % 2 AS side").unionAll(spark.createDataFrame([(None, 99, 0)], "v double, day long, side long"))
+    got = {r.side: r for r in me.sketch_summary(me.sketched(rows, "v", ["side", "day"]), ["side"]).collect()}
+    for side in (0, 1):
+        r = got[side]
+        assert (r.n, r.least) == (100_000, float(side)) and abs(r.most - (199_998 + side) ** 1.5) < 1e-3
+        for q, rank in ((r.median, 0.5), (r.p90, 0.9)):
+            assert abs(q ** (2 / 3) / 200_000 - rank) < me.RANK_ERROR
+    assert me.sketch_summary(me.sketched(rows.filter("false"), "v", ["side"]), ["side"]).count() == 0
