@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from .common import partitions, slices, written
 from .word_ids import _LETTERS
 
-OPEN, RUN, FAN, CACHE_ROWS, GATHER = 1024, 1000, 16, 1_500_000, 8 << 20
+OPEN, RUN, FAN, CACHE_ROWS, GATHER = 1024, 1000, 16, 1_000_000, 4 << 20
 #: A bin with less free space than this part of a sequence is left as it is at a task's end.
 TIGHT = 128
 _SPACE = "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \u0085   -     　]"
