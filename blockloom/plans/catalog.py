@@ -87,6 +87,12 @@ def client_recovery(s, d):
     return qu.recover(b.select(F.col("key").alias("number"), "hash"), b.select((F.col("key") - 1).alias("number"), F.col("parent_hash").alias("hash")))
 
 
+@_register("SELECT chain_id, key AS number, hash FROM blk")
+def backfill_union(s, d):
+    b = blocks(s, d).select("chain_id", F.col("key").alias("number"), "hash", F.greatest(F.col("key") - 1, F.lit(0)).alias("parent_number"), F.md5(F.concat(F.lit("b"), F.col("key") - 1)).alias("parent_hash"))
+    return qu.backfill(b.filter("number < 500"), b.filter("number >= 500"), 0).select("chain_id", "number", "hash")
+
+
 # -- linkage ----------------------------------------------------------------------------------------------------------
 
 
