@@ -13,7 +13,7 @@ from blockloom.operators import coherence as co
 from blockloom.operators import linkage as li
 from blockloom.plans import metrics as me
 from blockloom.plans import queries as qu
-from blockloom.plans import parts, records
+from blockloom.plans import parts, records, stored
 from blockloom.plans.views import blocks, bundles, events, oracle, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,5 +566,5 @@ def late_data(s, d):
     return late_legs(a, ["receipts", "logs"], attempts=1)
 
 
-for _name, (_query, _sql) in (records.REGISTERED | parts.REGISTERED).items():
+for _name, (_query, _sql) in (records.REGISTERED | parts.REGISTERED | stored.REGISTERED).items():
     QUERIES[_name], ORACLES[_name] = _query, oracle(_sql)
