@@ -342,8 +342,9 @@ class _Ranges:
     def _on(self, name: str, default: str = "false") -> bool:
         return self.options.get(name, default) == "true"
 
-    def strides(self, start: int, end: int, parent_hash: str | None = None, final: int | None = None) -> list[_Stride]:
-        """Heights from start to end (exclusive): strides up to ``final``, above it (where ranges may still change) each block a partition.
+    def strides(self, start: int, end: int, parent_hash: str | None = None, final: int | None = None, parents: dict[int, str] | None = None) -> list[_Stride]:
+        """Heights from start to end (exclusive): strides up to ``final``, above it (where ranges may still change) each block a partition,
+        which must follow what ``parents`` names for it.
 
         What receipts can be asked for is probed once, here on the driver.
         """
@@ -351,7 +352,7 @@ class _Ranges:
             self._receipts = "value" in self.columns and self._on("receipts", "true") and (not self.whole or method_for_receipts(_client(self.options)))
         top = end if final is None else min(end, max(start, final + 1))
         cuts = [*range(start, top, self.stride), *range(top, end), end]
-        return [_Stride(a, b, parent_hash if a == start else None, self._receipts) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [_Stride(a, b, parent_hash if a == start else (parents or {}).get(a), self._receipts) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def read(self, part: _Stride) -> Iterator[tuple]:
         return (tuple(row[i] for i in self.place) for row in self._rows(part)) if part.end > part.start else iter(())
@@ -424,34 +425,100 @@ class PushingReader(BlockReader):
         self.high = last if self.high is None else min(self.high, last)
 
 
+class LookAhead:
+    """Heights above a stream's place, asked for before any head names them: the next ``depth`` in one batch.
+
+    What came is kept between triggers. A run goes out as far as each block follows the one below, so a height that isn't there yet, or
+    that contradicts itself, holds all above it and is never skipped. A contradiction is asked for ``attempts`` times more, whatever
+    came in between, and then raised; what is below it went out before. More than two strides found without a gap are too many to take
+    one by one: ``far`` is set until the head is within a stride again.
+    """
+
+    def __init__(self, stride: int, depth: int, attempts: int = 10):
+        self.stride, self.depth, self.attempts = stride, depth, attempts
+        self.seen: dict[int, tuple[str, str]] = {}
+        self.hits, self.wrong, self.far = 0, 0, False
+
+    def run(self, client: Client, at: int) -> int:
+        """The height after the last that can go out, ``at`` if none can."""
+        ask = [n for n in range(at, at + self.depth) if n not in self.seen]
+        got = dict(zip(ask, client.batch_call([("eth_getBlockByNumber", [hex(n), False]) for n in ask]) if ask else [], strict=True))
+        for n, b in got.items():
+            if isinstance(b, dict) and b.get("hash") and b.get("parentHash") and b.get("number") == hex(n):
+                self.seen[n] = b["hash"].lower(), b["parentHash"].lower()
+        first = got.get(at)
+        if isinstance(first, RpcError):
+            raise first
+        if first is not None and at not in self.seen:
+            self.wrong += 1
+            if self.wrong > self.attempts:
+                raise RpcError(f"the block at {at} contradicts itself")
+        to = at
+        while to < at + self.depth and to in self.seen:
+            if to > at and self.seen[to][1] != self.seen[to - 1][0]:
+                del self.seen[to]  # of another branch, or the one below is
+                break
+            to += 1
+        self.wrong = 0 if to > at else self.wrong
+        self.hits = self.hits + self.depth if to == at + self.depth else 0
+        self.far = self.hits > 2 * self.stride
+        return to
+
+    def parents(self, start: int, end: int) -> dict[int, str]:
+        """The hash that each height's block must follow, as far as it is known."""
+        return {n: self.seen[n - 1][0] for n in range(start + 1, end) if n - 1 in self.seen}
+
+    def settled(self, at: int) -> None:
+        """Nothing below ``at`` is asked for again."""
+        self.seen = {n: x for n, x in self.seen.items() if n >= at}
+
+    def near(self, gap: int) -> None:
+        """The head is ``gap`` above the place of the stream."""
+        if gap <= self.stride:
+            self.far, self.hits = False, 0
+
+
 class BlockStreamReader(_Ranges, DataSourceStreamReader):
     """Heights up to the head (or the finalized one) and ``to``; an offset is the next height and the hash of the block before it.
 
     More than a stride below the finalized head a trigger takes up to ``max_blocks``; near the head up to ``depth``, read side by side
     and committed in order. A process that begins doesn't know where its query stands, so its first trigger goes to the head, unless
-    ``fresh`` says that the query has no checkpoint.
+    ``fresh`` says that the query has no checkpoint. With ``speculate``, after that, heights are looked for by themselves (``LookAhead``),
+    and blocks read side by side must follow each other.
     """
 
     def __init__(self, options: dict, columns: list[str]):
         super().__init__(options, columns)
         self._view = FinalizedView(float(options.get("finality_ttl", 5)))
         self._last: dict | None = self.initialOffset() if self._on("fresh") else None
+        plain = self.whole and options.get("tag", "latest") == "latest" and not int(options.get("confirmations", 0))
+        self._ahead = LookAhead(self.stride, int(options.get("depth", 3))) if plain and self._on("speculate") else None
 
     def initialOffset(self) -> dict:
         return {"next": int(self.options.get("from", 0)), "hash": self.options.get("parent_hash", "")}
 
     def latestOffset(self) -> dict:
         client, tag = _client(self.options), self.options.get("tag", "latest")
-        head, start = read_ref(client, tag), self._last or self.initialOffset()
+        start = self._last or self.initialOffset()
+        if self._last and self._ahead and not self._ahead.far:
+            self._view.get(client)
+            top = min(self._ahead.run(client, start["next"]), int(self.options["to"]) + 1 if "to" in self.options else 1 << 62)
+            if top > start["next"]:
+                self._last = {"next": top, "hash": self._ahead.seen[top - 1][0]}
+            return self._last
+        head = read_ref(client, tag)
         if head is None:
             return start
+        if self._ahead:
+            self._ahead.near(head[0] - start["next"])
         top = max(0, head[0] + 1 - int(self.options.get("confirmations", 0)))
         top = min(top, int(self.options.get("to", head[0])) + 1)
         at, final = start["next"], self._view.get(client)
         if self._last:
-            near = tag != "finalized" and final is not None and final[0] - at <= self.stride
+            far = self._ahead is not None and self._ahead.far
+            near = tag != "finalized" and final is not None and final[0] - at <= self.stride and not far
             top = min(top, at + (int(self.options.get("depth", 3)) if near else int(self.options.get("max_blocks", 1000))))
-            if not near and final and self.whole:
+            if not near and final and self.whole and not (far and final[0] < at):  # far above finality, heights go one by one, side by side
                 top = min(top, final[0] + 1)
         if top <= at:
             return start
@@ -462,15 +529,17 @@ class BlockStreamReader(_Ranges, DataSourceStreamReader):
         return self._last
 
     def partitions(self, start: dict, end: dict):
-        return self.strides(start["next"], end["next"], start.get("hash") or None, self._view.seen[0] if self._view.seen else None)
+        parents = self._ahead.parents(start["next"], end["next"]) if self._ahead else None
+        return self.strides(start["next"], end["next"], start.get("hash") or None, self._view.seen[0] if self._view.seen else None, parents)
 
     def commit(self, end: dict) -> None:
-        pass
+        if self._ahead:
+            self._ahead.settled(end["next"])
 
 
 class BlockSource(DataSource):
     """``spark.read.format("evm_blocks")`` and ``readStream``: options url (http or ws) or cassette, from, to, parent_hash, stride,
-    receipts, logs, traces, statediffs, debug, mode, pushdown; of streams also tag, confirmations, max_blocks, depth, fresh.
+    receipts, logs, traces, statediffs, debug, mode, pushdown; of streams also tag, confirmations, max_blocks, depth, fresh, speculate.
 
     ``mode`` each gives a row for every height, with its issue; whole (as a node is read) asks again for what isn't whole and ends a
     stride before what stays so, with one row that names the issue. A first block that doesn't follow ``parent_hash`` is a fork.

@@ -278,3 +278,84 @@ def test_web_socket():
     thread.join(10)
     with pytest.raises(rpc.RpcError):
         ws.ws_transport("ws://127.0.0.1:9", dials=1)([{"id": 1}])
+
+
+def test_look_ahead_keeps_order():
+    chain, asked = {n: block(n) for n in (1, 2, 4, 5)}, []
+
+    def answer(method, params):
+        asked.append(int(params[0], 16))
+        return chain.get(asked[-1])
+
+    node, ahead = client(answer), rpc.LookAhead(stride=5, depth=4)
+    assert ahead.run(node, 1) == 3 and asked == [1, 2, 3, 4]
+    ahead.settled(3)
+    asked.clear()
+    assert ahead.run(node, 3) == 3 and asked == [3, 5, 6]  # what is above waits for it and isn't asked for again
+    chain[3] = block(3)
+    asked.clear()
+    assert ahead.run(node, 3) == 6 and asked == [3, 6] and ahead.parents(3, 6) == {4: "0xh3", 5: "0xh4"}
+    # a block of another branch isn't taken with the one below, and is asked for anew
+    chain |= {6: block(6), 7: block(7, parent="0xother")}
+    assert ahead.run(node, 6) == 7 and 7 not in ahead.seen
+    chain[7] = block(7)
+    assert ahead.run(node, 7) == 8
+
+
+def test_look_ahead_ends_at_contradictions():
+    answers = iter([block(9), None] * 20)
+    ahead = rpc.LookAhead(5, 1, attempts=3)
+    node = client(lambda m, p: next(answers))
+    for _ in range(7):  # heights that aren't there yet neither count nor start the count anew
+        assert ahead.run(node, 1) == 1 or ahead.wrong < 4
+        if ahead.wrong == 3:
+            break
+    ahead.run(node, 1)
+    with pytest.raises(rpc.RpcError, match="contradicts itself"):
+        ahead.run(node, 1)
+    # waiting for a height has no end of its own
+    idle = rpc.LookAhead(5, 2, attempts=3)
+    assert all(idle.run(client(lambda m, p: None), 1) == 1 for _ in range(50))
+
+
+def test_look_ahead_gives_way_to_strides():
+    node = Node([block(n) for n in range(1, 40)], final=2)
+    try:
+        options = {"url": node.url, "from": "3", "parent_hash": "0xh2", "stride": "4", "depth": "3", "fresh": "true", "speculate": "true", "max_blocks": "20", "finality_ttl": "1000", "receipts": "false"}
+        reader, places = rpc.BlockStreamReader(options, rpc.ALL), [3]
+        while True:
+            began = reader._last
+            end = reader.latestOffset()
+            if end == began:
+                break
+            parts = reader.partitions(began, end)
+            rows = [r for p in parts for r in reader.read(p)]
+            assert [r[0] for r in rows] == list(range(began["next"], end["next"])) and not any(r[3] for r in rows)
+            reader.commit(end)
+            places.append(end["next"])
+        # three triggers of three heights without a gap, then ranges (above finality) up to the head
+        assert places[:4] == [3, 6, 9, 12] and places[4] == 32 and places[-1] == 40 and not reader._ahead.far
+        node.calls.clear()
+        node.blocks |= {40: block(40), 41: block(41)}
+        began, end = reader._last, reader.latestOffset()
+        assert end == {"next": 42, "hash": "0xh41"} and ("eth_getBlockByNumber", "latest") not in node.calls
+        # the chain changes between the look and the reading: blocks read side by side don't follow, and the second says so
+        node.blocks |= {40: block(40, "f", parent="0xh39"), 41: block(41, "f")}
+        rows = [r for p in reader.partitions(began, end) for r in reader.read(p)]
+        assert [(r[0], r[1], r[3]) for r in rows] == [(40, "0xf40", None), (41, "0xf41", "fork")]
+    finally:
+        node.server.shutdown()
+
+
+def test_supervised_ingestion_that_speculates(spark, tmp_path):
+    node = Node([block(n) for n in range(1, 31)], final=25)
+    sup = Supervisor(spark, {"url": node.url, "stride": "4", "max_blocks": "8", "speculate": "true"}, str(tmp_path / "archive"), str(tmp_path / "cp"), most=100, sleep=lambda s: None, ttl=0.0)
+    try:
+        w = sup.run(lambda w: w.head.number >= 30)
+        assert [b.number for b in w.blocks] == list(range(25, 31)) and sup.log == []
+        for n in range(29, 34):
+            node.blocks[n] = block(n, "f", parent="0xh28" if n == 29 else None)
+        w = sup.run(lambda w: w.head.number >= 33)
+        assert [b.hash for b in w.blocks][-6:] == ["0xh28", *[f"0xf{n}" for n in range(29, 34)]] and [e[0] for e in sup.log] == ["fork"]
+    finally:
+        node.server.shutdown()
