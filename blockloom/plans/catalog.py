@@ -74,10 +74,10 @@ def conflict_prev(s, d):
     return s.createDataFrame(qu.conflict_refs(b, 700), "number long, hash string")
 
 
-@_register("SELECT max(b.key) AS number, max_by(b.hash, b.key) AS hash FROM blk b JOIN (SELECT key, parent_hash FROM blk) p ON b.hash = p.parent_hash AND b.key = p.key - 1 AND p.key < 900")
+@_register("SELECT max(b.key) AS number, max_by(b.hash, b.key) AS hash FROM blk b JOIN (SELECT key, parent_hash FROM blk) p ON b.hash = p.parent_hash AND b.key = p.key - 1")
 def fork_base(s, d):
     b = blocks(s, d)
-    prev = b.filter("key < 900 AND key > 0").select((F.col("key") - 1).alias("number"), F.col("parent_hash").alias("hash"))
+    prev = b.filter("key > 0").select((F.col("key") - 1).alias("number"), F.col("parent_hash").alias("hash"))
     return qu.fork_base(b.select(F.col("key").alias("number"), "hash"), prev, 0)
 
 
@@ -355,11 +355,11 @@ def quantities(s, d):
     return blocks(s, d).select("key", qty.alias("qty"), q.qty_safe(qty).alias("back"), q.qty_long(F.when(F.col("key") % 5 == 0, F.concat(qty, F.lit("zz"))).otherwise(qty)).alias("lenient"))
 
 
-@_register("SELECT key, substr(hash, 1, 40) AS h, length(regexp_extract(hash, '^([0-9a-f]{2})*')) // 2 AS n, regexp_matches(hash, '^[0-9]') AS digit, key % 2 = 0 AS address, false AS zero FROM blk")
+@_register("SELECT key, substr(hash, 1, 40) AS h, length(regexp_extract(hash, '^([0-9a-f]{2})*')) // 2 AS n, regexp_matches(hash, '^[0-9]') AS digit, key % 2 = 0 AS address, key % 3 = 0 AS zero FROM blk")
 def hex_functions(s, d):
     h = F.substring("hash", 1, 40)
     own = F.concat(F.lit("0x"), F.rpad("hash", 40, "0"), F.when(F.col("key") % 2 == 1, "1").otherwise(""))
-    return blocks(s, d).select("key", F.substring(q.to_hex(q.hex_strict("hash")), 3, 40).alias("h"), F.octet_length(q.hex_node_style("hash")).cast("long").alias("n"), h.rlike("^[0-9]").alias("digit"), q.is_address(own).alias("address"), q.is_zero_bloom("hash").alias("zero"))
+    return blocks(s, d).select("key", F.substring(q.to_hex(q.hex_strict("hash")), 3, 40).alias("h"), F.octet_length(q.hex_node_style("hash")).cast("long").alias("n"), h.rlike("^[0-9]").alias("digit"), q.is_address(own).alias("address"), q.is_zero_bloom(F.when(F.col("key") % 3 == 0, F.concat(F.lit("0x"), F.repeat(F.lit("0"), 512))).otherwise(F.concat(F.lit("0x"), F.repeat(F.lit("0"), 480), "hash"))).alias("zero"))
 
 
 @_register("SELECT event_type, count(*) FILTER (safe) AS safe, count(*) AS n FROM (SELECT event_type, pos % 3 > 0 AS safe FROM ev) GROUP BY event_type")

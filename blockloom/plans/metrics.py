@@ -47,6 +47,15 @@ def registered(spark: SparkSession, observed: DataFrame) -> DataFrame:
     return rows.select("name", "kind", "help", labels.alias("labels"), "label", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def upstream(rows: DataFrame, column: str = "figures") -> DataFrame:
+    """(name, label, value) for ``registered``: what the tasks that read blocks counted, of a table or, in complete or update mode, a stream.
+
+    Calls of the driver itself (heads, probes, the look ahead) aren't in it.
+    """
+    counts = rows.select(F.explode(column).alias("key", "n"))
+    return counts.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("name"), F.split_part("key", F.lit("/"), F.lit(2)).alias("label")).agg(F.sum("n").cast("double").alias("value"))
+
+
 def histogram(values: DataFrame, value: str, bounds: list[float], keys: list[str] | None = None) -> DataFrame:
     """(keys, le, count): how many values are at or below each bound; the last bound is null, for all."""
     sums = values.groupBy(*(keys or [])).agg(*[F.count(F.when(F.col(value) <= b, 1)).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("all"))

@@ -11,6 +11,7 @@ import re
 import time
 import urllib.error
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import (
@@ -37,6 +38,11 @@ class RpcError(Exception):
         text, codes = RETRY_TEXT + (f"|{INTERNAL_TEXT}" if internal else ""), RETRY_RPC + (INTERNAL_RPC if internal else ())
         return self.kind in ("connection", "timeout") or self.http in RETRY_HTTP or self.code in codes or bool(re.search(text, str(self).lower()))
 
+    @property
+    def label(self) -> str:
+        """Its class among the registry's."""
+        return self.kind or ("http" if self.http else "rpc")
+
     @property
     def shape(self) -> bool:
         """Whether only a smaller batch can mend it."""
@@ -69,11 +75,19 @@ def http_transport(url: str, timeout: float = 10.0) -> Transport:
 
 
 class Client:
-    """``batch``: at most so many calls at once. Items of a batch that fail are asked for again by themselves."""
+    """``batch``: at most so many calls at once. Items of a batch that fail are asked for again by themselves.
+
+    ``figures`` counts by (series, label) of the registry: requests, their calls, failures that were asked again, and those that stayed.
+    A request that fails as one counts once.
+    """
 
     def __init__(self, send: Transport, batch: int = 100, attempts: int = 5, sleep: Callable[[float], None] = time.sleep, internal: bool = False, per_second: float | None = None):
         self.send, self.batch, self.attempts, self.sleep, self.internal = send, batch, attempts, sleep, internal
         self.per_second, self._next, self._id = per_second, 0.0, 0
+        self.figures: Counter = Counter()
+
+    def _count(self, series: str, errors: list[RpcError]) -> None:
+        self.figures.update((series, e.label) for e in {id(e): e for e in errors}.values())
 
     def call(self, method: str, params: list):
         got = self.batch_call([(method, params)])[0]
@@ -111,6 +125,8 @@ class Client:
 
     def _ask(self, calls: list[tuple[str, list]]) -> list:
         self._pace(len(calls))
+        self.figures["upstream_requests_total", "batch" if len(calls) > 1 else "single"] += 1
+        self.figures["upstream_calls_total", ""] += len(calls)
         ids = range(self._id + 1, self._id + 1 + len(calls))
         self._id += len(calls)
         answers = self.send([{"jsonrpc": "2.0", "id": i, "method": m, "params": p} for i, (m, p) in zip(ids, calls, strict=True)])
@@ -127,6 +143,7 @@ class Client:
                 got = self._ask([calls[i] for i in todo])
             except RpcError as e:
                 if (whole and e.shape) or not e.retryable_batch(self.internal) or attempt == self.attempts - 1:
+                    self._count("upstream_errors_total", [e])
                     raise
                 got = [e] * len(todo)
             for i, x in zip(todo, got, strict=True):
@@ -134,7 +151,9 @@ class Client:
             todo = [i for i in todo if isinstance(out[i], RpcError) and out[i].retryable(self.internal)]
             if not todo or attempt == self.attempts - 1:
                 break
+            self._count("upstream_retries_total", [out[i] for i in todo])
             self.sleep(SCHEDULE[min(attempt, len(SCHEDULE) - 1)] / 1000)
+        self._count("upstream_errors_total", [x for x in out if isinstance(x, RpcError)])
         return out
 
 
@@ -226,6 +245,10 @@ def _parent(row: tuple) -> str:
     return json.loads(row[2])["block"]["parentHash"].lower()
 
 
+#: Why a block is asked for again, among the registry's reasons; all else is incoherent.
+REASONS = {"not ready": "data_lagging", "contested": "header_contested"}
+
+
 def acquire_stride(client: Client, numbers: list[int], parent_hash: str | None = None, attempts: int = 10, delay: float = 0.05, late: float = 0.1, budget: float = 30.0, legs_only: int = 3, clock: Callable[[], float] = time.monotonic, **selection) -> tuple[list[tuple], tuple | None]:
     """(whole and linked rows, what ended them before the stride did).
 
@@ -249,7 +272,9 @@ def acquire_stride(client: Client, numbers: list[int], parent_hash: str | None =
             if waits:
                 end = clock() + budget if end is None else end
             if (clock() >= end) if waits else (wrong >= attempts):
+                client.figures["acquisition_retry_exhaustions_total", ""] += 1
                 return out, (n, row[1], None, issue)
+            client.figures["enrichment_retries_total", REASONS.get(issue, "incoherent")] += 1
             client.sleep(late if waits else delay)
             wrong += not waits
             kept = kept + 1 if issue == "not ready" and kept < legs_only else 0
@@ -317,7 +342,9 @@ class _Stride(InputPartition):
 
 
 SCHEMA = "number bigint, hash string, value string, issue string"
-ALL = [part.split()[0] for part in SCHEMA.split(", ")]
+#: What a reader's schema may ask for besides: the client's counts, on the last row of each partition.
+FIGURES = "figures map<string, bigint>"
+ALL = [*(part.split()[0] for part in SCHEMA.split(", ")), "figures"]
 
 
 def _client(options: dict) -> Client:
@@ -355,14 +382,23 @@ class _Ranges:
         return [_Stride(a, b, parent_hash if a == start else (parents or {}).get(a), self._receipts) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def read(self, part: _Stride) -> Iterator[tuple]:
-        return (tuple(row[i] for i in self.place) for row in self._rows(part)) if part.end > part.start else iter(())
-
-    def _rows(self, part: _Stride) -> Iterator[tuple]:
+        client, last = _client(self.options) if part.end > part.start else None, None
+        for row in self._rows(part, client) if client else ():
+            if last is not None:
+                yield self._shown(last, None)
+            last = row
+        if last is not None:
+            yield self._shown(last, {"/".join(k): n for k, n in client.figures.items()})
+
+    def _shown(self, row: tuple, figures: dict | None) -> tuple:
+        return tuple((*row, figures)[i] for i in self.place)
+
+    def _rows(self, part: _Stride, client: Client) -> Iterator[tuple]:
         if "value" not in self.columns:  # headers alone answer it
             part.receipts, self.options = False, self.options | dict.fromkeys(("logs", "traces", "statediffs"), "false")
         selection = {"receipts": part.receipts, "logs": self._on("logs"), "diffs": self._on("statediffs")}
         selection["traces"] = trace_method(self._on("traces"), selection["diffs"], self._on("debug"))
-        client, numbers = _client(self.options), list(range(part.start, part.end))
+        numbers = list(range(part.start, part.end))
         if not self.whole:
             yield from read_bundles(client, numbers, **selection)
             return
@@ -544,7 +580,8 @@ class BlockSource(DataSource):
     ``mode`` each gives a row for every height, with its issue; whole (as a node is read) asks again for what isn't whole and ends a
     stride before what stays so, with one row that names the issue. A first block that doesn't follow ``parent_hash`` is a fork.
 
-    A schema given to the reader picks columns of ``SCHEMA``; without ``value`` headers alone are asked for, whatever the options say.
+    A schema given to the reader picks columns of ``SCHEMA``, and may add ``FIGURES``, which ``metrics.upstream`` sums to series; without
+    ``value`` headers alone are asked for, whatever the options say.
     """
 
     @classmethod

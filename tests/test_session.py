@@ -359,3 +359,55 @@ def test_supervised_ingestion_that_speculates(spark, tmp_path):
         assert [b.hash for b in w.blocks][-6:] == ["0xh28", *[f"0xf{n}" for n in range(29, 34)]] and [e[0] for e in sup.log] == ["fork"]
     finally:
         node.server.shutdown()
+
+
+def test_retries_and_failures_are_counted_apart():
+    broken = {"left": 2}
+
+    def send(calls):
+        out = []
+        for c in calls:
+            limited = c["params"] == [1] and broken["left"] > 0
+            broken["left"] -= limited
+            out.append({"id": c["id"]} | ({"error": {"code": -32005, "message": "limit exceeded"}} if limited else {"error": {"code": -32602, "message": "bad"}} if c["params"] == [2] else {"result": c["params"]}))
+        return out
+
+    c = rpc.Client(send, sleep=lambda s: None)
+    got = c.batch_call([("a", [0]), ("a", [1]), ("a", [2])])
+    assert got[:2] == [[0], [1]] and isinstance(got[2], rpc.RpcError)
+    assert c.figures == {("upstream_requests_total", "batch"): 1, ("upstream_requests_total", "single"): 2, ("upstream_calls_total", ""): 5, ("upstream_retries_total", "rpc"): 2, ("upstream_errors_total", "rpc"): 1}
+
+    def down(calls):
+        raise rpc.RpcError("no answer in time", kind="timeout")
+
+    c = rpc.Client(down, attempts=3, sleep=lambda s: None)
+    with pytest.raises(rpc.RpcError):
+        c.batch_call([("a", [0]), ("a", [1])])
+    assert c.figures["upstream_retries_total", "timeout"] == 2 and c.figures["upstream_errors_total", "timeout"] == 1 and c.figures["upstream_errors_total", "rpc"] == 0
+
+
+def test_figures_of_readers_feed_the_registry(spark):
+    from blockloom.plans import metrics as me
+
+    node, lagging = Node([block(n) for n in range(1, 13)], final=3), {5: 2, 9: 1}
+    plain = node.answer
+
+    def answer(method, params):
+        if method == "eth_getBlockReceipts" and params[0] != "latest":
+            n = int(params[0], 16) if params[0].startswith("0x") and "h" not in params[0] else int(params[0].removeprefix("0xh"))
+            if lagging.get(n):
+                lagging[n] -= 1
+                return None
+            return [{"blockHash": f"0xh{n}"}]
+        return plain(method, params)
+
+    node.answer = answer
+    try:
+        rpc.register(spark)
+        rows = spark.read.format("evm_blocks").schema(f"{rpc.SCHEMA}, {rpc.FIGURES}").options(url=node.url, **{"from": "1", "to": "12", "stride": "4"}).load().persist()
+        assert [r.number for r in rows.orderBy("number").collect()] == list(range(1, 13)) and rows.filter("figures IS NOT NULL").count() == 3
+        got = {(r.name, r.label): r.value for r in me.registered(spark, me.upstream(rows)).filter("value > 0").collect()}
+        rows.unpersist()
+        assert got[("enrichment_retries_total", "data_lagging")] == 3 and got[("upstream_requests_total", "batch")] >= 6 and ("upstream_errors_total", "rpc") not in got
+    finally:
+        node.server.shutdown()
