@@ -2,8 +2,8 @@
 
 Each source's texts, in id order, form one stream of words that is cut into blocks of ``BLOCK`` words. A source's share of the
 output is a number of block slots. The output's shards draw their sources multinomially, conditioned on these totals: a
-binary tree over the shards splits every node's slots between its halves by a multivariate hypergeometric draw (beyond 10**9
-slots by that draw's normal limit) seeded with the node, so each task finds its shard's counts and first slots by itself, in as many draws as the tree is deep. A slot's
+binary tree over the shards splits every node's slots between its halves by a multivariate hypergeometric draw, one law and one
+sampler at all sizes, seeded with the node, so each task finds its shard's counts and first slots by itself, in as many draws as the tree is deep. A slot's
 number, taken modulo the source's number of blocks, goes through a keyed pseudorandom permutation of the block indexes (a Feistel
 network with cycle walking, another key for each repeat) and blocks are joined by that index.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import e, floor, lgamma, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -87,18 +88,42 @@ def pass_key(source: int, repeat: int) -> int:
     return int(mix64(mix64(np.array([SEED + (source << 8)], np.uint64)) + np.uint64(repeat))[0] >> np.uint64(2))
 
 
-def drawn(rng: np.random.Generator, own: int, rest: int, want: int) -> int:
-    """How many of ``want`` items drawn without replacement from ``own`` and ``rest`` are of ``own``.
+def _grown(a: int, d: int) -> float:
+    """ln((a + d)! / a!) - d ln a (of which 0 takes nothing off), without the cancellation that two logarithms of large factorials would bring."""
+    x = a + d
+    if min(a, x) < 10**4:
+        return lgamma(x + 1) - lgamma(a + 1) - (d * log(a) if a else 0.0)
+    t = d / a
+    # a ((1 + t) ln(1 + t) - t), by its series where t is small
+    bulk = a * t * t * (1 / 2 - t * (1 / 6 - t * (1 / 12 - t * (1 / 20 - t / 30)))) if abs(t) < 1e-4 else a * ((1 + t) * log1p(t) - t)
+    return bulk + log1p(t) / 2 + (1 / x - 1 / a) / 12
 
-    Above the library's bound of 10**9 items, by the draw's limit: the normal distribution of its mean and variance, or, where
-    few are of ``own``, the binomial one.
+
+def hypergeometric(rng: np.random.Generator, own: int, rest: int, want: int) -> int:
+    """How many of ``want`` items drawn without replacement from ``own`` and ``rest`` are of ``own``, for counts of any size.
+
+    Rejection from a ratio of uniforms around the mean; the probability of a count is taken relative to the mode's, whose
+    leading terms cancel in integers.
     """
     whole = own + rest
-    if whole < 10**9:
-        return int(rng.hypergeometric(own, rest, want)) if want and whole else 0
-    share = want / whole
-    x = rng.binomial(own, share) if own < 10**6 else round(own * share + rng.standard_normal() * (own * share * (1 - share) * (rest / whole)) ** 0.5)
-    return int(min(max(x, want - rest, 0), own, want))
+    low, high = max(0, want - rest), min(own, want)
+    if low == high:
+        return low
+    mode = min(max((want + 1) * (own + 1) // (whole + 2), low), high)
+    at = (mode, own - mode, want - mode, rest - want + mode)
+    up, down = (at[0] or 1) * (at[3] or 1), (at[1] or 1) * (at[2] or 1)
+    slope = log1p((up - down) / down)
+    mean = want * own / whole
+    spread = 2 * sqrt(2 / e) * sqrt(mean * (rest / whole) * ((whole - want) / max(whole - 1, 1)) + 0.5) + 3 - 2 * sqrt(3 / e)
+    middle = mean - mode + 0.5
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        d = floor(middle + spread * (v - 0.5) / u)
+        if not low <= mode + d <= high:
+            continue
+        ratio = -d * slope - sum(_grown(a, s * d) for a, s in zip(at, (1, -1, -1, 1), strict=True))
+        if 2 * log(u) <= ratio:
+            return mode + d
 
 
 def shard_draw(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +137,7 @@ def shard_draw(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[n
         left = np.zeros_like(counts)
         for i in np.flatnonzero(counts):  # source by source, each given what the ones before have drawn
             rest -= int(counts[i])
-            left[i] = drawn(rng, int(counts[i]), rest, want)
+            left[i] = hypergeometric(rng, int(counts[i]), rest, want)
             want -= int(left[i])
         if shard < mid:
             counts, hi = left, mid

@@ -342,3 +342,28 @@ def test_stages_on_odd_rows(spark, odd, none, sf):
     assert corpus_pipeline.encoding(spark, odd, sf).count() == odd.count() and corpus_pipeline.encoding(spark, none, sf).count() == 0
     stay = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, odd, sf).collect()]
     assert sorted(i for i, _ in stay if i) == [1, 3, 4, 5, 6, 7, 8, 9, 10, 11] and (None, "no id at all") in stay
+
+
+def test_draws_follow_one_law_at_all_sizes():
+    from math import comb
+
+    from blockloom.llm.block_mix import hypergeometric
+
+    rng = np.random.default_rng(7)
+    for own, rest, want in [(5, 7, 4), (3, 2000, 900), (2000, 3, 900), (40, 60, 99), (1, 1, 1), (300, 500, 400), (6, 10**12, 4 * 10**11)]:
+        n = 20_000
+        got = np.bincount([hypergeometric(rng, own, rest, want) for _ in range(n)], minlength=min(own, want) + 1)
+        if rest < 10**6:
+            exact = np.array([comb(own, x) * comb(rest, want - x) / comb(own + rest, want) if 0 <= want - x <= rest else 0.0 for x in range(len(got))])
+        else:  # so many others that each is drawn by itself
+            exact = np.array([comb(own, x) * 0.4**x * 0.6 ** (own - x) for x in range(len(got))])
+        wide = exact * n >= 5
+        assert got[exact == 0].sum() == 0
+        chi = ((got[wide] - exact[wide] * n) ** 2 / (exact[wide] * n)).sum()
+        assert chi < wide.sum() + 5 * np.sqrt(2 * wide.sum()) + 1, (own, rest, want, chi)
+    for own, rest, want in [(10**12, 3 * 10**12, 2 * 10**12), (10**15, 10**9, 10**14), (10**9, 10**9, 10**9)]:
+        whole = own + rest
+        mean, sd = want * own / whole, (want * own / whole * (rest / whole) * ((whole - want) / (whole - 1))) ** 0.5
+        z = np.array([(hypergeometric(rng, own, rest, want) - mean) / sd for _ in range(5000)])
+        assert abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.05 and abs((z**4).mean() - 3) < 0.5
+    assert [hypergeometric(rng, *x) for x in [(0, 5, 3), (5, 0, 3), (4, 4, 8), (4, 4, 0)]] == [0, 3, 4, 0]
