@@ -163,3 +163,45 @@ def test_probe_and_method():
     assert rpc.method_for_receipts(rpc.Client(lambda calls: [{"id": c["id"], "result": []} for c in calls])) == "by block"
     assert rpc.method_for_receipts(rpc.Client(lambda calls: [{"id": c["id"], "error": {"code": -32601, "message": "no"}} for c in calls])) == "by transaction"
     assert [rpc.trace_method(*x) for x in ((False, False, True), (True, True, True), (True, True, False), (True, False, False))] == [None, "debug_traceBlockByHash", "trace_replayBlockTransactions", "trace_block"]
+
+
+def test_bundles_are_made_after_lines_are_gathered(spark, sf):
+    from blockloom.plans.views import bundles
+
+    plan = bundles(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above, gathered, below = plan.partition("Aggregate [")
+    assert gathered and "sha2(" in above and "sha2(" not in below and "Join" not in plan
+
+
+def test_parts_of_records_are_read_alone(spark, sf):
+    from blockloom.operators.normalize import record_parts
+    from blockloom.plans import records
+
+    lines = spark.createDataFrame([(json.dumps(RAW | {"debugFrames": [{"result": TREE, "txHash": "0xT"}]}),)], "value string")
+    whole = json.loads(normalize(parse_bundles(lines), with_traces=True).first().json_line)
+    for part, read in records._READ.items():
+        row = record_parts(parse_bundles(lines, parts=read), with_traces=part == "traces").first()
+        assert json.loads(row[part]) == whole[part] and (row.number, row.hash, row.timestamp) == (5, "0xh5", 100000)
+    for query in (records.canonical_headers, records.canonical_transactions, records.canonical_logs):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "EvalPython" not in plan and plan.count("from_json(") + plan.count("jsontostructs(") <= 2
+
+
+def test_low_trees_equal_the_walk(spark):
+    rng = random.Random(8)
+
+    def grown(depth):
+        return {"type": "CALL", "from": A, "gas": hex(rng.randint(0, 99)), **({"calls": [grown(depth - 1 if k == 0 else 0) for k in range(rng.randint(1, 4))]} if depth else {})}
+
+    trees = [grown(d % fr.LEVELS) for d in range(24)]
+    rows = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "i int, result string").select("i", fr.low_frames(fr.F.col("result")).alias("f"))
+    assert [[tuple(f) for f in r.f] for r in rows.orderBy("i").collect()] == [fr.flatten(t) for t in trees]
+
+
+def test_quantities_as_digits(spark):
+    from blockloom.functions import quantities as q
+
+    values = ["0x0", "0x9", "0xa", "0x" + "f" * 16, "0x1" + "0" * 16, "0x" + "f" * 32, "0x1" + "0" * 32, "0x000" + "f" * 32, "0x", "x1", "", "0x0x1", "0xzz", "12", None, hex(10**38), hex(10**38 - 1), hex(10**20 + 10)]
+    got = spark.createDataFrame([(v,) for v in values], "x string").select("x", q.qty_digits("x").alias("d"), q.qty_u64("x").cast("string").alias("u")).collect()
+    assert [r.d for r in got] == [str(q.parse_u128(v) or 0) if v is not None else "0" for v in values]
+    assert [r.u for r in got] == [None if v is None else str(n if (n := q.parse_u128(v) or 0) < 1 << 64 else 0) for v in values]
