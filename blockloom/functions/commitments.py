@@ -179,12 +179,15 @@ def with_header_issue(blocks: DataFrame, block_json: str = "block_json", chain_i
 def bloom_of_logs(logs: DataFrame, key: str = "block_hash", address: str = "address", topics: str = "topics") -> DataFrame:
     """(key, logs_bloom): the filter of each block's logs, as an aggregate of single bits.
 
-    Each item's three bits are exploded and or-ed in 64 words, partially before the shuffle, so no block's logs gather in a task.
+    Items are hashed where they are, and each block's set of bits, at most 2048, is gathered partially before the one shuffle, so no
+    block's logs gather in a task and the shuffle carries bits alone.
     """
-    items = logs.select(key, F.explode(F.concat(F.array(address), F.col(topics))).alias("item")).distinct()
     from .quantities import hex_or_empty
 
-    digest = items.withColumn("d", F.hex(keccak_udf(hex_or_empty("item"))))
+    items = logs.select(key, F.explode(F.concat(F.array(address), F.col(topics))).alias("item"))
+    digest = items.select(key, F.hex(keccak_udf(hex_or_empty("item"))).alias("d"))
     bits = digest.select(key, F.explode(F.array(*[F.conv(F.substring("d", 1 + 4 * i, 4), 16, 10).cast("int").bitwiseAND(2047) for i in range(3)])).alias("bit"))
-    words = bits.groupBy(key).agg(*[F.coalesce(F.bit_or(F.when(F.expr(f"bit DIV 32 = {w}"), F.expr("shiftleft(1L, cast(bit % 32 AS int))"))), F.lit(0)).alias(f"w{w}") for w in range(64)])
-    return words.select(key, F.concat(F.lit("0x"), *[F.lpad(F.lower(F.hex(f"w{w}")), 8, "0") for w in reversed(range(64))]).alias("logs_bloom"))
+    powers = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
+    held = bits.groupBy(key).agg(F.collect_set("bit").alias("bits"))
+    words = F.transform(F.sequence(F.lit(63), F.lit(0)), lambda w: F.aggregate(F.filter("bits", lambda b: F.shiftright(b, 5) == w), F.lit(0).cast("long"), lambda n, b: n + F.element_at(powers, b.bitwiseAND(31) + 1)))
+    return held.select(key, F.concat(F.lit("0x"), F.array_join(F.transform(words, lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")), "")).alias("logs_bloom"))

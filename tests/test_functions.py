@@ -150,6 +150,14 @@ def test_bloom_aggregate_equals_the_function(spark):
     assert got.x and not got.y
 
 
+def test_bloom_aggregate_shuffles_bits_once(spark):
+    df = spark.createDataFrame([(f"b{i}", "0x" + f"{i:02x}" * 20, ["0x" + "07" * 32]) for i in range(9)], "block_hash string, address string, topics array<string>")
+    blooms = c.bloom_of_logs(df)
+    plan = blooms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("bit_or") == 0
+    assert {r.block_hash: r.logs_bloom for r in blooms.collect()} == {r.block_hash: c.logs_bloom([{"address": r.address, "topics": r.topics}]) for r in df.collect()}
+
+
 def test_header_hashes_in_batches(spark):
     block = {n: "0x" + "00" * 32 for n in ("parentHash", "sha3Uncles", "stateRoot", "receiptsRoot", "mixHash", "transactionsRoot")}
     block |= {"number": "0x1", "gasLimit": "0x1", "gasUsed": "0x0", "timestamp": "0x1", "difficulty": "0x0", "extraData": "0x", "miner": "0x" + "00" * 20, "nonce": "0x" + "00" * 8, "logsBloom": "0x"}
