@@ -13,6 +13,8 @@ from blockloom.operators.scan import carried, uncarried
 from blockloom.storage import Kept
 
 KEYS = ["chain_id"]
+#: Parts that a chain's rows are dealt over where they are joined by their chain.
+DEALT = 96
 
 
 def is_link(number: Column, hash_: Column, parent_number: Column, parent_hash: Column) -> Column:
@@ -42,7 +44,10 @@ def linked_prefix(blocks: DataFrame, ignore_case: bool = False, contiguous: bool
         bad = bad | (F.lag("number").over(w) + 1 != F.col("number"))
     marked = uncarried(rows.withColumn("_bad", F.coalesce(bad, F.lit(False))))
     first = marked.filter("_bad").groupBy(*KEYS).agg(F.min("number").alias("_broken"))  # a row a chain
-    return marked.join(first, KEYS, "left").filter("_broken IS NULL OR number < _broken").select(*blocks.columns)
+    # each chain's rows are dealt over ``DEALT`` parts for the join, as one chain may be the whole table
+    first = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    dealt = marked.withColumn("_part", F.pmod(F.xxhash64("number", "hash"), F.lit(DEALT)).cast("int"))
+    return dealt.join(first, [*KEYS, "_part"], "left").filter("_broken IS NULL OR number < _broken").select(*blocks.columns)
 
 
 def fork_signals(blocks: DataFrame) -> DataFrame:

@@ -91,3 +91,16 @@ def test_ancestors_stop_at_depth_and_at_unknown_parents(spark):
         assert got == {(39 - k, k) for k in range(min(depth, 34) + 1)}
     pairs = spark.createDataFrame([(1, 1, 50, "s1", 51, "s2")], "chain_id int, pair int, a_number long, a_hash string, b_number long, b_hash string")
     assert li.common_ancestors(df, pairs, 10).count() == 0
+
+
+def test_prefix_of_one_chain_is_joined_in_parts(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("chain_id"), F.col("id").alias("number"), F.col("id").cast("string").alias("hash"), F.when(F.col("id") == 15_000, "x").otherwise((F.col("id") - 1).cast("string")).alias("parent_hash"))
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}  # as over chains too many to broadcast
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = [r["count"] for r in li.linked_prefix(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    assert sum(sizes) == 15_000 and len(sizes) > 1 and max(sizes) < 2 * median(sizes)
