@@ -1,13 +1,19 @@
 """Parent links between blocks: continuity, take-while, forks, equivocation, duplicates, finality bookkeeping.
 
 A blocks table has chain_id, number, hash, parent_number, parent_hash. What needs the block or report before goes through the
-segmented scan of ``scan``; ``with_breaks_by_join`` finds each block's parent by an equi-join. So no task sees a whole chain.
+segmented scan of ``scan``; ``with_breaks_by_join`` finds each block's parent by an equi-join; ancestors are walked through segments of
+heights. So no task sees a whole chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockloom.operators.scan import carried, uncarried
 from blockloom.storage import Kept
@@ -102,56 +108,141 @@ def last_per_height(arrivals: DataFrame, order: str = "pos") -> DataFrame:
     return arrivals.groupBy(*KEYS, "number").agg(F.max_by(F.struct("hash", "parent_number", "parent_hash", order), order).alias("b")).select(*KEYS, "number", "b.*")
 
 
-def _doubled(arrivals: DataFrame, heads: DataFrame, owner: list[str], depth: int) -> Kept:
-    """(chain_id, *owner, number, hash, steps): the blocks that each head descends from, itself included, at most ``depth`` steps up.
+#: Heights of a segment in the first round of ``_walked``, as a power of two; the power added each round; and the most.
+SEGMENT, WIDER, WIDEST = 16, 3, 22
+_WALKED = "chain_id {chain}, number long, hash string, parent_number long, parent_hash string, pair {pair}, a long, b long, found boolean"
+
 
-    A round doubles both what is known of the heads and how far a block's pointer reaches: blocks (with their pointer) and the heads'
-    ancestors so far (each with the block it is) are joined with the pointers at once, so depth d takes log2 d joins. A pointer that would
-    lead past the first known block is gone. Each round is a table; the ones before it are deleted.
+def _sweep(batches: Iterator[pa.RecordBatch], depth: int, bits: int, meet: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Walks up through segments whose rows (chain_id, number, hash, parent_number, parent_hash, pair, a, b, waits) fall in height.
+
+    Rows with a pair are walks, ahead of their block; those that wait come out as they are. Parents are lower than their children, so one pass meets a walk's blocks in order, and
+    only the blocks that walks want next are held; walks that want the same block go on as one. Out come the walked blocks (``found``), or
+    where ``meet`` the first block of a pair's two sides, and the walks that leave the segment.
+    """
+    place, here, wanted, out = None, None, {}, []  # wanted: (number, hash) -> [steps since, {pair: [a, b]}, fewest steps, pairs that met]
+
+    def join(at, new):
+        old = wanted.setdefault(at, new)
+        if old is new:
+            return
+        if len(old[1]) < len(new[1]):
+            old, new = new, old
+            wanted[at] = old
+        by = new[0] - old[0]
+        for pair, sides in new[1].items():
+            mine = old[1].setdefault(pair, [None, None])
+            for i, n in enumerate(sides):
+                if n is not None and (mine[i] is None or n + by < mine[i]):
+                    mine[i] = n + by
+            if None not in mine:
+                old[3].add(pair)
+        old[2] = min(old[2], new[2] + by)
+
+    def left():
+        for (number, hash_), (since, pairs, _, _) in wanted.items():
+            if number >> bits < place[1]:
+                for pair, sides in pairs.items():
+                    a, b = (None if n is None or n + since > depth else n + since for n in sides)
+                    if a is not None or b is not None:
+                        out.append((place[0], number, hash_, None, None, pair, a, b, False))
+        wanted.clear()
+
+    def flushed():
+        columns = zip(*out, strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for chain, number, hash_, up, up_hash, pair, a, b, waits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (chain, number >> bits) != place:
+                left()
+                place, here = (chain, number >> bits), None
+            at = (number, hash_)
+            if waits:
+                out.append((chain, number, hash_, None, None, pair, a, b, False))
+            elif pair is not None:
+                join(at, [0, {pair: [a, b]}, min(n for n in (a, b) if n is not None), {pair} if a is not None and b is not None else set()])
+            if pair is not None:
+                continue
+            if at != here:
+                here, walk, seen, passed = at, wanted.pop(at, None), None, []
+                if walk is not None:
+                    since, pairs, _, met = walk
+                    if meet:
+                        for p in met:
+                            x, y = pairs.pop(p)
+                            if x + since <= depth and y + since <= depth:
+                                out.append((chain, number, hash_, None, None, p, x + since, y + since, True))
+                        met.clear()
+                    else:
+                        passed = [(p, x + since) for p, (x, _) in pairs.items() if x + since <= depth]
+                    walk[0] += 1
+                    walk = walk if pairs and walk[2] + walk[0] <= depth else None
+            if passed and (up, up_hash) != seen:  # a block may be there with several parents
+                seen = (up, up_hash)
+                out.extend((chain, number, hash_, up, up_hash, p, x, None, True) for p, x in passed)
+            if walk is not None and up is not None and up < number:
+                if up_hash is not None:
+                    join((up, up_hash), walk)
+                walk = None
+            if len(out) > 20_000:
+                yield flushed()
+    left()
+    if out:
+        yield flushed()
+
+
+def _waiting(walks: DataFrame, bits: int) -> DataFrame:
+    """Walks of pairs that still have both sides; ``waits``: the other side is in a higher segment, and comes first."""
+    w, segment = Window.partitionBy(*KEYS, "pair"), F.shiftright("number", bits)
+    both = walks.withColumn("_both", (F.count("a").over(w) > 0) & (F.count("b").over(w) > 0)).withColumn("waits", segment < F.max(segment).over(w))
+    return both.filter("_both").drop("_both")
+
+
+def _walked(arrivals: DataFrame, walks: DataFrame, depth: int, meet: bool) -> DataFrame:
+    """What ``_sweep`` finds for walks (chain_id, number, hash, pair, a, b: the steps of a pair's sides) up from known blocks.
+
+    Blocks are shuffled once, by chain and segment of heights, and sorted; a task streams them. Walks that leave their segment go on in a
+    next round, over the segments that they want alone; a round's are wider, so there are few rounds. A pair's sides go through a segment
+    together. Each round is a table.
     """
-    parent = F.when(F.col("parent_number") < F.col("number"), F.struct(F.col("parent_number").alias("number"), F.col("parent_hash").alias("hash")))
-    links = arrivals.groupBy(*KEYS, "number", "hash").agg(F.min(parent).alias("up"))
-    none = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in owner]
-    start = heads.select(*KEYS, *owner, "number", "hash").join(links.select(*KEYS, "number", "hash"), [*KEYS, "number", "hash"], "left_semi")
-    # of a block (steps null): its pointer; of a head's ancestor: the block itself
-    columns = [*KEYS, *owner, "number", "hash", "up", "steps"]
-    own = start.select(*KEYS, *owner, "number", "hash", F.lit(None).cast("struct<number:bigint,hash:string>").alias("up"), F.lit(0).cast("long").alias("steps"))
-    pointers = links.filter("up IS NOT NULL").select(*KEYS, *none, "number", "hash", F.expr("struct(cast(up.number AS bigint) AS number, up.hash AS hash)").alias("up"), F.lit(None).cast("long").alias("steps"))
-    now, reach = Kept(own.withColumn("number", F.col("number").cast("long")).unionByName(pointers.withColumn("number", F.col("number").cast("long"))).select(*columns), "ancestors"), 1
-    while reach <= depth:
-        block = now.df.filter("steps IS NULL").select(*[F.col(c).alias(f"_{c}") for c in KEYS], F.col("number").alias("_number"), F.col("hash").alias("_hash"), F.col("up").alias("_up"))
-        at = F.expr("if(steps IS NULL, up, struct(number, hash))")
-        on = [F.col(c) == F.col(f"_{c}") for c in KEYS] + [F.col("_at.number") == F.col("_number"), F.col("_at.hash") == F.col("_hash")]
-        met = now.df.withColumn("_at", at).join(block, on)
-        ahead = F.col("steps").isNotNull()
-        new = met.select(
-            *KEYS, *owner, F.when(ahead, F.col("_up.number")).otherwise(F.col("number")).alias("number"), F.when(ahead, F.col("_up.hash")).otherwise(F.col("hash")).alias("hash"),
-            F.when(~ahead, F.col("_up")).alias("up"), (F.col("steps") + reach).alias("steps"),
-        ).filter(f"steps IS NULL OR steps <= {depth}")
-        after = Kept(new.unionByName(now.df.filter("steps IS NOT NULL")), "ancestors")
-        now.drop()
-        now, reach = after, 2 * reach
-        if now.df.filter("steps IS NULL").isEmpty():  # no pointer reaches further
-            break
-    return now
+    blocks = arrivals.select(*KEYS, F.col("number").cast("long").alias("number"), "hash", F.col("parent_number").cast("long").alias("parent_number"), "parent_hash").filter("chain_id IS NOT NULL AND number IS NOT NULL AND hash IS NOT NULL")
+    names = [*KEYS, "number", "hash", "parent_number", "parent_hash", "pair", "a", "b", "waits"]
+    walks = walks.select(*KEYS, F.col("number").cast("long").alias("number"), "hash", "pair", "a", "b").filter("chain_id IS NOT NULL AND number IS NOT NULL AND hash IS NOT NULL AND pair IS NOT NULL")
+    schema = T.StructType.fromDDL(_WALKED.format(chain=blocks.schema["chain_id"].dataType.simpleString(), pair=walks.schema["pair"].dataType.simpleString()))
+    own = to_arrow_schema(schema)
+    near, bits, found = blocks, SEGMENT, None
+    while True:
+        walks = _waiting(walks, bits) if meet else walks.withColumn("waits", F.lit(False))
+        if found is not None:
+            wanted = walks.filter("NOT waits").select(F.col("chain_id").alias("_chain"), F.shiftright("number", bits).alias("_segment")).distinct()
+            near = blocks.join(wanted, (F.col("chain_id") == F.col("_chain")) & (F.shiftright("number", bits) == F.col("_segment")), "left_semi")
+        rows = near.unionByName(walks, allowMissingColumns=True).select(*names)
+        rows = rows.repartition(*KEYS, F.shiftright("number", bits)).sortWithinPartitions(*KEYS, F.desc("number"), "hash", F.desc_nulls_last("pair"), "parent_number", "parent_hash")
+        kept = Kept(rows.mapInArrow(lambda batches, n=bits: _sweep(batches, depth, n, meet, own), schema), "ancestors").df
+        found = kept.filter("found") if found is None else found.unionByName(kept.filter("found"))
+        walks = kept.filter("NOT found").select(*KEYS, "number", "hash", "pair", "a", "b")
+        if walks.isEmpty():
+            return found
+        bits = min(bits + WIDER, WIDEST)
 
 
 def canonical_from(arrivals: DataFrame, head: DataFrame, depth: int) -> DataFrame:
-    """Ancestors of each chain's head over parent links, at most ``depth``, all chains at once, by pointer doubling."""
-    links = arrivals.select(*KEYS, "number", "hash", "parent_number", "parent_hash").distinct()
-    found = _doubled(links, head.select(*KEYS, "number", "hash"), [], depth).df.filter("steps IS NOT NULL")
-    return links.join(found.select(*KEYS, "number", "hash", F.col("steps").alias("depth")), [*KEYS, "number", "hash"])
+    """Ancestors of each chain's head over parent links, at most ``depth``, all chains at once, by a sweep through their heights."""
+    walks = head.select(*KEYS, "number", "hash", F.concat_ws("/", "number", "hash").alias("pair"), F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    return _walked(arrivals, walks, depth, False).select(*KEYS, "number", "hash", "parent_number", "parent_hash", F.col("a").alias("depth"))
 
 
 def common_ancestors(arrivals: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """(chain_id, pair, number, hash, steps_a, steps_b): where the chains of two heads part; pairs (chain_id, pair, a_number, a_hash,
     b_number, b_hash). A pair that shares no known block within ``depth`` steps isn't there."""
-    sides = [pairs.select(*KEYS, "pair", F.lit(s).alias("side"), F.col(f"{s}_number").alias("number"), F.col(f"{s}_hash").alias("hash")) for s in "ab"]
-    found = _doubled(arrivals, sides[0].unionByName(sides[1]), ["pair", "side"], depth).df.filter("steps IS NOT NULL")
-    both = found.groupBy(*KEYS, "pair", "number", "hash").agg(*[F.min(F.when(F.col("side") == s, F.col("steps"))).alias(f"steps_{s}") for s in "ab"]).filter("steps_a IS NOT NULL AND steps_b IS NOT NULL")
-    best = both.groupBy(*KEYS, "pair").agg(F.max_by(F.struct("number", "hash", "steps_a", "steps_b"), "number").alias("b"))
-    # siblings of a block that isn't known name it alike
-    return best.select(*KEYS, "pair", "b.*").join(arrivals.select(*KEYS, "number", "hash"), [*KEYS, "number", "hash"], "left_semi").select(*KEYS, "pair", "number", "hash", "steps_a", "steps_b")
+    none, start = F.lit(None).cast("long"), F.lit(0).cast("long")
+    sides = [pairs.select(*KEYS, "pair", F.col(f"{s}_number").alias("number"), F.col(f"{s}_hash").alias("hash"), *[(start if s == n else none).alias(n) for n in "ab"]) for s in "ab"]
+    met = _walked(arrivals, sides[0].unionByName(sides[1]), depth, True)
+    best = met.groupBy(*KEYS, "pair").agg(F.max_by(F.struct("number", "hash", F.col("a").alias("steps_a"), F.col("b").alias("steps_b")), "number").alias("b"))
+    return best.select(*KEYS, "pair", "b.*")
 
 
 def running_finality(reports: DataFrame, order: str = "pos") -> DataFrame:

@@ -104,3 +104,54 @@ def test_prefix_of_one_chain_is_joined_in_parts(spark):
         for k in off:
             spark.conf.unset(k)
     assert sum(sizes) == 15_000 and len(sizes) > 1 and max(sizes) < 2 * median(sizes)
+
+
+def test_walks_equal_brute_force_over_small_segments(spark, monkeypatch):
+    monkeypatch.setattr(li, "SEGMENT", 2, raising=False)
+    monkeypatch.setattr(li, "WIDEST", 5, raising=False)
+    rng = random.Random(9)
+    rows = []
+    for chain in (1, 2):
+        for n in range(-6, 90, 2):
+            for k in range(rng.choice([1, 1, 2, 3])):
+                up = n - rng.choice([2, 2, 2, 4, 30])
+                rows += [(chain, n, f"h{n}/{k}", up, f"h{up}/{rng.choice([0, 0, 1])}")] * rng.choice([1, 1, 2])
+                if rng.random() < 0.1:
+                    rows.append((chain, n, f"h{n}/{k}", n + rng.choice([0, -4]), f"h{n - 4}/0"))
+    up = {}
+    for chain, n, h, pn, ph in rows:
+        known = up.get((chain, n, h))
+        up[chain, n, h] = min([x for x in (known, (pn, ph) if pn < n else None) if x], default=None)
+
+    def walk(chain, n, h, depth):
+        at, out = (n, h), []
+        while at and (chain, *at) in up and len(out) <= depth:
+            out.append(at)
+            at = up[chain, *at]
+        return out
+
+    blocks = spark.createDataFrame(rows, BLOCKS)
+    refs = sorted(up)
+    heads = [rng.choice([r for r in refs if r[0] == c and r[1] > 60]) for c in (1, 2)] + [(2, 500, "none")]
+    pairs = [(a[0], i, a[1], a[2], b[1], b[2]) for i in range(80) for a, b in [rng.choices([r for r in refs if r[0] == 1 + i % 2], k=2)]]
+    for depth in (0, 3, 20, 500):
+        got = sorted(tuple(r)[:3] + tuple(r)[5:] + tuple(r)[3:5] for r in li.canonical_from(blocks, spark.createDataFrame(heads, "chain_id int, number long, hash string"), depth).collect())
+        want = sorted({(c, *at, k, *r[3:]) for c, n, h in heads for k, at in enumerate(walk(c, n, h, depth)) for r in rows if r[:3] == (c, *at)})
+        assert got == want
+        met = {}
+        for c, i, an, ah, bn, bh in pairs:
+            a, b = walk(c, an, ah, depth), walk(c, bn, bh, depth)
+            both = [(c, i, *x, a.index(x), b.index(x)) for x in a if x in b]
+            met |= {i: both[0]} if both else {}
+        got = li.common_ancestors(blocks, spark.createDataFrame(pairs, "chain_id int, pair int, a_number long, a_hash string, b_number long, b_hash string"), depth)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(met.values()) and (met or not depth)
+
+
+def test_pairs_of_one_chain_share_their_walks(spark, monkeypatch):
+    sizes, kept = [], li.Kept
+    monkeypatch.setattr(li, "Kept", lambda df, what: sizes.append((k := kept(df, what)).df.count()) or k)
+    n = 2000
+    blocks = spark.range(n).select(F.lit(1).alias("chain_id"), F.col("id").alias("number"), F.col("id").cast("string").alias("hash"), (F.col("id") - 1).alias("parent_number"), (F.col("id") - 1).cast("string").alias("parent_hash"))
+    pairs = spark.createDataFrame([(1, i, n - 1, str(n - 1), 10 * i, str(10 * i)) for i in range(50)], "chain_id int, pair int, a_number long, a_hash string, b_number long, b_hash string")
+    assert {(r.pair, r.number, r.steps_a) for r in li.common_ancestors(blocks, pairs, n).collect()} == {(i, 10 * i, n - 1 - 10 * i) for i in range(50)}
+    assert sum(sizes) <= n  # not each pair's ancestors
