@@ -175,19 +175,23 @@ def diff_row(tx: Column, address: Column, key: Column, prev: Column, then: Colum
     return F.struct(tx.cast("long").alias("transactionIndex"), F.lower(address).alias("address"), key.alias("key"), kind.alias("kind"), prev.alias("prev"), then.alias("next"))
 
 
+def _once(value: Column, run) -> Column:
+    """``run`` of a value that is worked out once: lambdas hold an expression as often as they name it."""
+    return F.transform(F.array(value), run)[0]
+
+
 def debug_diffs(result: Column, tx: Column) -> Column:
     """Diff rows of a pre/post state. Addresses and slots keep source order, those of pre first; code, balance and nonce
     only where post has them; a nonce that pre lacks counts as 0x0."""
-    pre, post = (F.coalesce(F.from_json(F.get_json_object(result, f"$.{k}"), _ACCOUNT), F.expr(f"cast(map() AS {_ACCOUNT})")) for k in ("pre", "post"))
-    addresses = F.array_distinct(F.concat(F.map_keys(pre), F.map_keys(post)))
+    both = F.struct(*[F.coalesce(F.from_json(F.get_json_object(result, f"$.{k}"), _ACCOUNT), F.expr(f"cast(map() AS {_ACCOUNT})")).alias(k) for k in ("pre", "post")])
     none = F.expr("cast(array() AS array<string>)")
 
     def count(x: Column) -> Column:
         return F.when(x.rlike("^[0-9]+$"), to_qty(x.try_cast("long"))).otherwise(x)
 
-    def one(address: Column) -> Column:
-        a, b = F.try_element_at(pre, address), F.try_element_at(post, address)
-        slots = F.concat(F.coalesce(F.map_keys(a["storage"]), none), F.array_except(F.coalesce(F.map_keys(b["storage"]), none), F.coalesce(F.map_keys(a["storage"]), none)))
+    def rows(address: Column, x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        slots = _once(F.struct(F.coalesce(F.map_keys(a["storage"]), none).alias("a"), F.coalesce(F.map_keys(b["storage"]), none).alias("b")), lambda s: F.concat(s["a"], F.array_except(s["b"], s["a"])))
         own = F.array(
             F.when(b["code"].isNotNull(), diff_row(tx, address, F.lit("code"), a["code"], b["code"])),
             F.when(b["balance"].isNotNull(), diff_row(tx, address, F.lit("balance"), a["balance"], b["balance"])),
@@ -195,24 +199,30 @@ def debug_diffs(result: Column, tx: Column) -> Column:
         )
         return F.concat(F.array_compact(own), F.transform(slots, lambda k: diff_row(tx, address, k, F.try_element_at(a["storage"], k), F.try_element_at(b["storage"], k))))
 
-    return F.flatten(F.transform(addresses, one))
+    def accounts(s: Column) -> Column:
+        addresses = F.array_distinct(F.concat(F.map_keys(s["pre"]), F.map_keys(s["post"])))
+        return F.flatten(F.transform(addresses, lambda address: _once(F.struct(F.try_element_at(s["pre"], address).alias("a"), F.try_element_at(s["post"], address).alias("b")), lambda x: rows(address, x))))
+
+    return _once(both, accounts)
 
 
 def replay_diffs(diff: Column, tx: Column) -> Column:
     """Diff rows of a replay's state diff; unchanged and unreadable entries leave."""
     accounts = F.coalesce(F.from_json(diff, _ACCOUNT), F.expr(f"cast(map() AS {_ACCOUNT})"))
 
-    def row(address: Column, key: Column, x: Column) -> Column:
-        parts = F.from_json(x, "map<string, string>")
-        plus, minus, change = (F.try_element_at(parts, F.lit(k)) for k in ("+", "-", "*"))
-        before, after = F.get_json_object(change, "$.from"), F.get_json_object(change, "$.to")
-        return F.when(plus.isNotNull(), diff_row(tx, address, key, F.lit(None).cast("string"), plus)).when(before.isNotNull() & after.isNotNull(), diff_row(tx, address, key, before, after)).when(minus.isNotNull(), diff_row(tx, address, key, minus, F.lit(None).cast("string")))
+    def row(address: Column, key: Column, p: Column) -> Column:
+        before, after = F.get_json_object(p["*"], "$.from"), F.get_json_object(p["*"], "$.to")
+        changed = _once(F.struct(before.alias("before"), after.alias("after")), lambda c: F.when(c["before"].isNotNull() & c["after"].isNotNull(), diff_row(tx, address, key, c["before"], c["after"])))
+        plain = F.when(p["-"].isNotNull(), diff_row(tx, address, key, p["-"], F.lit(None).cast("string")))
+        return F.when(p["+"].isNotNull(), diff_row(tx, address, key, F.lit(None).cast("string"), p["+"])).otherwise(F.coalesce(changed, plain))
 
     def one(e: Column) -> Column:
         v = e["value"]
-        own = F.array(*[row(e["key"], F.lit(k), v[k]) for k in ("code", "balance", "nonce")])
+        own = F.array(*[F.struct(F.lit(k).alias("key"), v[k].alias("value")) for k in ("code", "balance", "nonce")])
         slots = F.coalesce(F.map_entries(v["storage"]), F.expr("cast(array() AS array<struct<key: string, value: string>>)"))
-        return F.array_compact(F.concat(own, F.transform(slots, lambda s: row(e["key"], s["key"], s["value"]))))
+        # entries that say "=" hold no object and aren't parsed
+        parts = F.filter(F.concat(own, slots), lambda s: s["value"].contains("{"))
+        return F.array_compact(F.transform(parts, lambda s: _once(F.from_json(s["value"], "struct<`+`: string, `-`: string, `*`: string>"), lambda p: row(e["key"], s["key"], p))))
 
     return F.flatten(F.transform(F.map_entries(accounts), one))
 

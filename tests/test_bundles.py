@@ -205,3 +205,18 @@ def test_quantities_as_digits(spark):
     got = spark.createDataFrame([(v,) for v in values], "x string").select("x", q.qty_digits("x").alias("d"), q.qty_u64("x").cast("string").alias("u")).collect()
     assert [r.d for r in got] == [str(q.parse_u128(v) or 0) if v is not None else "0" for v in values]
     assert [r.u for r in got] == [None if v is None else str(n if (n := q.parse_u128(v) or 0) < 1 << 64 else 0) for v in values]
+
+
+def test_state_diffs_parse_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from blockloom.operators.normalize import debug_diffs, replay_diffs
+
+    debug = '{"pre":{"0xA":{"nonce":7,"storage":{"s1":"0x1","s2":"0x2"}}},"post":{"0xA":{"nonce":"8","code":"0x6","storage":{"s3":"0x3","s1":"0x1"}},"0xB":{"balance":"0x5"}}}'
+    replay = '{"0xA":{"balance":{"*":{"from":"0x1","to":"0x5"}},"nonce":"=","code":{"-":"0x6"},"storage":{"s1":{"+":"0x4"},"s2":"=","s3":{"*":{"from":"0x1"},"-":"0x2"},"s4":"{"}}}'
+    rows = spark.createDataFrame([(debug, replay), (None, "x")], "debug string, replay string")
+    shown = rows.select(debug_diffs(F.col("debug"), F.lit(0)).alias("debug"), replay_diffs(F.col("replay"), F.lit(0)).alias("replay"))
+    first, second = ([[tuple(x)[1:] for x in r[c]] for c in ("debug", "replay")] for r in shown.collect())
+    assert first[0] == [("0xa", "code", "+", None, "0x6"), ("0xa", "nonce", "*", "0x7", "0x8"), ("0xa", "s1", "*", "0x1", "0x1"), ("0xa", "s2", "-", "0x2", None), ("0xa", "s3", "+", None, "0x3"), ("0xb", "balance", "+", None, "0x5")]
+    assert first[1] == [("0xa", "code", "-", "0x6", None), ("0xa", "balance", "*", "0x1", "0x5"), ("0xa", "s1", "+", None, "0x4"), ("0xa", "s3", "-", "0x2", None)] and second == [[], []]
+    assert str(shown._jdf.queryExecution().optimizedPlan()).count("from_json(") <= 4  # one for each text that is parsed
