@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockloom.functions.quantities import frame_kind, frame_type, is_address
 from blockloom.storage import Kept
@@ -30,42 +32,41 @@ def flatten(root: dict) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(FRAME_TYPE))
-def flatten_frames(tree: pd.Series) -> pd.Series:
-    """JSON of a root frame to its flattened frames; null for null."""
-    return tree.map(lambda x: None if x is None else [dict(zip(FRAME_TYPE.names, r, strict=True)) for r in flatten(json.loads(x))])
+def _text(value) -> str | None:
+    return value if value is None or type(value) is str else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-#: Levels of a tree that one pass expands; trees with more call lists than ``NESTED`` go through ``flatten``, as parsers bound nesting.
-LEVELS, NESTED = 4, 400
-_NO_CALLS = "cast(array() AS array<variant>)"
+def _walked(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Frames of trees (keys, result: JSON text) of any depth, in pre-order, ``MOST_FRAMES`` or a tree more at a time."""
+    for batch in batches:
+        keys, trees = batch.select(range(batch.num_columns - 1)), batch.column(batch.num_columns - 1)
+        rows, out = [], []
 
+        def flushed():
+            taken = keys.take(pa.array(rows, pa.int64()))
+            own = [pa.array(c, schema.field(taken.num_columns + i).type) for i, c in enumerate(zip(*out, strict=True))]
+            rows.clear(), out.clear()
+            return pa.RecordBatch.from_arrays([*taken.columns, *own], schema=schema)
 
-def _expanded(path: Column, node: Column, levels: int) -> Column:
-    """Frames of a VARIANT node and of what it calls, in pre-order, so many levels; a node at the last level keeps its calls as ``rest``.
-    ``up`` is how many places before a frame its caller stands."""
-    calls = F.try_variant_get(node, "$.calls", "array<variant>")
-    own = F.struct(
-        path.alias("path"), F.lit(0).alias("up"), F.coalesce(F.array_size(calls), F.lit(0)).cast("long").alias("subtraces"), *[F.try_variant_get(node, f"$.{n}", "string").alias(n) for n in _TEXT],
-        (F.when(F.array_size(calls) > 0, calls) if levels == 1 else F.lit(None).cast("array<variant>")).alias("rest"),
-    )
-    if levels == 1:
-        return F.array(own)
-    below = F.transform(F.coalesce(calls, F.expr(_NO_CALLS)), lambda c, i: _expanded(F.array_append(path, i.cast("long")), c, levels - 1))
+        for row, tree in enumerate(trees):
+            todo, first = [(json.loads(tree.as_py()), (), None)], len(out)
+            while todo:
+                frame, path, parent = todo.pop()
+                frame = frame if isinstance(frame, dict) else {}
+                calls, place = frame.get("calls"), len(out) - first
+                calls = calls if isinstance(calls, list) else ()
+                out.append((place, parent, path, len(calls), *[_text(frame.get(k)) for k in _TEXT]))
+                if calls:
+                    todo += [(c, (*path, i), place) for i, c in zip(range(len(calls) - 1, -1, -1), reversed(calls), strict=True)]
+            rows += [row] * (len(out) - first)
+            if len(out) >= MOST_FRAMES:
+                yield flushed()
+        if out:
+            yield flushed()
 
-    def joined(kids: Column) -> Column:
-        def one(kid: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(kids, F.lit(1), i), F.lit(1), lambda n, other: n + F.array_size(other))
-            return F.concat(F.array(kid[0].withField("up", before)), F.slice(kid, F.lit(2), F.array_size(kid)))
 
-        return F.flatten(F.transform(kids, one))
-
-    return F.concat(F.array(own), F.transform(F.array(below), joined)[0])  # an array of one, so that it is worked out once
-
-
-def _of_root() -> Column:
-    """Frames of the tree in ``result``, which is parsed once."""
-    return F.transform(F.array(F.parse_json("result")), lambda v: _expanded(F.expr("cast(array() AS array<bigint>)"), v, LEVELS))[0]
+#: Levels of a tree that is read with a schema; and frames of deeper trees that a task makes at a time.
+LEVELS, MOST_FRAMES = 4, 20_000
 
 
 def _node_type(levels: int) -> str:
@@ -106,36 +107,11 @@ def low_frames(tree: Column) -> Column:
     return F.transform(F.array(root), lambda v: one(v, F.expr("cast(array() AS array<bigint>)"), F.lit(0), F.lit(None).cast("int"), LEVELS))[0]  # an array of one, so that it is parsed once
 
 
-def _tree_frames(roots: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, place, parent, path, subtraces, texts) of all frames of trees (keys, result) of any depth: ``LEVELS`` levels a pass, each pass
-    a table, until none is left.
-
-    Ranks in pre-order are the order of paths within a tree; a frame's caller is the last one before it, in that order, with the path that
-    its own extends.
-    """
-    start = roots.select(*keys, F.explode(_of_root()).alias("f"))
-    now, shown = Kept(start.select(*keys, "f.*"), "frames"), [*keys, "path", "subtraces", *_TEXT]
-    out = now.df.select(*shown)
-    while not (deeper := now.df.filter("rest IS NOT NULL")).isEmpty():
-        calls = deeper.select(*keys, "path", F.posexplode("rest").alias("_i", "_node"))
-        found = calls.select(*keys, F.explode(_expanded(F.array_append("path", F.col("_i").cast("long")), F.col("_node"), LEVELS)).alias("f"))
-        now = Kept(found.select(*keys, "f.*"), "frames")
-        out = out.unionByName(now.df.select(*shown))
-    tree = Window.partitionBy("number", "tx")
-    ranked = out.withColumn("place", F.row_number().over(tree.orderBy("path")) - 1)
-    # each frame twice: as one that may be called from, by its path, and as one that was called, by its caller's
-    caller = F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1))
-    both = ranked.withColumn("_as", F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(0).alias("called")), F.struct(caller.alias("at"), F.lit(1).alias("called")))))
-    w = tree.orderBy("_as.at", "_as.called").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("parent", F.last(F.when(F.col("_as.called") == 0, F.col("place")), True).over(w)).filter("_as.called = 1")
-    return both.withColumn("parent", F.when(F.size("path") > 0, F.col("parent"))).select(*keys, "place", "parent", "path", "subtraces", *_TEXT)
-
-
 def frames_of(blocks: DataFrame) -> DataFrame:
     """A row for each frame of each block: number, tx (position), and the frame's columns. A null entry has none.
 
-    A tree with fewer call lists than ``LEVELS``, and so no deeper, is read with a schema of so many levels and expanded where it is, without
-    a shuffle; others go as VARIANT through ``_tree_frames``. Built-in functions alone, but for trees nested beyond what parsers take.
+    A tree with fewer call lists than ``LEVELS``, and so no deeper, is read with a schema of so many levels; others are walked. Both are
+    expanded where they are, without a shuffle.
     """
     # outer, as a filter inferred from an inner one would read each bundle once more
     per = blocks.select("number", F.posexplode_outer("debugFrames").alias("tx", "entry")).select("number", "tx", F.col("entry.txHash").alias("tx_hash"), F.col("entry.result").alias("result")).filter("result IS NOT NULL")
@@ -144,9 +120,10 @@ def frames_of(blocks: DataFrame) -> DataFrame:
     out = per.filter(F.col("_lists") < LEVELS).select(*keys, F.explode(low_frames(F.col("result"))).alias("f")).select(*keys, *[f"f.`{n}`" for n in shown])
     most = per.agg(F.max("_lists")).first()[0] or 0
     if most >= LEVELS:
-        out = out.unionByName(_tree_frames(per.filter(F.col("_lists").between(LEVELS, NESTED)).drop("_lists"), keys))
-    if most > NESTED:
-        out = out.unionByName(per.filter(F.col("_lists") > NESTED).withColumn("f", F.explode(flatten_frames("result"))).select(*keys, *[f"f.{n}" for n in shown]))
+        schema = out.schema
+        own = to_arrow_schema(schema)
+        deep = per.filter(F.col("_lists") >= LEVELS).select(*keys, "result").mapInArrow(lambda batches: _walked(batches, own), schema)
+        out = out.unionByName(deep)
     return out
 
 

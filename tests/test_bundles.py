@@ -220,3 +220,23 @@ def test_state_diffs_parse_each_text_once(spark):
     assert first[0] == [("0xa", "code", "+", None, "0x6"), ("0xa", "nonce", "*", "0x7", "0x8"), ("0xa", "s1", "*", "0x1", "0x1"), ("0xa", "s2", "-", "0x2", None), ("0xa", "s3", "+", None, "0x3"), ("0xb", "balance", "+", None, "0x5")]
     assert first[1] == [("0xa", "code", "-", "0x6", None), ("0xa", "balance", "*", "0x1", "0x5"), ("0xa", "s1", "+", None, "0x4"), ("0xa", "s3", "-", "0x2", None)] and second == [[], []]
     assert str(shown._jdf.queryExecution().optimizedPlan()).count("from_json(") <= 4  # one for each text that is parsed
+
+
+def test_deep_trees_are_walked_in_place(spark):
+    def nested(depth):
+        node = {"type": "CALL", "gas": 21000, "value": None, "error": True, "input": {"a": [1]}, "calls": "none"}
+        for _ in range(depth):
+            node = {"type": "CALL", "gas": "0x1", "calls": [node, None]}
+        return json.dumps(node, separators=(",", ":"))
+
+    rows = spark.createDataFrame([(k, [(nested(d), f"0x{d}"), None]) for k, d in enumerate((1, 2, 9, 30))], "number long, debugFrames array<struct<result string, txHash string>>")
+    frames = fr.frames_of(rows)
+    got = {}
+    for r in frames.orderBy("number", "place").collect():
+        got.setdefault(r.tx_hash, []).append(r)
+    assert {h: len(x) for h, x in got.items()} == {f"0x{d}": 2 * d + 1 for d in (1, 2, 9, 30)}
+    for d in (1, 2, 9, 30):
+        last = next(r for r in got[f"0x{d}"] if list(r.path) == [0] * d)
+        assert (last.type, last.gas, last.value, last.error, last.input, last.subtraces, last.place, last.parent) == ("CALL", "21000", None, "true", '{"a":[1]}', 0, d, d - 1)
+        assert all(r.type is None and r.parent == r.path[:-1].count(0) for r in got[f"0x{d}"] if r.path and r.path[-1] == 1)
+    assert "Exchange" not in frames._jdf.queryExecution().executedPlan().toString()
