@@ -124,12 +124,14 @@ def grouped_frames(frames: DataFrame) -> DataFrame:
 
 def flat_frame_issues(blocks: DataFrame, transactions: DataFrame, frames: DataFrame) -> DataFrame:
     """Blocks whose flat frames name another block, miss a transaction, or name one that isn't there."""
-    foreign = frames.join(blocks.select(*KEYS, F.lower("hash").alias("_h")), KEYS).filter("lower(block_hash) <> _h OR block_hash IS NULL").select(*KEYS).distinct()
-    own = frames.select(*KEYS, F.lower("tx_hash").alias("_t")).distinct()
-    txs = transactions.select(*KEYS, F.lower("tx_hash").alias("_t"))
-    missing = txs.join(own, [*KEYS, "_t"], "left_anti").select(*KEYS).distinct()
-    unknown = own.filter("_t IS NOT NULL").join(txs, [*KEYS, "_t"], "left_anti").select(*KEYS).distinct()
-    return _found(foreign, "contested", 1, "frames of another block").unionByName(_found(missing, "not ready", 7, "a transaction has no frames")).unionByName(_found(unknown, "invalid", 31, "frames of an unknown transaction"))
+    # counted by hash before anything is joined: a block has one row, or a few where hashes differ
+    named = frames.groupBy(*KEYS, F.lower("block_hash").alias("_b")).agg(F.lit(True).alias("_any"))
+    foreign = named.join(blocks.select(*KEYS, F.lower("hash").alias("_h")), KEYS).filter("_b <> _h OR _b IS NULL").select(*KEYS).distinct()
+    own, txs = (df.select(*KEYS, F.lower("tx_hash").alias("_t")).distinct().withColumn(there, F.lit(True)) for df, there in ((frames, "_own"), (transactions, "_tx")))
+    # both ways at once
+    alone = txs.join(own, [*KEYS, "_t"], "full_outer").filter("_own IS NULL OR _tx IS NULL AND _t IS NOT NULL").select(*KEYS, F.col("_own").isNull().alias("_missing")).distinct()
+    level, rank, reason = (F.when(F.col("_missing"), a).otherwise(b) for a, b in ((F.lit(LEVELS["not ready"]), F.lit(LEVELS["invalid"])), (F.lit(7), F.lit(31)), (F.lit("a transaction has no frames"), F.lit("frames of an unknown transaction"))))
+    return _found(foreign, "contested", 1, "frames of another block").unionByName(alone.select(*KEYS, level.alias("level"), rank.alias("rank"), reason.alias("reason")))
 
 
 def state_changes(pre: DataFrame, post: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -127,6 +127,11 @@ def frames_of(blocks: DataFrame) -> DataFrame:
     return out
 
 
+def _found(rows: DataFrame, violation: Column) -> DataFrame:
+    """Rows with a violation, which is worked out once: generated, as a filter on a column would hold its expression again."""
+    return rows.select("*", F.explode_outer(F.array(violation)).alias("violation")).filter("violation IS NOT NULL")
+
+
 def structure_violations(frames: DataFrame) -> DataFrame:
     """(number, tx, place, violation): the first frame in pre-order that no node can have written."""
     kind = frame_kind("type")
@@ -140,29 +145,41 @@ def structure_violations(frames: DataFrame) -> DataFrame:
         .when(call_like & F.col("input").isNull(), "missing input")
         .when((call_like | kind.isin("CREATE", "CREATE2")) & F.col("gasUsed").isNull(), "missing gasUsed")
     )
-    found = frames.withColumn("violation", bad).filter("violation IS NOT NULL")
+    found = _found(frames, bad)
     return found.groupBy("number", "tx").agg(F.min_by(F.struct("place", "violation"), "place").alias("v")).select("number", "tx", "v.*")
 
 
+def _account(name: Column | str) -> Column:
+    """An account for comparing without regard to case, in 21 bytes where it is an address; others keep their text."""
+    c = F.col(name) if isinstance(name, str) else name
+    twenty = F.when((F.length(c) == 42) & (F.lower(F.substring(c, 1, 2)) == "0x"), F.unhex(F.substring(c, 3, 40)))
+    return F.coalesce(F.concat(F.lit(b"\x01"), twenty), F.concat(F.lit(b"\x00"), F.lower(c).cast("binary")))
+
+
 def tree_violations(frames: DataFrame, txs: DataFrame) -> DataFrame:
     """(number, tx, place, violation) of frames that contradict their transaction or their caller.
 
     A root has its transaction's sender and receiver; a frame's ``from`` is the account in whose name its caller runs:
     the caller's ``to``, or its ``from`` where the caller is a delegated call. ``txs``: number, tx, from_address, to_address.
     """
-    own = F.when(frame_kind("type").isin("DELEGATECALL", "CALLCODE"), F.lower("from")).otherwise(F.lower("to"))
-    parents = frames.select("number", "tx", F.col("place").alias("parent"), own.alias("context"))
-    nested = frames.filter("parent IS NOT NULL").join(parents, ["number", "tx", "parent"])
-    nested = nested.filter("context IS NOT NULL AND lower(`from`) <> context").select("number", "tx", "place", F.lit("from is not the executing account").alias("violation"))
-    roots = frames.filter("parent IS NULL").join(txs, ["number", "tx"])
-    create = frame_type("type") == "create"
+    own = F.when(frame_kind("type").isin("DELEGATECALL", "CALLCODE"), F.col("from")).otherwise(F.col("to"))
+    # each frame twice: as one that calls, at its place, and as one that was called, at its caller's; a window over both needs no join
+    caller = F.struct(F.col("place").alias("at"), _account(own).alias("context"), F.lit(None).cast("binary").alias("name"), F.lit(None).cast("int").alias("place"))
+    called = F.struct(F.col("parent").alias("at"), F.lit(None).cast("binary").alias("context"), _account("from").alias("name"), F.col("place").alias("place"))
+    at = frames.select("number", "tx", F.inline_outer(F.array(caller, called))).filter("at IS NOT NULL")
+    w = Window.partitionBy("number", "tx", "at")
+    nested = at.withColumn("_least", F.min("context").over(w)).withColumn("_most", F.max("context").over(w)).filter("name <> _least OR name <> _most")
+    nested = nested.select("number", "tx", "place", F.lit("from is not the executing account").alias("violation"))
+    create = (frame_type("type") == "create").alias("create")
+    roots = frames.filter("parent IS NULL").select("number", "tx", "place", create, _account("from").alias("from"), _account("to").alias("to"))
+    roots = roots.join(txs.select("number", "tx", _account("from_address").alias("sender"), _account("to_address").alias("receiver")), ["number", "tx"])
     bad = (
-        F.when(F.lower("from") != F.lower("from_address"), "root from is not the sender")
-        .when(F.col("to_address").isNull() & ~create, "a creation's root must create")
-        .when(F.col("to_address").isNotNull() & create, "a call's root must not create")
-        .when(F.col("to_address").isNotNull() & (F.lower("to") != F.lower("to_address")), "root to is not the receiver")
+        F.when(F.col("from") != F.col("sender"), "root from is not the sender")
+        .when(F.col("receiver").isNull() & ~F.col("create"), "a creation's root must create")
+        .when(F.col("receiver").isNotNull() & F.col("create"), "a call's root must not create")
+        .when(F.col("receiver").isNotNull() & (F.col("to") != F.col("receiver")), "root to is not the receiver")
     )
-    roots = roots.withColumn("violation", bad).filter("violation IS NOT NULL").select("number", "tx", "place", "violation")
+    roots = _found(roots, bad).select("number", "tx", "place", "violation")
     return roots.unionByName(nested)
 
 

@@ -287,8 +287,10 @@ def logs_of_blocks(s, d):
 
 @_register("SELECT t.chain_id, t.number, t.tx, t.tx_hash, r.tx_hash AS receipt_tx_hash, r.gas_used AS receipt_gas_used FROM txs t LEFT JOIN (SELECT * FROM txs WHERE flag <> 'R') r USING (chain_id, number, tx)")
 def receipts_by_position(s, d):
-    t = transactions(s, d)
-    return co.with_receipts(t.select("chain_id", "number", "tx", "tx_hash"), t.filter("flag <> 'R'").select("chain_id", "number", "tx", "tx_hash", "gas_used"))
+    t = transactions(s, d).select("chain_id", "number", "tx", "key", "part", "gas_used", "flag")
+    both = co.with_receipts(t.drop("gas_used", "flag"), t.filter("flag <> 'R'").drop("flag"))
+    # hashes are made of what names them behind the join, so that its shuffles don't carry them
+    return both.selectExpr("chain_id", "number", "tx", "md5(concat('t', key, '/', part)) AS tx_hash", "md5(concat('t', receipt_key, '/', receipt_part)) AS receipt_tx_hash", "receipt_gas_used")
 
 
 @_register("SELECT chain_id, number, (row_number() OVER (PARTITION BY chain_id, number ORDER BY tx, supp % 3, tx_hash) - 1)::BIGINT AS log_index, tx FROM txs")

@@ -24,19 +24,22 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each line; ``tx`` is its place, gas is its quantity."""
-    return spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(
-        "l_orderkey DIV 1000 AS chain_id",
-        f"{_HEIGHT.format(k=_K.replace('o_', 'l_'))} AS number",
-        "cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS bigint) AS tx",
-        "md5(concat('t', l_orderkey, '/', l_partkey)) AS tx_hash",
-        "md5(concat('b', if(l_returnflag = 'A' AND l_linestatus = 'O', l_orderkey + 1, l_orderkey))) AS block_hash",
-        "cast(l_quantity AS bigint) AS gas_used",
-        "l_orderkey AS key",
-        "l_linenumber AS line",
-        "l_partkey AS part",
-        "l_suppkey AS supp",
-        "l_returnflag AS flag",
+    """A row for each line; ``tx`` is its place, gas is its quantity. What is made of a line's columns is made behind the shuffle that numbers them."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(
+        "l_orderkey AS key", "l_linenumber AS line", "l_partkey AS part", "l_suppkey AS supp", "l_returnflag AS flag", "l_linestatus AS _status", "l_quantity AS _quantity", "l_extendedprice AS _price"
+    )
+    return lines.selectExpr(
+        "key DIV 1000 AS chain_id",
+        f"{_HEIGHT.format(k='key % 1000')} AS number",
+        "cast(row_number() OVER (PARTITION BY key ORDER BY line, part, supp, _price) - 1 AS bigint) AS tx",
+        "md5(concat('t', key, '/', part)) AS tx_hash",
+        "md5(concat('b', if(flag = 'A' AND _status = 'O', key + 1, key))) AS block_hash",
+        "cast(_quantity AS bigint) AS gas_used",
+        "key",
+        "line",
+        "part",
+        "supp",
+        "flag",
     )
 
 

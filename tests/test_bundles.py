@@ -240,3 +240,33 @@ def test_deep_trees_are_walked_in_place(spark):
         assert (last.type, last.gas, last.value, last.error, last.input, last.subtraces, last.place, last.parent) == ("CALL", "21000", None, "true", '{"a":[1]}', 0, d, d - 1)
         assert all(r.type is None and r.parent == r.path[:-1].count(0) for r in got[f"0x{d}"] if r.path and r.path[-1] == 1)
     assert "Exchange" not in frames._jdf.queryExecution().executedPlan().toString()
+
+
+def test_callers_are_found_without_a_join(spark):
+    odd = ["0X" + "aB" * 20, "0x" + "zz" * 20, "", None, "É" * 42, "0x1"]
+    frames = [(1, 0, 0, None, "CALL", A, odd[0])] + [(1, 0, 1 + i, 0, "CALL", x, A) for i, x in enumerate(odd)] + [(1, 1, 0, None, "DELEGATECALL", odd[4].lower(), "x"), (1, 1, 1, 0, "CALL", odd[4], None), (1, 1, 2, 1, "CALL", A, A), (1, 1, 3, 9, "CALL", A, A)]
+    frames = spark.createDataFrame([(*f[:4], [] if f[3] is None else [0], *f[4:]) for f in frames], "number long, tx long, place int, parent int, path array<long>, type string, `from` string, `to` string")
+    txs = spark.createDataFrame([(1, 0, A.lower(), A.upper()), (1, 1, odd[1], "X")], "number long, tx long, from_address string, to_address string")
+    found = fr.tree_violations(frames, txs)
+    name = "from is not the executing account"
+    assert sorted(tuple(r)[1:] for r in found.collect()) == [(0, 2, name), (0, 3, name), (0, 5, name), (0, 6, name), (1, 0, "root from is not the sender")]
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Join") == 1  # roots with their transactions
+
+
+def test_lines_of_frame_queries_are_shuffled_once(spark, sf):
+    from blockloom.plans import catalog
+
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        plans = {n: catalog.QUERIES[n](spark, sf)._jdf.queryExecution().executedPlan().toString() for n in ("call_trees", "frame_reports_rejected", "receipts_by_position", "flat_frame_checks")}
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    exchanges = {n: [line for line in p.splitlines() if " Exchange " in line] for n, p in plans.items()}
+    assert {n: len(x) for n, x in exchanges.items()} == {"call_trees": 5, "frame_reports_rejected": 1, "receipts_by_position": 4, "flat_frame_checks": 6}
+    # what a join shuffles holds no hash that can be made behind it
+    below = plans["receipts_by_position"].split("SortMergeJoin")[1]
+    assert "md5" not in below
+    assert "IS NOT NULL" not in plans["frame_reports_rejected"] and plans["frame_reports_rejected"].count("unknown frame type") == 1
