@@ -37,7 +37,7 @@ from .common import arrow_rows, partitions, slices, written
 #: (ids, bits) of each selector; fixed by the published format.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30)]
 _U64 = np.uint64
-ESCAPE, BLOCK_WORDS, SEGMENT_IDS, CACHE_ROWS, NONE = 15, 4096, 1 << 19, 800_000, -(1 << 63)
+ESCAPE, BLOCK_WORDS, SEGMENT_IDS, CACHE_ROWS, GATHERED, NONE = 15, 4096, 1 << 19, 800_000, 8 << 20, -(1 << 63)
 _WIDTHS = np.array(sorted({b for _, b in SELECTORS}), np.uint64)
 _NEED = np.searchsorted(_U64(1) << _WIDTHS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.int8)
 _HEAD = struct.Struct("<4sHHQQIIQI")
@@ -205,16 +205,22 @@ def _learn(tok: Tokenizer, words: Iterable[str], cache: dict[str, bytes]) -> Non
     """Puts the ids of words that the cache lacks into it: plain ones by their parts, through the model itself, others through the library."""
     model, odd = tok.model.tokenize, []
     for w in words:
-        if _PLAIN.fullmatch(w):
+        if w.isascii() and w.isalpha():
+            parts = (w,)
+        elif _PLAIN.fullmatch(w):
             parts = _PARTS.findall(w)
-            for p in parts:
-                if p not in cache:
-                    ids = [t.id for t in model(p.lower().encode().decode("latin-1").translate(_LETTERS))]
-                    cache[p] = struct.pack(f"<{len(ids)}I", *ids)
-            if len(parts) > 1:
-                cache[w] = b"".join([cache[p] for p in parts])
         else:
             odd.append(w)
+            continue
+        for p in parts:
+            if p not in cache:
+                low = p.lower()
+                if low not in cache:  # printing ASCII is written as it is
+                    ids = [t.id for t in model(low if low.isascii() else low.encode().decode("latin-1").translate(_LETTERS))]
+                    cache[low] = struct.pack(f"<{len(ids)}I", *ids)
+                cache[p] = cache[low]
+        if len(parts) > 1:
+            cache[w] = b"".join([cache[p] for p in parts])
     if odd:
         cache.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(odd, tok.encode_batch(odd, add_special_tokens=False), strict=True))
 
@@ -228,8 +234,11 @@ def encode_texts(tok: Tokenizer, texts: pa.Array, cache: dict[str, bytes], end:
         for w in list(cache)[CACHE_ROWS // 2 :]:
             del cache[w]
     cache.setdefault("", b"")
-    _learn(tok, [w for w in words if w not in cache], cache)
-    raw = [cache[w] for w in words]
+    raw = list(map(cache.get, words))
+    if new := [i for i, ids in enumerate(raw) if ids is None]:
+        _learn(tok, [words[i] for i in new], cache)
+        for i in new:
+            raw[i] = cache[words[i]]
     flat, lens = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
     at = coded.indices.to_numpy()
     counts, first = lens[at], (np.cumsum(lens) - lens)[at]
@@ -240,6 +249,19 @@ def encode_texts(tok: Tokenizer, texts: pa.Array, cache: dict[str, bytes], end:
     return np.insert(ids, np.repeat(ends, len(end)), np.tile(np.array(end, "<u4"), len(ends))), sizes + len(end)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``least`` bytes or a batch more: the more texts, the fewer distinct words a text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes, sorts by id and writes; returns the table (bucket, segment, data) of segment files.
 
@@ -256,7 +278,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok, cache = tokenizer(tokenizer_path), _CACHES.setdefault(tokenizer_path, {})
-        for batch in slices(batches, text):
+        for batch in gathered(slices(batches, text)):
             ids, counts = encode_texts(tok, batch.column(1), cache, [end_id])
             names, spread = batch.column(0).fill_null(NONE).to_numpy(), batch.column(2).to_numpy().view(np.uint64) >> _U64(32)
             low, high = np.searchsorted(bounds, names, "left"), np.searchsorted(bounds, names, "right")

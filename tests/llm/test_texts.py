@@ -232,3 +232,25 @@ def ring_by_hand(rows, shards):
                 out[queue.pop(0)[1][1]] = (s, full[s])
                 full[s] += 1
     return [[i, *out[i]] for i in rows["doc_id"].tolist()]
+
+
+def test_ids_of_small_batches_are_made_together():
+    tok = word_ids.tokenizer(WORDS)
+    texts = ["Word word WORD", "Étre étre x9,y", None, "word don't"] * 50
+    one = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    small = [one.slice(k, 10) for k in range(0, len(texts), 10)]
+    got = list(word_ids.gathered(iter(small), 1 << 20))
+    assert len(got) == 1 and got[0].column(0).to_pylist() == texts and list(word_ids.gathered(iter([]))) == []
+    assert sum(b.num_rows for b in word_ids.gathered(iter(small), 300)) == len(texts)
+    cache, asked = {}, []
+
+    class Seen(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    cache = Seen()
+    ids, counts = word_ids.encode_texts(tok, got[0].column(0), cache, [1])
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+    assert len(asked) == len(set(asked))  # a word is looked up once
