@@ -109,34 +109,64 @@ def utf8(col: str = "text"):
     return F.encode(F.coalesce(F.col(col), F.lit("")), "UTF-8")
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable) of all nodes but the smallest ones, over the edges (a, b)."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least, after = np.minimum(label[x], label[y]), label.copy()
+        for ends in (label[x], label[y]):
+            np.minimum.at(after, ends, least)
+        after = after[after]
+        if (after == label).all():
+            rest = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[rest], nodes[label[rest]]
+        label = after
+
+
+def _in_stars(most: int = 1 << 18):
+    """Edges (a, b) of a task as stars (u, v), ``most`` edges at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))], ["u", "v"])
+
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            n += batch.num_rows
+            if n >= most:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    return run
+
+
 def components(edges: DataFrame, what: str, rounds: int = 40) -> DataFrame:
     """(node, component) of an undirected edge table (a, b), component being the smallest node reachable.
 
-    Large-star and small-star rounds over written tables; each row moves to the smallest neighbour of its node, so no
-    node's list of neighbours is ever gathered in one place. Nodes' smallest neighbours are a table of their own, so that Spark
-    can split the rows of a node with many neighbours in the join. Nothing but a count and a fingerprint reaches the driver.
+    Each task makes stars of its edges, then come large-star and small-star rounds over written tables of edges from a larger to a
+    smaller node, until these are stars. A row moves to the smallest neighbour of its node, so no node's list of neighbours is
+    ever gathered in one place; smallest neighbours are joined as a table of their own, so that Spark can split the rows of a node
+    with many neighbours. Nothing but whether it is done reaches the driver.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{what}-edges")
-
-    def print_of(rows: DataFrame) -> tuple:
-        """Count and two sums of hashes of a table's distinct rows: the same for the same rows."""
-        return rows.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]).first()
-
-    was = print_of(now)
-    for _ in range(rounds if was[0] else 0):
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m")), f"{what}-least")
-        large = both.filter("v > u").join(near, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(least, F.col("u") == F.col("k"))
-        small = small.select("u", F.col("m").alias("v")).unionAll(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        after = written(small.filter("u <> v").distinct(), f"{what}-star")
-        discard(now, near)
-        now, before, was = after, was, print_of(after)
-        if was == before:
+    now = written(edges.select("a", "b").filter("a <> b").mapInArrow(_in_stars(), "u long, v long").distinct(), f"{what}-edges")
+    for _ in range(rounds):
+        # stars: no node has two smaller neighbours, or a smaller one and a larger one
+        ends = now.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(now.select(F.col("v").alias("k"), F.lit(0), F.lit(1)))
+        if ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
             break
+        least = now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        large = now.join(least, F.col("v") == F.col("k"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.expr("if(v = m, array(named_struct('u', u, 'm', m)), array(named_struct('u', u, 'm', m), named_struct('u', v, 'm', m)))")).alias("x"))
+        after = written(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).distinct(), f"{what}-star")
+        discard(now)
+        now = after
     else:
-        if was[0]:
-            raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -230,15 +230,15 @@ def reachable(ids: list[int], sizes: np.ndarray, vectors: list[np.ndarray], side
     return found
 
 
-def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan: Plan, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of side 0 and side 1, or among all if there is but one side; sets of one label
-    are connected already."""
-    forest = Forest(np.arange(len(ids)) if labels is None else np.unique(labels, return_inverse=True)[1])
+def links_within(sets: list[np.ndarray], side: np.ndarray, plan: Plan, labels: np.ndarray) -> np.ndarray:
+    """The smallest label that each set reaches over links between sets of side 0 and side 1, or among all if there is but one side;
+    sets of one label are connected already."""
+    names, first = np.unique(labels, return_inverse=True)
+    forest = Forest(first.copy())
     vectors, sizes = np.array([count_vector(s) for s in sets]), np.array([len(s) for s in sets], np.int64)
     two = side.any() and not side.all()
-    own = np.flatnonzero(side) if two else np.arange(len(ids))
+    own = np.flatnonzero(side) if two else np.arange(len(sets))
     tree = RTree(vectors[own], sizes[own])
-    found = []
     for a in np.flatnonzero(side == 0) if two else own:
         if forest.parts == 1:
             break
@@ -254,8 +254,9 @@ def links_within(ids: list[int], sets: list[np.ndarray], side: np.ndarray, plan:
             at[at == len(y)] = 0
             if int((y[at] == x).sum()) >= plan.overlap(int(sizes[a] + sizes[b])):
                 forest.join(a, b)
-                found.append((ids[a], ids[b]))
-    return found
+    least = np.full(len(names), len(names))
+    np.minimum.at(least, forest.labels, first)
+    return names[least[forest.labels]]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -339,46 +340,69 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         texts = source.join(rows.select("id").distinct().hint("merge"), "id").mapInArrow(sets_of, "id long, f1 long, f2 long, tokens binary")
         return texts.join(rows.hint("merge"), ["id", "f1", "f2"]).dropDuplicates(["id", "f1", "f2"])
 
-    def verified(dealt: DataFrame, what: str) -> DataFrame:
-        """Links of rows (bundle, i, j, side, id, label, tokens)."""
+    def verified(dealt: DataFrame, what: str, each: bool = False) -> DataFrame:
+        """Smallest labels that labels reach over links of rows (bundle, i, j, side, id, label, tokens): as (a, b) of those that are
+        not their own, or of each row of a block by itself with what else it holds."""
+        rest = ["blocks", "f1", "f2", "n"] if each else []
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (_, i, j), rows in _runs(batches, 3):
-                side, ids, labels, raw = zip(*rows, strict=True)
-                if len(ids) > 1 and (i == j or side[0] != side[-1]):
-                    yield _pairs(links_within(ids, [np.frombuffer(x, _U64) for x in raw], np.array(side), plan, np.array(labels)))
+            for (bundle, i, j), rows in _runs(batches, 3):
+                side, labels, raw, *more = zip(*rows, strict=True)
+                labels = np.array(labels, np.int64)
+                if len(labels) > 1 and (i == j or side[0] != side[-1]):
+                    to = links_within([np.frombuffer(x, _U64) for x in raw], np.array(side), plan, labels)
+                elif each:
+                    to = labels
+                else:
+                    continue
+                if each:
+                    m = len(labels)
+                    yield pa.RecordBatch.from_arrays([pa.array([bundle] * m, pa.int64()), pa.array([i] * m, pa.int32()), pa.array(labels), pa.array(to), pa.array(more[0], pa.int32()), *[pa.array(x, pa.int64()) for x in more[1:]]], ["bundle", "block", "id", "label", *rest])
+                else:
+                    yield _pairs(sorted({(x, y) for x, y in zip(labels.tolist(), to.tolist(), strict=True) if x != y}))
 
-        dealt = dealt.select("bundle", "i", "j", "side", "id", "label", "tokens").repartition(n_parts, "bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "side", "id")
-        return written(dealt.mapInArrow(verify, "a long, b long"), what)
+        dealt = dealt.select("bundle", "i", "j", "side", "label", "tokens", *rest).repartition(n_parts, "bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "side", "label")
+        return written(dealt.mapInArrow(verify, "bundle long, block int, id long, label long, blocks int, f1 long, f2 long, n long" if each else "a long, b long"), what)
 
-    alone = placed.select("bundle", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "id", "f1", "f2", F.col("id").alias("label"))
-    links = verified(with_sets(alone), "links-within")
-    several = written(placed.filter("blocks > 1"), "several")
+    # a set is in one block by itself, so what it reaches there is a label that holds for the whole block
+    alone = placed.select("bundle", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "id", "f1", "f2", F.col("id").alias("label"), "blocks", "n")
+    within = verified(with_sets(alone), "links-within", each=True)
+    several = within.filter("blocks > 1")
+    labels, links = within.select("id", "label"), None
     if not several.isEmpty():
-        ids = several.select("id")
-        labels = components(links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi"), "blocks").select(F.col("node").alias("id"), F.col("component").alias("label"))
-        several = written(several.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
         # one set of each block's largest group
         groups = several.groupBy("bundle", "block", "label").agg(F.count("*").alias("m"), F.min(F.struct("id", "f1", "f2")).alias("one"))
         chosen = groups.groupBy("bundle", "block").agg(F.max_by(F.struct("one", "label"), F.struct("m", "label")).alias("x"))
         chosen = written(chosen.select("bundle", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "x.one.id", "x.one.f1", "x.one.f2", "x.label"), "chosen")
-        across = verified(with_sets(chosen), "links-of-blocks")
+        # those of a bundle meet in one block, and a label is in one bundle: its way is known after that
+        across = verified(with_sets(chosen), "links-of-blocks").select(F.col("a").alias("label"), F.col("b").alias("to"))
+        several = written(several.join(across, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "merged")
+        labels = within.filter("blocks = 1").select("id", "label").unionAll(several.select("id", "label"))
         # all that is outside the bundle's largest group with all of the bundle
-        merged = components(across.join(chosen.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(chosen.select(F.col("id").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
-        several = written(several.join(merged.select(F.col("node").alias("label"), F.col("component").alias("to")).hint("merge"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "merged")
         groups = several.groupBy("bundle", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
         main = groups.groupBy("bundle").agg(F.max_by(F.struct("label", "n"), F.struct("m", "label")).alias("x"), F.sum("n").alias("all")).filter("all > x.n")
         main = written(main.select("bundle", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.n")) / BLOCK_TOKENS).cast("int").alias("rest"), F.ceil(F.col("x.n") / BLOCK_TOKENS).cast("int").alias("own")), "main")
-        spread = several.join(main.hint("merge"), "bundle").withColumn("inside", F.col("label") == F.col("main"))
+        spread = several.drop("block", "blocks").join(main.hint("merge"), "bundle").withColumn("inside", F.col("label") == F.col("main"))
         # blocks 0 to rest - 1 hold what is outside, the others the largest group, whose own pairs are connected
         spread = spread.withColumn("block", F.expr("cast(if(inside, rest + pmod(xxhash64(id, 1), own), pmod(xxhash64(id, 1), rest)) AS int)")).withColumn("others", F.expr("if(inside, rest, rest + own)"))
-        left = verified(_in_pairs(with_sets(spread.select("bundle", "block", "others", "id", "f1", "f2", "label")), ["bundle"], "others"), "links-of-rest")
-        links = links.unionAll(across).unionAll(left)
+        if not main.isEmpty():
+            links = verified(_in_pairs(with_sets(spread.select("bundle", "block", "others", "id", "f1", "f2", "label")), ["bundle"], "others"), "links-of-rest")
+    labels = labels.dropDuplicates(["id"])
     # rows of one id with several sets tie these sets together
-    ties = known.join(reps, ["f1", "f2", "n"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    again = known.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
-    ties = ties.join(again, F.col("b") == again["id"], "left_semi").select("a", "b")
-    linked = components(links.unionAll(ties), "links")
+    again = written(known.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"), "again")
+    if not again.isEmpty():
+        ties = known.join(reps, ["f1", "f2", "n"]).filter("id <> rep").join(again, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        for end in ("a", "b"):
+            ties = ties.join(labels.select(F.col("id").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        ties = ties.select("a", "b")
+        links = ties if links is None else links.unionAll(ties)
+    linked = labels.select(F.col("id").alias("node"), F.col("label").alias("component"))
+    if links is not None:
+        moved = written(components(links, "links"), "moved")
+        moved = moved.select(F.col("node").alias("label"), F.col("component").alias("to"))
+        # what only ties reach has no label of a block
+        lone = moved.join(labels.select(F.col("id").alias("label")), "label", "left_anti").select(F.col("label").alias("id"), "label")
+        linked = labels.unionAll(lone).join(moved, "label", "left").select(F.col("id").alias("node"), F.coalesce("to", "label").alias("component"))
     out = members.join(reps, ["f1", "f2", "n"], "left").withColumn("node", F.coalesce("rep", "id"))
     out = out.join(linked, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("id")).alias("component_id"))

@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from blockloom.llm import block_mix, nn_descent, shingle_join, toxicity
+from blockloom.llm import block_mix, common, nn_descent, shingle_join, toxicity
 from blockloom.llm.common import components
 from blockloom.llm.nn_descent import near_duplicates
 from blockloom.llm.pieces import model
@@ -112,6 +113,61 @@ def test_components(spark):
     assert {got[i] for i in range(1, 41)} == {1} and got[100] == got[60] == got[50] == 50 and got[201] == 200 and len(got) == 45
 
 
+def test_components_of_stars_need_no_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(common, "written", lambda df, what, f=common.written: tables.append(what) or f(df, what))
+    for edges in ([(9, 1), (1, 5), (8, 2), (2, 2)], [(1, 2)], []):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").coalesce(1), "t").collect()}
+        assert got == {i: 2 if i in (8, 2) and len(edges) > 1 else 1 for e in edges for i in e}
+    assert tables == ["t-edges"] * 3
+    rng = np.random.default_rng(3)
+    names = rng.permutation(300)
+    edges = [(int(names[i]), int(names[i + 1])) for i in range(299) if i % 100 != 99]
+    rows = components(spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))], "a long, b long").repartition(7), "t").collect()
+    assert len(rows) == 300 and {r.node: r.component for r in rows} == {int(n): int(min(names[i // 100 * 100 : i // 100 * 100 + 100])) for i, n in enumerate(names)}
+
+
+def test_stars_of_parts_of_a_task():
+    edges = [(int(a), int(b)) for a, b in np.random.default_rng(6).integers(0, 40, (60, 2))]
+    for most in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pydict({"a": [a for a, _ in edges[i : i + 3]], "b": [b for _, b in edges[i : i + 3]]}) for i in range(0, 60, 3)]
+        found = [(u, v) for x in common._in_stars(most)(iter(batches)) for u, v in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        assert all(u > v for u, v in found)
+        for some in (edges, found):
+            u, v = common.stars(*np.array(some).T)
+            assert dict(zip(u.tolist(), v.tolist(), strict=True)) == _smallest(edges)
+
+
+def _smallest(edges):
+    at = {i: i for e in edges for i in e}
+    while any(at[a] != at[b] for a, b in edges):
+        for a, b in edges:
+            at[a] = at[b] = min(at[a], at[b])
+    return {i: least for i, least in at.items() if i != least}
+
+
+def test_blocks_name_their_own_components(spark, monkeypatch):
+    """Only links between blocks need rounds once more: with one block for each bundle there are none."""
+    rounds, words = [], [f"w{i}" for i in range(60)]
+    monkeypatch.setattr(shingle_join, "components", lambda edges, what, f=components: rounds.append(what) or f(edges, what))
+    rows = [(100 - 4 * k - i, " ".join([f"k{k}", *words[k:], *(f"end{k}.{j}" for j in range(i))])) for k in range(0, 20, 7) for i in range(4)]
+    comp, sizes = brute(rows, 3, 90, 100)
+    for tokens, passes in ((1 << 16, ["bundles"]), (100, ["bundles", "links"])):
+        rounds.clear()
+        monkeypatch.setattr(shingle_join, "BLOCK_TOKENS", tokens)
+        got = shingle_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+        assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (comp[i], sizes[i]) for i in comp} and set(rounds) <= set(passes)
+
+
+@pytest.mark.parametrize("tokens", [1 << 16, 50])
+def test_ids_of_several_texts_tie_their_sets(spark, monkeypatch, tokens):
+    monkeypatch.setattr(shingle_join, "BLOCK_TOKENS", tokens)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(11, a), (2, a + " more"), (13, b), (4, b + " more"), (7, a + " else"), (7, b + " else"), (18, c), (19, c), (19, d), (20, d), (21, "alone"), (None, a)]
+    got = {(r.doc_id, r.component_id) for r in shingle_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {(i, 2) for i in (2, 4, 7, 11, 13)} | {(i, 18) for i in (18, 19, 20)} | {(21, 21), (None, None)}
+
+
 def test_mix(spark, odd, none, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (block_mix.mix(d).toPandas().sort_values("doc_id").reset_index(drop=True) for d in (docs, docs.repartition(5)))
