@@ -270,3 +270,30 @@ def test_lines_of_frame_queries_are_shuffled_once(spark, sf):
     below = plans["receipts_by_position"].split("SortMergeJoin")[1]
     assert "md5" not in below
     assert "IS NOT NULL" not in plans["frame_reports_rejected"] and plans["frame_reports_rejected"].count("unknown frame type") == 1
+
+
+def test_kinds_of_frames_are_worked_out_once(spark):
+    a = A.lower()
+    kinds = [
+        ({"type": "CALL", "from": A, "to": A, "value": "0x1", "gas": "0x2", "gasUsed": "0x3", "input": "0x4", "output": "0x5"}, {"type": "call", "action": {"callType": "call", "from": a, "to": a, "value": "0x1", "gas": "0x2", "input": "0x4"}, "result": {"gasUsed": "0x3", "output": "0x5"}}),
+        ({"type": "staticcall", "from": A, "to": A, "error": "out of gas"}, {"error": "out of gas", "type": "call", "action": {"callType": "staticcall", "from": a, "to": a, "input": "0x"}}),
+        ({"type": "CALL", "from": A}, None),
+        ({"type": "CREATE2", "from": A, "to": A, "gas": "0x2", "output": "0x5", "input": "0x6"}, {"type": "create", "action": {"from": a, "gas": "0x2", "init": "0x6"}, "result": {"gasUsed": "", "code": "0x5", "address": a}}),
+        ({"type": "CREATE", "gasUsed": "", "output": "", "to": ""}, {"type": "create", "action": {"init": "0x"}}),
+        ({"type": "SUICIDE", "from": A, "to": A, "value": "0x7", "gasUsed": "0x1"}, {"type": "selfdestruct", "action": {"address": a, "refundAddress": a, "balance": "0x7"}}),
+        ({"type": "STOP", "to": A}, None), ({"type": "odd", "to": A}, None), ({"to": A}, None),
+    ]
+    root = {"type": "CALL", "from": A, "to": A, "calls": [k for k, _ in kinds]}
+    deep = {"type": "CALL", "from": A, "to": A, "calls": [root]}
+    for _ in range(fr.LEVELS):
+        deep = {"type": "CALL", "from": A, "to": A, "calls": [deep]}
+    lines = [(json.dumps(RAW | {"debugFrames": [{"result": t} if t else t for t in trees]}),) for trees in ([root, None, {"type": "STOP"}], [None, deep, root])]
+    rows = normalize(parse_bundles(spark.createDataFrame(lines, "value string")), with_traces=True)
+    low, high = (json.loads(r.json_line)["traces"] for r in rows.collect())
+    want = [{"subtraces": 0} | w | {"traceAddress": [i]} for i, (_, w) in enumerate(kinds) if w]
+    assert [{k: v for k, v in t.items() if k != "transactionIndex"} for t in low[1:]] == want and {t["transactionIndex"] for t in low} == {0}
+    assert list(low[1]["action"]) == ["callType", "from", "to", "value", "gas", "input"]
+    assert [t["transactionIndex"] for t in high] == [1] * (fr.LEVELS + 2 + len(want)) + [2] * (1 + len(want)) and [t | {"transactionIndex": 0} for t in high if t["transactionIndex"] == 2] == low
+    plan = str(rows._jdf.queryExecution().optimizedPlan())
+    # a frame's kind and whether its tree stopped; and what Python reads is a text
+    assert plan.count("upper(") <= 2 and "trees(" in plan and "THEN debugFrames" not in plan
