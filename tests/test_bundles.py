@@ -297,3 +297,32 @@ def test_kinds_of_frames_are_worked_out_once(spark):
     plan = str(rows._jdf.queryExecution().optimizedPlan())
     # a frame's kind and whether its tree stopped; and what Python reads is a text
     assert plan.count("upper(") <= 2 and "trees(" in plan and "THEN debugFrames" not in plan
+
+
+def test_frames_are_made_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(en, "HELD", 1000)
+    texts = [None if i % 7 == 0 else "é" * i for i in range(600)] + ["x" * 5000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(602)), pa.array(texts)], names=["number", "json_line"])
+    parts = list(en._framed(iter([batch, batch.slice(0, 0), batch.slice(595)])))
+    assert len(parts) > 10 and all(sum(len(f.as_py() or b"") for f in p.column(1)[:-1]) < 1000 for p in parts)
+    assert pa.Table.from_batches(parts).column("number").to_pylist() == [*range(602), *range(595, 602)]
+    frames = [f for p in parts for f in p.column(1)]
+    read = [t for p in en.record_of.func(iter([pa.array(frames, pa.binary())])) for t in p.to_pylist()]
+    assert read == texts + texts[595:] and max(len(p) for p in en.record_of.func(iter([pa.array(frames, pa.binary())]))) < 100
+
+    rows = spark.range(3000, numPartitions=2).selectExpr("id AS number", "named_struct('é x', id) AS own", "if(id % 7 = 0, null, concat(repeat('é', cast(id AS int)), '\n')) AS json_line")
+    e = en.encoded(rows)
+    assert e.columns == ["number", "own", "frame"] and e.schema["own"].dataType == rows.schema["own"].dataType
+    back = e.select("number", "own", en.record_of("frame").alias("json_line"))
+    assert back.exceptAll(rows).count() == 0 and back.count() == 3000
+
+
+def test_records_wait_for_python_without_their_bundle(spark, sf):
+    from blockloom.plans import catalog
+
+    plan = str(catalog.QUERIES["compressed_records"](spark, sf)._jdf.queryExecution().optimizedPlan())
+    assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
+    waits = plan.partition("ArrowEvalPython")[2].partition("MapInArrow")
+    assert "raw#" not in waits[0] and "raw#" not in waits[2].splitlines()[0]
